@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import WHITE, latin_lower, text_of
+from sievework.llm.common import WHITE, cut, latin_lower, row_key, text_of
 
 #: Fixed values of the rules.
 GAP = r"[\x20\x09-\x0D]+"
@@ -98,12 +98,12 @@ def boilerplate_words(df: DataFrame, text: str = "text", host: str = "source", l
 def with_verdicts(df: DataFrame, text: str = "text", host: str = "source", limit: int = LIMIT, share: float = SHARE, keep: float = KEEP) -> DataFrame:
     """with_statistics, and kept: false if base_failed or depleted. Only counts and keys are shuffled, never texts: see quality_verdicts for rows."""
     found = with_statistics(df, text)
-    found = found.withColumns({"_host": F.struct(F.col(host).alias("name")), "_key": text_key(text_of(text))})
-    gone = boilerplate_words(df, text, host, limit, share).withColumnsRenamed({"host": "_host", "text_key": "_key"})
-    joined = found.join(gone, ["_host", "_key"], "left")
+    found = found.withColumns({"_host": F.struct(F.col(host).alias("name")), "_text_key": text_key(text_of(text))})
+    gone = boilerplate_words(df, text, host, limit, share).withColumnsRenamed({"host": "_host", "text_key": "_text_key"})
+    joined = found.join(gone, ["_host", "_text_key"], "left")
     left = F.col("n_words") - F.coalesce("boilerplate_words", F.lit(0))
     kept = ~F.col("base_failed") & (left >= keep * F.col("n_words"))
-    return joined.withColumn("n_left_words", left).withColumn("kept", kept).drop("_host", "_key", "boilerplate_words")
+    return joined.withColumn("n_left_words", left).withColumn("kept", kept).drop("_host", "_text_key", "boilerplate_words")
 
 
 def digest(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
@@ -112,6 +112,12 @@ def digest(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame
 
 
 def keep_good(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The rows that pass, with the columns of df."""
-    marked = df.withColumn("_row", F.struct(*df.columns))
-    return with_verdicts(marked, text, host).where("kept").select("_row.*")
+    """The rows that pass, with the columns of df.
+
+    The verdicts are written first, by row key: a filter on them would otherwise be pushed into the nested expressions
+    they come from and copy these over and over. Equal rows of different hosts have verdicts of their own.
+    """
+    key = F.struct(F.col(host).alias("host"), row_key("doc_id", text_of(text)).alias("row"))
+    keyed = df.withColumn("_key", key)
+    verdicts = cut(with_verdicts(keyed.select("_key", host, text), text, host).select("_key", "kept"), "verdicts")
+    return keyed.join(verdicts.where("kept").select("_key").distinct(), "_key", "left_semi").drop("_key")

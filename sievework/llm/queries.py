@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import coding, lines, packing, quality, secrets
+from sievework.llm import coding, lines, packing, quality, secrets, simhash
 from sievework.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.drop_frequent_lines(docs))
 
 
+def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op4_bpe_coding, op5_power_packing, op6_quality_rules, op9_line_dedup)
+    f.__name__: f for f in (op1_secret_scan, op4_bpe_coding, op5_power_packing, op6_quality_rules, op9_line_dedup, op10_simhash_components)
 }
