@@ -44,4 +44,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM s LEFT JOIN b ON b.source IS NOT DISTINCT FROM s.source AND b.th = s.th
 """
 
-SQL = {"op6_quality_rules": QUALITY, "op9_line_dedup": LINES}
+#: Base 32 from the hexadecimal SHA-1: quintet i starts at bit 5i, so within the hexadecimal digits 5i//4 and the next.
+ARCHIVE = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h, coalesce(html, '') AS body FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS keeper FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(h || '0', CAST(5 * i // 4 AS INTEGER) + 1, 2))::INTEGER >> CAST(3 - (5 * i) % 4 AS INTEGER)) & 31) + 1)::INTEGER, 1)), '') AS payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM g
+"""
+
+SQL = {"op2_warc_archive": ARCHIVE, "op6_quality_rules": QUALITY, "op9_line_dedup": LINES}

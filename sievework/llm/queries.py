@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import coding, lines, packing, quality, secrets, simhash
-from sievework.llm.common import table
+from sievework.llm import ann, coding, lines, packing, quality, secrets, simhash, warc
+from sievework.llm.common import shared_dir, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(docs))
 
 
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(table(spark, sf_dir, "pages"), folder)
+    return warc.digest(warc.read_warc(spark, folder, payloads=False))
+
+
 def op4_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coding.coding_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -27,6 +34,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.digest(lines.drop_frequent_lines(docs))
@@ -37,5 +48,14 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op4_bpe_coding, op5_power_packing, op6_quality_rules, op9_line_dedup, op10_simhash_components)
+    f.__name__: f for f in (
+        op1_secret_scan,
+        op2_warc_archive,
+        op4_bpe_coding,
+        op5_power_packing,
+        op6_quality_rules,
+        op7_permutation_search,
+        op9_line_dedup,
+        op10_simhash_components,
+    )
 }
