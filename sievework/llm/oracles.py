@@ -56,4 +56,21 @@ SELECT page_id, payload_bytes,
 FROM g
 """
 
-SQL = {"op2_warc_archive": ARCHIVE, "op6_quality_rules": QUALITY, "op9_line_dedup": LINES}
+#: Bytes as pairs of hexadecimal digits; islands of repeated window starts at most 200 apart are spans.
+REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+n AS (SELECT r, doc_id, x, length(x) // 2 AS n_bytes FROM d),
+p AS (SELECT r, unnest(range(0, n_bytes - 199)) AS i FROM n WHERE n_bytes >= 200),
+w AS (SELECT p.r, i, md5(substr(x, CAST(2 * i + 1 AS INTEGER), 400)) AS h FROM p JOIN n ON n.r = p.r),
+t AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM (SELECT *, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1),
+g AS (SELECT r, i, count(*) FILTER (WHERE gap IS NULL OR gap > 200) OVER (PARTITION BY r ORDER BY i) AS k FROM t),
+s AS (SELECT r, k, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, k),
+e AS (SELECT r, k, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY k), 0) AS z FROM s),
+f AS (SELECT n.r, sum(b - a) AS n_removed, count(*) AS n_spans,
+             string_agg(substr(x, CAST(2 * z + 1 AS INTEGER), CAST(2 * (a - z) AS INTEGER)), '' ORDER BY k) || substr(any_value(x), CAST(2 * max(b) + 1 AS INTEGER)) AS kept
+      FROM e JOIN n ON n.r = e.r GROUP BY n.r)
+SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM n LEFT JOIN f ON f.r = n.r
+"""
+
+SQL = {"op8_suffix_dedup": REPEATS, "op2_warc_archive": ARCHIVE, "op6_quality_rules": QUALITY, "op9_line_dedup": LINES}

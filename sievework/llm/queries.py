@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import ann, coding, lines, packing, quality, secrets, simhash, warc
+from sievework.llm import ann, coding, lines, packing, quality, secrets, simhash, suffixes, warc
 from sievework.llm.common import shared_dir, table
 
 
@@ -38,6 +38,10 @@ def op7_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.digest(lines.drop_frequent_lines(docs))
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_power_packing,
         op6_quality_rules,
         op7_permutation_search,
+        op8_suffix_dedup,
         op9_line_dedup,
         op10_simhash_components,
     )
