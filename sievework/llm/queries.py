@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import ann, coding, lines, packing, quality, secrets, simhash, suffixes, warc
+from sievework.llm import ann, coding, lines, ngrams, packing, quality, secrets, simhash, suffixes, warc
 from sievework.llm.common import shared_dir, table
 
 
@@ -22,6 +22,10 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.read_warc(spark, folder, payloads=False))
 
 
+def op3_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.backoff_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coding.coding_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_scan,
         op2_warc_archive,
+        op3_backoff_scores,
         op4_bpe_coding,
         op5_power_packing,
         op6_quality_rules,
