@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.functions import severity
 from sievework.functions.sets import compact_issues
@@ -115,7 +116,7 @@ def first_unnegated(patterns: tuple[str, ...]):
     """An Arrow UDF: the first match, in pattern order and then text order, that its clause does not negate. Offsets decide, so this one is not a Column."""
     compiled = [re.compile(p, re.I) for p in patterns]
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(text: str | None) -> str | None:
             text = text or ""
