@@ -23,7 +23,7 @@ def known_keys(cards: DataFrame, key: str = "card_id") -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no (physical, from 1, blank lines counted) and line. A file is read whole, so that its lines can be numbered."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     rows = files.select("path", F.posexplode(F.split("value", "\r?\n", -1)).alias("_p", "line"))
     return rows.select("path", (F.col("_p") + 1).alias("line_no"), "line")
 

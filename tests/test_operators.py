@@ -1,0 +1,202 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from sievework.operators import audit, decontaminate, merging, metrics, provenance, redaction, retrieval, screening, selection, sessions
+from sievework.operators.screening import Rule, whole_word
+from sievework.sources import jsonl
+
+
+def rows(df, *columns):
+    return sorted(map(tuple, df.select(*columns).collect() if columns else df.collect()), key=repr)
+
+
+def test_first_match_is_by_pattern_order_and_rules_keep_theirs(spark):
+    rules = (Rule("B", "urgent", "c2", (whole_word("late"), whole_word("early"))), Rule("A", "emergency", "c1", (whole_word("early"),), gate="gate"))
+    df = spark.createDataFrame([(1, "early then late"), (2, "early at the gate"), (3, "relate"), (4, None)], "id int, t string")
+    found = {r.id: r for r in screening.screen(df, F.lower("t"), rules).withColumn("floor", screening.floor(F.col("fired"))).collect()}
+    assert [(x.rule_id, x.evidence) for x in found[1].fired] == [("B", "late")]
+    assert [x.rule_id for x in found[2].fired] == ["B", "A"] and found[2].floor == "emergency"
+    assert found[3].fired == [] and found[4].fired == [] and found[4].floor == "routine"
+
+
+def test_negation_scope():
+    text = "denies chest pain. Chest pain now; no chest pain"
+    assert [screening.is_negated(text, k) for k in (7, 19, 38)] == [True, False, True]
+    assert not screening.is_negated("denies cough but chest pain", 17)
+
+
+def test_term_scores_and_top(spark):
+    queries = spark.createDataFrame([(1, "fever fever ab"), (2, "x")], "q int, t string")
+    docs = spark.createDataFrame([(10, "fever", "fevers and fever"), (11, "ab", "cab"), (12, "none", "none")], "d int, title string, body string")
+    scored = retrieval.term_scores(queries, docs, "q", "d", "t", F.col("body"), F.col("title"))
+    assert rows(scored, "q", "d", "score") == [(1, 10, 12.0), (1, 11, 5.0)]
+    assert [r.d for r in retrieval.top(scored, "q", "d", 1).collect()] == [10]
+    assert retrieval.clamp(0) == 1 and retrieval.clamp(11) == 10
+
+
+def test_bm25_by_definition(spark):
+    import math
+
+    bodies = {1: "a1 b1 a1", 2: "b1", 3: "c1 c1", 4: "d1"}
+    docs = spark.createDataFrame(list(bodies.items()), "d int, t string")
+    queries = spark.createDataFrame([(1, "a1 a1 b1"), (2, "zz")], "q int, t string")
+    found = {r.d: r.score for r in retrieval.bm25_scores(queries, docs, "q", "d", "t", F.col("t")).collect()}
+    mean = 7 / 4
+
+    def weight(tf, size):
+        return tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))
+
+    idf_a, idf_b = math.log(3.5 / 1.5), 1e-6
+    assert found.keys() == {1, 2}
+    assert found[1] == pytest.approx(2 * idf_a * weight(2, 3) + idf_b * weight(1, 3))
+    assert found[2] == pytest.approx(idf_b * weight(1, 1))
+
+
+def test_fallback_summary_and_forced_cards(spark):
+    queries = spark.createDataFrame([(1,), (2,), (3,)], "q int")
+    a, b = spark.createDataFrame([(1, 5)], "q int, d int"), spark.createDataFrame([(1, 6), (2, 7)], "q int, d int")
+    merged = retrieval.with_fallback(a, b, queries, "q", ("fts", "memory"))
+    assert rows(merged) == [(1, 5, "fts"), (2, 7, "memory")]
+    assert rows(retrieval.source_summary(merged, queries, "q")) == [(1, 1, "fts"), (2, 1, "memory"), (3, 0, "none")]
+    ranked = spark.createDataFrame([(1, "a", 1, 9.0), (1, "b", 2, 8.0), (1, "c", 3, 7.0)], "q int, d string, rank int, score double")
+    required = spark.createDataFrame([(1, "c", 0), (1, "z", 1)], "q int, d string, ordinal int")
+    assert rows(retrieval.forced_first(ranked, required, "q", "d", 3)) == [(1, "a", 3, 9.0), (1, "c", 1, 7.0), (1, "z", 2, 999.0)]
+
+
+def test_selection(spark):
+    df = spark.createDataFrame([(k, "x" if k < 6 else "y", k % 3) for k in range(10)], "id int, b string, s int")
+    targets = spark.createDataFrame([("x", 2), ("y", 5), ("z", 1)], "b string, target int")
+    order = [F.desc("s"), F.col("id")]
+    chosen = selection.quota_select(df, targets, "b", order)
+    assert rows(chosen, "id") == [(2,), (5,), (6,), (7,), (8,), (9,)]
+    assert rows(selection.shortages(chosen, targets, "b"), "b", "shortage") == [("x", 0), ("y", 1), ("z", 1)]
+    filled = selection.quota_select(df, targets, "b", order, fill=True, fill_order=order)
+    assert rows(filled.where("reason = 'fill'"), "id") == [(1,), (4,)]
+    schedule = spark.createDataFrame([("a", 1, 3), ("b", 2, 2), ("c", 3, 0)], "n string, o int, target int")
+    got = [r.n for r in selection.weighted_schedule(schedule, "n", "o").orderBy("position").collect()]
+    left, greedy = {"a": 3, "b": 2}, []
+    while any(left.values()):
+        best = max(left, key=lambda c: (left[c] / {"a": 3, "b": 2}[c], -ord(c)))
+        greedy.append(best)
+        left[best] -= 1
+    assert got == greedy
+    assert selection.shard_specs(10, 3) == [(0, 0, 4), (1, 4, 4), (2, 8, 2)]
+
+
+def test_split_is_disjoint_whole_and_stable(spark):
+    df = spark.createDataFrame([(k, "g1" if k < 30 else "g2" if k < 33 else "g3") for k in range(34)], "id int, g string")
+    first = selection.stratified_split(df, "id", ["g"], 0.1, "seed").collect()
+    again = selection.stratified_split(df.repartition(5), "id", ["g"], 0.1, "seed").collect()
+    assert sorted(first) == sorted(again) and len(first) == 34
+    n = {g: sum(r.split == "validation" for r in first if r.g == g) for g in ("g1", "g2", "g3")}
+    assert n == {"g1": 3, "g2": 1, "g3": 0}
+    assert all(r.split == "train" for r in selection.stratified_split(df, "id", ["g"], 0.0, "seed").collect())
+
+
+def test_merging(spark):
+    a, b = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
+    assert rows(merging.last_writer("k", a, b)) == [(1, "a", 0), (2, "c", 1), (3, "d", 1)]
+    assert rows(merging.first_source("k", a, b)) == [(1, "a", 0), (2, "b", 0), (3, "d", 1)]
+    assert rows(merging.orphans(a, "k", b, "k")) == [("left", 1), ("right", 3)]
+    assert rows(merging.lookup(a, b.withColumnRenamed("k", "s").drop("v"), F.col("k"), "s"), "k", "found") == [(1, False), (2, True)]
+    assert merging.union_unique("k", a, b.where("k = 3")).count() == 3
+    with pytest.raises(Exception, match="duplicate or missing k"):
+        merging.union_unique("k", a, b).collect()
+    diff = merging.label_diff(a, b, "k", ["v"])
+    assert rows(diff) == [(1, "v", "a", None), (2, "v", "b", "c"), (3, "v", None, "d")]
+
+
+def test_similarity_join_is_exact(spark):
+    import random
+
+    rng = random.Random(4)
+    base = [[f"w{rng.randint(0, 60)}" for _ in range(rng.randint(0, 25))] for _ in range(60)]
+    base += [[*x[:-1], "zz"] for x in base[:20] if x]
+    texts = [(k, " ".join(x)) for k, x in enumerate(base)]
+    sets = decontaminate.token_sets(spark.createDataFrame(texts, "id int, t string"), "id", F.col("t"))
+    unique = decontaminate.classes(sets, "id").drop("members")
+    found = {(r.a, r.b) for r in decontaminate.similar_pairs(unique, "class_id", 0.7).collect()}
+    kept = {r.class_id: set(r.tokens) for r in unique.collect()}
+    expected = {(a, b) for a in kept for b in kept if a < b and kept[a] and kept[b] and len(kept[a] & kept[b]) / len(kept[a] | kept[b]) >= 0.7}
+    assert found == expected and expected
+
+
+def test_metrics_and_provenance(spark):
+    df = spark.createDataFrame([(1, True, None), (2, False, None), (3, None, None)], "id int, a boolean, b boolean")
+    assert rows(metrics.tally_checks(df, ["a", "b"])) == [("a", 1, 1, 1), ("b", 0, 0, 3)]
+    assert [r[0] for r in df.select(metrics.all_applicable(F.col("a"), F.col("b"))).collect()] == [True, False, None]
+    assert df.select(metrics.rate(F.lit(1), F.lit(0))).first()[0] is None
+    latency = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "v double")
+    assert tuple(metrics.latency_summary(latency, "v").first()) == (3, 1.0, 2.333, 2.0, 3.8, 4.0)
+    assert tuple(metrics.latency_summary(latency.where("v > 9"), "v").first()) == (0, None, None, None, None, None)
+    maps = spark.createDataFrame([({"x": "raw", "y": "raw"}, {"y": None}, {"x": "f", "y": "f", "z": "f"}, ["x"])], "raw map<string,string>, rep map<string,string>, fb map<string,string>, ok array<string>")
+    merged = maps.select(F.inline(provenance.merge_maps(F.col("raw"), F.col("rep"), F.col("fb"), F.col("ok"), ["x", "y", "z"])))
+    assert rows(merged) == [("x", "raw", "model_raw"), ("y", None, "model_repaired"), ("z", "f", "deterministic_fallback")]
+
+
+def test_audits_and_redaction(spark):
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "assistant", "a"), (3, 0, "user", " "), (4, 0, "user", "q"), (4, 1, "user", "q"), (5, 0, "tool", "x"), (6, 0, "user", "q")]
+    shapes = audit.conversation_shape(spark.createDataFrame(turns, "conv_id int, turn int, role string, text string"))
+    got = rows(audit.chat_contract(shapes, ("user", "assistant"), ("user",), "assistant"), "conv_id", "reason")
+    assert got == [(1, None), (2, "bad_first_role"), (3, "blank_content"), (4, "not_alternating"), (5, "unknown_role"), (6, "bad_last_role")]
+    lines = audit.lines_of(spark.createDataFrame([("f", "we proved it\nnot proved it\nother")], "file string, t string"), "file", "t")
+    gates = (audit.Gate("proof", "proved", "not proved"), audit.Gate("done", "proved"))
+    assert rows(audit.claim_hits(lines, gates, spark.createDataFrame([("done",)], "gate string")), "line_no", "gate") == [(1, "proof")]
+    text = 'mail a.b@c.example, token = "abc123", 10.0.0.1'
+    assert spark.range(1).select(redaction.redact(F.lit(text))).first()[0] == "mail [email], token = [secret], [address]"
+
+
+def test_jsonl_scans_and_sinks(spark, tmp_path):
+    path = tmp_path / "in"
+    path.mkdir()
+    (path / "a.jsonl").write_text('{"id": 1}\n\n{"id": 2}\n')
+    found = jsonl.scan_jsonl(spark, str(path), "id int")
+    assert rows(found, "id", "_case_line") == [(1, 1), (2, 3)]
+    (path / "b.jsonl").write_text("[1]\n")
+    with pytest.raises(Exception, match="not a JSON object"):
+        jsonl.scan_jsonl(spark, str(path), "id int").collect()
+    assert jsonl.scan_if_there(spark, str(tmp_path / "none"), "id int").count() == 0
+    out = str(tmp_path / "out")
+    jsonl.append_new(spark.createDataFrame([(1, "x")], "id int, a string"), out, "id")
+    jsonl.append_new(spark.createDataFrame([(1, "y"), (2, None)], "id int, a string"), out, "id")
+    written = [line for p in (tmp_path / "out").glob("*.json") for line in p.read_text().splitlines()]
+    assert sorted(written) == ['{"a":"x","id":1}', '{"a":null,"id":2}']
+    bundle = jsonl.evidence_bundle(spark.createDataFrame([("c1", "h"), ("c2", None)], "case_id string, h string"), str(tmp_path / "bundle"), "case_id", "h")
+    assert tuple(bundle.first()) == (2, 1, False, "c1")
+
+
+def test_sessions(spark, tmp_path):
+    def event(kind, **payload):
+        return json.dumps({"type": kind, "payload": payload})
+
+    lines = [
+        event("session_meta", id="s1", timestamp="2", cwd="/Work", source="user"),
+        event("message", role="user", content=[{"text": "fix a.b@c.example"}]),
+        event("message", role="system", content=[{"text": "rules"}]),
+        "{broken",
+        event("noise", message="x"),
+        event("message", role="assistant", content=[{"text": "<dump> all"}]),
+    ]
+    (tmp_path / "s1.jsonl").write_text("\n".join(lines))
+    (tmp_path / "s2.jsonl").write_text(event("session_meta", id="s2", timestamp="1", cwd="/other", source="user"))
+    assert [r.session_id for r in sessions.discover(spark, str(tmp_path), "/work").collect()] == ["s1"]
+    clean = sessions.sanitize(sessions.events(spark, str(tmp_path / "s1.jsonl")), ("message",), ("system",), ("<dump>",))
+    got = {r.event_index: (r.drop_reason, r.text) for r in clean.collect()}
+    assert got == {1: ("type:session_meta", None), 2: (None, "fix [email]"), 3: ("role:system", None), 4: ("invalid_json", None), 5: ("type:noise", None), 6: ("context_dump", None)}
+    assert sessions.first_prompts(clean).first().first_prompt == "fix [email]"
+    by_session, by_reason = sessions.export_statistics(clean)
+    assert tuple(by_session.select("kept", "dropped").first()) == (1, 5) and by_reason.count() == 5
+
+
+def test_streamed_screening(spark, tmp_path):
+    from sievework.streaming.screening import screen_stream
+
+    spark.createDataFrame([("an early bird",), ("none",)], "t string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("t string").parquet(str(tmp_path / "in"))
+    found = screen_stream(stream, F.lower("t"), (Rule("A", "urgent", "c", (whole_word("early"),)),))
+    query = found.select("t", "floor").writeStream.format("memory").queryName("screened").start()
+    query.processAllAvailable()
+    query.stop()
+    assert rows(spark.table("screened")) == [("an early bird", "urgent"), ("none", "routine")]
