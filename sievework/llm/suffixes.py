@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from sievework.llm.common import bounded_batches, cut, release, row_key, text_of
 
 LENGTH, KEY = 200, 100
-GROUP, RUN, CONTEXTS_A_TASK = 1 << 20, 60_000, 60_000
+GROUP, ANCHORS, RUN, CONTEXTS_A_TASK = 1 << 20, 500_000, 60_000, 60_000
+PLACE = [("doc", np.int64), ("place", np.int32)]
 #: Odd constants of the rolling hash and of its final mixing; any would do.
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -105,25 +107,59 @@ def grouped(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, by
 
 
 def anchor_rows(df: DataFrame, length: int = LENGTH, key: int = KEY) -> DataFrame:
-    """(key_hash, doc, place) of every anchor of the column `text`; doc is the column `doc`."""
+    """(key_hash, doc, place, more): the anchors of the column `text`. Equal keys of one task are one row, `more` the other
+    places (doc and place, packed), so a key that every document has comes as few rows. doc is the column `doc`."""
+
+    def flushed(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        hashes, docs, places = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(hashes, kind="stable")
+        hashes, rest = hashes[order], np.rec.fromarrays([docs[order], places[order]], dtype=PLACE)
+        new = np.ones(len(hashes), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        heads = np.flatnonzero(new)
+        ends = np.append(heads[1:], len(hashes))
+        more = [None] * len(heads)
+        for k in np.flatnonzero(ends - heads > 1):
+            more[k] = rest[heads[k] + 1 : ends[k]].tobytes()
+        first = rest[heads]
+        columns = [pa.array(hashes[heads].view(np.int64)), pa.array(np.ascontiguousarray(first.doc)), pa.array(np.ascontiguousarray(first.place)), pa.array(more, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["key_hash", "doc", "place", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             texts = [x.encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
             for group in grouped(texts, length):
                 data = np.frombuffer(b"".join(part for _, _, part in group), np.uint8)
-                ends = np.cumsum([len(part) for _, _, part in group])
+                sizes = np.array([len(part) for _, _, part in group])
+                ends = np.cumsum(sizes)
                 at, hashes = anchors(data, ends, length, key)
                 which = np.searchsorted(ends, at, side="right")
-                starts = ends - [len(part) for _, _, part in group]
                 index = np.array([k for k, _, _ in group])[which]
-                place = at - starts[which] + np.array([offset for _, offset, _ in group])[which]
-                once = np.unique(np.stack([index, place]), axis=1, return_index=True)[1] if any(len(texts[k]) > GROUP for k, _, _ in group) else slice(None)
-                hashes, index, place = hashes[once], index[once], place[once]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(docs[index]), pa.array(place.astype(np.int32))], ["key_hash", "doc", "place"])
+                place = at - (ends - sizes)[which] + np.array([offset for _, offset, _ in group])[which]
+                found.append((hashes, docs[index], place.astype(np.int32)))
+                size += len(at)
+            if size >= ANCHORS:
+                yield flushed(found)
+                found, size = [], 0
+        if found:
+            yield flushed(found)
 
-    return df.select("doc", "text").mapInArrow(run, "key_hash long, doc long, place int")
+    return df.select("doc", "text").mapInArrow(run, "key_hash long, doc long, place int, more binary")
+
+
+def unpacked(twice: DataFrame) -> DataFrame:
+    """(doc, place) of the rows of anchor_rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = np.frombuffer(b"".join(x for x in batch.column(2).to_pylist() if x), PLACE)
+            docs = np.concatenate([batch.column(0).to_numpy(zero_copy_only=False), rest["doc"]])
+            places = np.concatenate([batch.column(1).to_numpy(zero_copy_only=False), rest["place"]])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int32())], ["doc", "place"])
+
+    return twice.select("doc", "place", "more").mapInArrow(run, "doc long, place int")
 
 
 def common_prefixes(items: list[bytes]) -> np.ndarray:
@@ -308,18 +344,23 @@ def merge_runs(table: pa.Table, length: int, key: int) -> pa.Table:
     return pa.table({"context": pa.array(context, pa.binary()), "first": pa.array((-most[found]).astype(np.int32)), "last": pa.array((length - least[found]).astype(np.int32))})
 
 
-def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, key: int = KEY) -> DataFrame:
-    """row_key, text and spans (array of start, end in bytes, apart and in order) of the texts that repeat something."""
-    spark = df.sparkSession
-    bounded_batches(spark)
+def anchored(df: DataFrame, text: str, length: int, key: int) -> DataFrame:
+    """row_key, text, places: the texts with anchors whose key occurs twice, written to the shared folder."""
     body = text_of(text)
     docs = df.select(row_key("doc_id", body).alias("row_key"), body.alias("text")).where(F.octet_length("text") >= length)
     docs = docs.withColumn("doc", F.xxhash64("row_key"))
-    found = anchor_rows(docs, length, key)
-    twice = found.groupBy("key_hash").agg(F.count("*").alias("n")).where("n > 1").select("key_hash")
-    hits = found.join(twice, "key_hash", "left_semi").groupBy("doc").agg(F.collect_set("place").alias("places"))
+    times = F.count("*").over(Window.partitionBy("key_hash"))
+    twice = anchor_rows(docs, length, key).withColumn("n", times).where("n > 1 OR more IS NOT NULL")
+    hits = unpacked(twice).groupBy("doc").agg(F.collect_set("place").alias("places"))
     # `doc` is short and only proposes places; a clash of two documents proposes too many. Results go by row_key.
-    chosen = cut(docs.join(hits, "doc").select("row_key", "text", "places"), "anchored")
+    return cut(docs.join(hits.hint("shuffle_hash"), "doc").select("row_key", "text", "places"), "anchored")
+
+
+def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, key: int = KEY) -> DataFrame:
+    """row_key, text and spans (array of start, end in bytes, apart and in order) of the texts that repeat something."""
+    spark = df.sparkSession
+    bounded_batches(spark)
+    chosen = anchored(df, text, length, key)
     release(spark)
     places = chosen.agg(F.sum(F.size("places"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-places // CONTEXTS_A_TASK))
