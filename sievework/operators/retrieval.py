@@ -31,18 +31,24 @@ def term_counts(queries: DataFrame, query: str, text: str) -> DataFrame:
 
 
 def term_scores(queries: DataFrame, docs: DataFrame, query: str, key: str, query_text: str, body: Column, title: Column | None = None) -> DataFrame:
-    """(query, key, score): each query term's substring count in the body, and four times that in the title; positive scores only.
+    """(query, key, score): each query term's substring count in the body, and TITLE_WEIGHT times that in the title; positive scores only.
 
-    A term that is a substring of no word cannot be indexed by token, so each distinct term is looked for in each text,
-    once for all queries that have it. The terms are those of the query set, not of the corpus.
+    A term is letters and digits only, so each place where it stands lies within one word. The substrings of the distinct
+    words, no longer than the longest term, meet the terms in an equi-join; no text is searched once for each term.
     """
     wanted = term_counts(queries, query, query_text)
-    terms = wanted.select("term").distinct()
-    texts = docs.select(key, F.lower(body).alias("_body"), (F.lower(title) if title is not None else F.lit("")).alias("_title"))
-    hits = texts.join(terms, F.contains("_body", "term") | F.contains("_title", "term"))
-    counted = hits.select(key, "term", (occurrences(F.col("_body"), F.col("term")) + TITLE_WEIGHT * occurrences(F.col("_title"), F.col("term"))).alias("n"))
-    scored = counted.join(wanted, "term").groupBy(query, key).agg(F.sum(F.col("n") * F.col("times")).cast("double").alias("score"))
-    return scored.where("score > 0")
+    longest = wanted.agg(F.max(F.length("term"))).first()[0] or 0  # one number
+    tokens = docs.select(key, F.explode(words(body)).alias("token"), F.lit(1).alias("w"))
+    if title is not None:
+        tokens = tokens.unionByName(docs.select(key, F.explode(words(title)).alias("token"), F.lit(TITLE_WEIGHT).alias("w")))
+    counted = tokens.where(F.length("token") > 1).groupBy(key, "token").agg(F.sum("w").alias("w"))
+    size, token = F.length("token"), F.col("token")
+    cuts = F.transform(F.sequence(F.lit(2), F.least(size, F.lit(max(2, longest)))), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: token.substr(i, n)))
+    parts = counted.select("token").distinct().select("token", F.explode(F.array_distinct(F.flatten(cuts))).alias("term"))
+    hits = parts.join(wanted.select("term").distinct(), "term").select("token", "term", occurrences(F.col("token"), F.col("term")).alias("n"))
+    found = counted.join(hits, "token").groupBy(key, "term").agg(F.sum(F.col("w") * F.col("n")).alias("n"))
+    scored = found.join(wanted, "term").groupBy(query, key)
+    return scored.agg(F.sum(F.col("n") * F.col("times")).cast("double").alias("score")).where("score > 0")
 
 
 def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
