@@ -34,7 +34,7 @@ x AS (SELECT DISTINCT source, th, unnest(l) AS line, generate_subscripts(l, 1) A
 y AS (SELECT *, translate(trim(line, {SPACES}), '{UPPER}', '{LOWER}') AS key FROM x),
 h AS (SELECT source, count(DISTINCT th) AS texts FROM d GROUP BY source),
 f AS (SELECT y.source, key FROM y JOIN h ON h.source IS NOT DISTINCT FROM y.source GROUP BY y.source, key, texts
-      HAVING count(DISTINCT th) >= 10 AND count(DISTINCT th) > 0.02 * texts),
+      HAVING count(DISTINCT th) >= 10 AND count(DISTINCT th) > 0.1 * texts),
 b AS (SELECT y.source, th, sum(len(list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))) AS gone
       FROM y JOIN f ON f.source IS NOT DISTINCT FROM y.source AND f.key = y.key GROUP BY y.source, th)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
