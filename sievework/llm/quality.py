@@ -5,8 +5,8 @@ All is done in the row, with sorted arrays, so no window is ever shuffled.
 
 Across documents, for each host (the source column): normalised lines are hashed and the distinct documents counted that
 have them. Documents with equal texts count once, so that a page copied many times does not condemn itself: copies are
-the business of deduplication; groups of near copies stay below SHARE of their host. A line is boilerplate when it is in at least LIMIT distinct documents of a host and in more
-than SHARE of them. Those lines are taken out; a document that keeps less than KEEP of its words is depleted and rejected.
+the business of deduplication, and so are groups of near copies, which stay below SHARE of their host. A line is
+boilerplate when it is in at least LIMIT distinct documents of a host and in more than SHARE of them. Those lines are taken out; a document that keeps less than KEEP of its words is depleted and rejected.
 
 Null texts have no words and fail the base rules. Null hosts are one host. Repeated rows get equal results. Other columns
 pass through.
