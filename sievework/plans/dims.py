@@ -30,3 +30,14 @@ PROVEN = ("contact",)
 EXTRA_QUERIES = ((-1, "zzqqx"), (-2, "ntio"), (-3, ""))
 SPLIT_SEED, SPLIT_FRACTION, SPLIT_GROUP = "round-1", 0.1, 4
 QUOTAS = (("Brand#1", 5), ("Brand#2", 200), ("Brand#3", 0), ("Brand#4", 12), ("Brand#17", 60))
+INTAKES = (
+    (1, "8 months", "", "fever"),
+    (2, "40 years", "pregnant", "temp 39.1 c"),
+    (3, "17 y", "not_pregnant", "pregnant aunt"),
+    (4, "", "", "a toddler, not pregnant"),
+    (5, "240 mo", "postpartum week 2", "temperature of 101 f"),
+    (6, "9", "unsure", "denies pregnancy"),
+    (7, "3 wks", "unsure", "she is pregnant"),
+    (8, "99", "n/a", "temp 37.0 c"),
+)
+OBSERVATION_CUES = ("idiots of trash", "token", "released under license", "the clown", "is it stupid")
