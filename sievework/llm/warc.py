@@ -1,6 +1,6 @@
 """A deterministic sharded WARC writer, and its reader.
 
-Shards are ranges of the key, cut from an exact histogram of bytes over at most HISTOGRAM equal key ranges, so they do not
+Shards are ranges of the key, cut from an exact histogram of bytes over equal key ranges, one task each, so they do not
 depend on sampling or on the cluster. In a shard records come sorted by key and payload digest, each a gzip member of its
 own, without times of day; a file is closed before the record that would take it over `roll_bytes` compressed. Headers and
 digests are made anew from the payload. Files are written under a name of the attempt, moved to their final name once
@@ -23,10 +23,14 @@ from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-SHARD_BYTES, ROLL_BYTES, HISTOGRAM = 32 << 20, 4 << 20, 4096
+from sievework.llm.common import cut
+
+SHARD_BYTES, ROLL_BYTES = 32 << 20, 4 << 20
+LEAST_RANGES, MOST_RANGES = 4096, 1 << 20
 LEAST = 0
 #: Fixed values of the format.
 VERSION, END = "WARC/1.1", b"\r\n\r\n"
@@ -114,19 +118,25 @@ class Roller:
 MANIFEST = "file string, shard int, records long, bytes long, sha256 string, first_key long, last_key long"
 
 
-def shard_bounds(sizes: DataFrame, shard_bytes: int) -> tuple[int, int, list[int]]:
-    """Least key, width of a key range, and the shard of each range. At most HISTOGRAM rows come to the driver."""
-    least, most = sizes.agg(F.min("page_id"), F.max("page_id")).first()
-    if least is None:
-        return 0, 1, [0]
-    width = -(-(most - least + 1) // HISTOGRAM)
-    at = F.floor((F.col("page_id") - F.lit(least)) / F.lit(width)).cast("int")
-    found = dict(sizes.where("page_id IS NOT NULL").groupBy(at.alias("at")).agg(F.sum("payload_bytes")).collect())
-    shards, total = [], 0
-    for k in range(HISTOGRAM):
-        shards.append(total // shard_bytes)
-        total += found.get(k, 0)
-    return least, width, shards
+def shards_of(sizes: DataFrame, shard_bytes: int) -> tuple[int, int, DataFrame, int]:
+    """Least key, width of a key range, the table (at, shard) of the ranges that have rows, and the number of shards.
+
+    There are a few ranges for each shard, LEAST_RANGES to MOST_RANGES in all, so the table may be broadcast.
+    """
+    least, most, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("payload_bytes")).first()
+    ranges = min(MOST_RANGES, max(LEAST_RANGES, 4 * (total or 0) // shard_bytes))
+    least = 0 if least is None else least
+    width = max(1, -(-((least if most is None else most) - least + 1) // ranges))
+    at = range_of(least, width)
+    before = F.coalesce(F.sum("payload_bytes").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = sizes.groupBy(at.alias("at")).agg(F.sum("payload_bytes").alias("payload_bytes"))
+    bounds = cut(found.select("at", F.floor(before / F.lit(shard_bytes)).cast("int").alias("shard")), "shards")
+    return least, width, bounds, (bounds.agg(F.max("shard")).first()[0] or 0) + 1
+
+
+def range_of(least: int, width: int) -> Column:
+    """The number of a key's range; null keys are in the first."""
+    return F.coalesce(F.floor((F.col("page_id") - F.lit(least)) / F.lit(width)), F.lit(0)).cast("int")
 
 
 def write_warc(df: DataFrame, path: str, payload: str = "html", least: int = LEAST, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -135,17 +145,17 @@ def write_warc(df: DataFrame, path: str, payload: str = "html", least: int = LEA
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = df.select("page_id", "url", body.alias("payload"))
     narrow = rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    start, width, shards = shard_bounds(narrow, shard_bytes)
-    # The shard of a key range is its place among the ranges where a new shard begins: at most as many as the histogram has.
-    begins = [k for k in range(1, len(shards)) if shards[k] != shards[k - 1]]
-    at = F.coalesce(F.floor((F.col("page_id") - F.lit(start)) / F.lit(width)), F.lit(0)).cast("int")
-    shard = F.size(F.filter(F.array(*map(F.lit, begins)), lambda x: x <= at)) if begins else F.lit(0)
+    start, width, bounds, n_shards = shards_of(narrow, shard_bytes)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.withColumn("at", range_of(start, width)).join(F.broadcast(bounds), "at").drop("at")
+
     groups = narrow.where(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 AND keeper IS NOT NULL")
     revisits = narrow.join(groups, ["digest", "payload_bytes"]).where("NOT (page_id <=> keeper)").select("page_id", "digest", "keeper").distinct()
     # A note on a revisit sorts just before its record and reaches the same task; payloads are shuffled once.
-    notes = revisits.select(shard.alias("shard"), "page_id", "digest", F.lit(0).alias("kind"), "keeper", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
-    pages = rows.select(shard.alias("shard"), "page_id", F.sha1("payload").alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("keeper"), "url", "payload")
-    spread = notes.unionByName(pages).repartition(max(1, len(begins) + 1), "shard")
+    notes = dealt(revisits).select("shard", "page_id", "digest", F.lit(0).alias("kind"), "keeper", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
+    pages = dealt(rows).select("shard", "page_id", F.sha1("payload").alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("keeper"), "url", "payload")
+    spread = notes.unionByName(pages).repartitionById(n_shards, F.col("shard"))
     ordered = spread.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "kind", F.col("url").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
