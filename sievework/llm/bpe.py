@@ -15,6 +15,7 @@ import codecs
 import heapq
 import json
 import unicodedata
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -27,10 +28,12 @@ PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L
 OPEN = {"letters": regex.compile(r"\p{L}+"), "others": regex.compile(rf"[^{SPACE}\p{{L}}\p{{N}}]+")}
 GAPS = regex.compile(rf"[{SPACE}]+")
 #: str.split() takes these for white space, the tokenizer does not.
-SEPARATORS = regex.compile(r"[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 BLOCK = 1 << 15
 LONG = 512
-CACHE = 300_000
+NEVER = 1 << 60
+POINTS = frozenset(".,;:!?")
+CACHE = 600_000
 
 
 def byte_alphabet() -> list[str]:
@@ -57,6 +60,8 @@ class Merges:
             made = self.vocab[a + b]
             self.pairs.setdefault((self.vocab[a], self.vocab[b]), (rank, made))
             self.parts.setdefault(made, (rank, self.vocab[a], self.vocab[b]))
+        #: The same for short words: both operands as one number to rank and result as one number.
+        self.coded = {a << 20 | b: rank << 20 | made for (a, b), (rank, made) in self.pairs.items()}
         letters = byte_alphabet()
         self.inner = [self.vocab[c] for c in letters]
         self.last = [self.vocab[c + self.suffix] for c in letters]
@@ -90,20 +95,26 @@ class Merges:
         """The tokens of a whole run of symbols: lowest rank first, leftmost among equals."""
         return self._few(ids) if len(ids) <= 24 else self._many(ids)
 
+    def word(self, data: bytes) -> list[int]:
+        """The tokens of a whole word: its last symbol is marked."""
+        symbols = [*map(self.inner.__getitem__, data)]
+        symbols[-1] = self.last[data[-1]]
+        return self.merge(symbols)
+
     def _few(self, ids: list[int]) -> list[int]:
-        pairs, never = self.pairs, (1 << 40, -1)
-        waiting = [pairs.get(p, never) for p in zip(ids, ids[1:])]
+        find = self.coded.get
+        waiting = [find(x << 20 | y, NEVER) for x, y in zip(ids, ids[1:])]
         while waiting:
             best = min(waiting)
-            if best is never:
+            if best == NEVER:
                 break
             k = waiting.index(best)
-            ids[k : k + 2] = [best[1]]
-            del waiting[k]
+            made = ids[k] = best & 0xFFFFF
+            del waiting[k], ids[k + 1]
             if k:
-                waiting[k - 1] = pairs.get((ids[k - 1], ids[k]), never)
+                waiting[k - 1] = find(ids[k - 1] << 20 | made, NEVER)
             if k < len(waiting):
-                waiting[k] = pairs.get((ids[k], ids[k + 1]), never)
+                waiting[k] = find(made << 20 | ids[k + 1], NEVER)
         return ids
 
     def _many(self, ids: list[int]) -> list[int]:
@@ -164,37 +175,44 @@ class Run:
 
 
 class Encoder(dict):
-    """Texts to ids. As a dict it is the cache: a stretch without white space and its ids; when full it becomes the older half."""
+    """Texts to ids, as unsigned 32-bit little-endian bytes. As a dict it is the cache: a stretch without white space and
+    its ids; when full it becomes the older half. Over-long stretches are not kept."""
 
     def __init__(self, merges: Merges, cache: int = CACHE) -> None:
         super().__init__()
         self.merges, self.room, self.older = merges, cache, {}
         self.cuts = regex.compile("(" + "|".join(regex.escape(x) for x in merges.special) + ")") if merges.special else None
 
-    def __missing__(self, stretch: str) -> tuple[int, ...]:
+    def __missing__(self, stretch: str) -> bytes:
         ids = self.older.get(stretch)
         if ids is None:
-            pieces = PIECE.findall(normal(stretch))
-            ids = self._word(pieces[0]) if len(pieces) == 1 else tuple(x for p in pieces for x in self._word(p))
+            if stretch.isalpha():
+                ids = self._word(stretch)
+            elif stretch[-1] in POINTS and stretch[:-1].isalpha():
+                ids = self[stretch[:-1]] + self[stretch[-1]]
+            else:
+                ids = self._pieces(stretch)
+            if len(stretch) > LONG:
+                return ids
         if len(self) >= self.room:
             self.older = dict(self)
             self.clear()
         self[stretch] = ids
         return ids
 
-    def _word(self, piece: str) -> tuple[int, ...]:
-        if len(piece) > LONG:
-            return tuple(self._long(piece))
-        data, merges = piece.encode(), self.merges
-        symbols = [merges.inner[b] for b in data]
-        symbols[-1] = merges.last[data[-1]]
-        return tuple(merges.merge(symbols))
+    def _pieces(self, text: str) -> bytes:
+        """Piece by piece; a piece alone is parsed as it is here, so it is looked up like a stretch of its own."""
+        pieces = PIECE.findall(text)
+        return self._word(text) if len(pieces) == 1 else b"".join(map(self.__getitem__, pieces))
 
-    def stream(self, blocks: Iterable[str]) -> Iterator[list[int]]:
-        """Lists of ids, one for each block read or so. Special tokens within the text become their ids."""
+    def _word(self, piece: str) -> bytes:
+        return self._long(piece) if len(piece) > LONG else packed(self.merges.word(piece.encode()))
+
+    def stream(self, blocks: Iterable[str]) -> Iterator[bytes]:
+        """Ids, one for each block read or so. Special tokens within the text become their ids."""
         for part in self._parts(blocks):
             if isinstance(part, int):
-                yield [part]
+                yield packed([part])
             else:
                 yield from self._plain(part)
 
@@ -229,80 +247,82 @@ class Encoder(dict):
                 return
             yield self.merges.special[found[0]]
 
-    def _plain(self, blocks: Iterator[str]) -> Iterator[list[int]]:
-        held, run, kind = "", None, ""
+    def _plain(self, blocks: Iterator[str]) -> Iterator[bytes]:
+        """Text between special tokens. Up to the last white space it is words; a stretch without any that grows long is
+        normalised up to a safe place and given out piece by piece, its last piece as an open run."""
+        held, ready, run, kind = "", "", None, ""
         for block in blocks:
             held += block
-            out: list[int] = []
-            while run is not None and held:  # an over-long piece goes on, or ends here
-                cut = safe_cut(held)
-                head = normal(held[:cut])
-                m = OPEN[kind].match(head)
-                if m and m.end() == len(head):
-                    out += run.feed(head.encode())
-                    held = held[cut:]
-                    if not cut:
-                        break
-                elif cut or len(held) > LONG:
-                    n = m.end() if m else 0
-                    out += run.feed(head[:n].encode())
-                    out += run.close()
-                    held, run = head[n:] + held[cut:], None
-                else:
-                    break
-            if run is None:
-                gaps = list(GAPS.finditer(held))
+            out = b""
+            if (run or ready) and (gap := GAPS.search(held)):
+                out += self._rest(run, kind, ready + normal(held[: gap.start()]))
+                held, ready, run = held[gap.end() :], "", None
+            if not (run or ready):
+                gaps = list(GAPS.finditer(held, max(0, len(held) - LONG))) or list(GAPS.finditer(held))
                 if gaps:
                     out += self._words(held[: gaps[-1].start()])
                     held = held[gaps[-1].end() :]
-                if len(held) > 2 * LONG:
-                    run, kind, held, ids = self._open(held)
+            if run or ready or len(held) > 2 * LONG:
+                cut = safe_cut(held)
+                ready, held = ready + normal(held[:cut]), held[cut:]
+                if run:
+                    n = m.end() if (m := OPEN[kind].match(ready)) else 0
+                    out += packed(run.feed(ready[:n].encode()))
+                    ready = ready[n:]
+                    if ready:
+                        out, run = out + packed(run.close()), None
+                if ready:
+                    run, kind, ready, ids = self._open(ready)
                     out += ids
             yield out
-        out = []
-        if run is not None:
-            head = normal(held)
-            n = m.end() if (m := OPEN[kind].match(head)) else 0
-            out += [*run.feed(head[:n].encode()), *run.close()]
-            held = head[n:]
-        yield out + self._words(held)
-
-    def _open(self, held: str) -> tuple[Run | None, str, str, list[int]]:
-        """Of a long stretch without white space: whole pieces as ids, then a run that stays open if the rest is one piece."""
-        cut = safe_cut(held)
-        head, rest = normal(held[:cut]), held[cut:]
-        out: list[int] = []
-        pieces = list(PIECE.finditer(head))
-        for m in pieces[:-1]:
-            out += self._word(m[0])
-        if not pieces:
-            return None, "", held, out
-        tail = pieces[-1][0]
-        if len(tail) <= LONG:
-            return None, "", tail + rest, out
+        if run or ready:
+            yield self._rest(run, kind, ready + normal(held))
+        else:
+            yield self._words(held)
+
+    def _rest(self, run: Run | None, kind: str, ready: str) -> bytes:
+        """The end of a long stretch."""
+        out = b""
+        if run:
+            n = m.end() if (m := OPEN[kind].match(ready)) else 0
+            out, ready = packed(run.feed(ready[:n].encode()) + run.close()), ready[n:]
+        return out + self._pieces(ready)
+
+    def _open(self, ready: str) -> tuple[Run | None, str, str, bytes]:
+        """Of a long stretch, normalised so far: whole pieces as ids; the last, that may go on, as a run. What may become a contraction waits."""
+        pieces = [m[0] for m in PIECE.finditer(ready)]
+        tail = pieces.pop()
+        if tail[0] == "'" and len(tail) <= 3:
+            return None, "", tail, b"".join(map(self.__getitem__, pieces))
+        if pieces and pieces[-1] == "'" and len(tail) == 1:
+            return None, "", pieces.pop() + tail, b"".join(map(self.__getitem__, pieces))
+        kind = next((k for k, p in OPEN.items() if p.match(tail)), "")
+        if not kind:
+            return None, "", "", b"".join(map(self.__getitem__, [*pieces, tail]))
         run = Run(self.merges)
-        kind = "letters" if OPEN["letters"].match(tail) else "others"
-        return run, kind, rest, out + run.feed(tail.encode())
+        return run, kind, "", b"".join(map(self.__getitem__, pieces)) + packed(run.feed(tail.encode()))
 
-    def _long(self, piece: str) -> list[int]:
+    def _long(self, piece: str) -> bytes:
         run = Run(self.merges)
-        return [*run.feed(piece.encode()), *run.close()]
+        return packed(run.feed(piece.encode()) + run.close())
 
-    def _words(self, text: str) -> list[int]:
-        out: list[int] = []
-        words = GAPS.split(text) if SEPARATORS.search(text) else text.split()
-        for word in words:
-            if len(word) <= LONG:
-                out += self[word]
-            else:
-                for m in PIECE.finditer(normal(word)):
-                    out += self._word(m[0])
-        return out
+    def _words(self, text: str) -> bytes:
+        text = normal(text)
+        odd = any(c in text for c in SEPARATORS)
+        return b"".join(map(self.__getitem__, filter(None, GAPS.split(text)) if odd else text.split()))
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
         if len(text) < BLOCK and not (self.cuts and "<|" in text and self.cuts.search(text)):
             return self._words(text)
-        return [x for ids in self.stream(blocks_of(text)) for x in ids]
+        return b"".join(self.stream(blocks_of(text)))
+
+
+def packed(ids: Iterable[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+def unpacked(ids: bytes) -> array:
+    return array("I", ids)
 
 
 def blocks_of(text: str) -> Iterator[str]:
@@ -317,9 +337,10 @@ def normal(text: str) -> str:
 
 
 def safe_cut(text: str) -> int:
-    """The last place before which text can be normalised alone: in front of an ASCII character, or else the end of its last fixed character."""
+    """The last place before which text can be normalised alone: in front of a character that nothing before it can change or join; 0 if there is none near the end."""
     for k in range(len(text) - 1, max(0, len(text) - 4 * LONG), -1):
-        if text[k].isascii() or (not unicodedata.combining(text[k]) and unicodedata.category(text[k])[0] == "L" and unicodedata.is_normalized("NFC", text[k]) and not 0x1100 <= ord(text[k]) <= 0x11FF):
+        c = text[k]
+        if c.isascii() or (unicodedata.category(c)[0] != "M" and not 0x1100 <= ord(c) <= 0x11FF and unicodedata.is_normalized("NFC", c)):
             return k
     return 0
 
@@ -329,18 +350,21 @@ class Decoder:
     with `by_bytes`, byte symbols become their bytes and a word's end a space."""
 
     def __init__(self, merges: Merges, by_bytes: bool = False) -> None:
-        back = {c: bytes([b]) for b, c in enumerate(byte_alphabet())}
         self.by_bytes, self.started = by_bytes, False
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
-        self.data = merges.__dict__.setdefault("bytes_of" if by_bytes else "names_of", {})
-        if not self.data:
-            for i, name in merges.names.items():
-                if not by_bytes or i in merges.special.values():
-                    self.data[i] = name.encode()
+        name = "bytes_of" if by_bytes else "names_of"
+        if name not in merges.__dict__:
+            back = {c: bytes([b]) for b, c in enumerate(byte_alphabet())}
+            merges.__dict__[name] = [b""] * (max(merges.names) + 1)
+            for i, token in merges.names.items():
+                if by_bytes and i not in merges.special.values():
+                    ends = bool(merges.suffix) and token.endswith(merges.suffix)
+                    body = token[: -len(merges.suffix)] if ends else token
+                    made = b"".join(back[c] for c in body) + b" " * ends
                 else:
-                    ends = bool(merges.suffix) and name.endswith(merges.suffix)
-                    body = name[: -len(merges.suffix)] if ends else name
-                    self.data[i] = b"".join(back[c] for c in body) + b" " * ends
+                    made = token.encode()
+                merges.__dict__[name][i] = made
+        self.data: list[bytes] = merges.__dict__[name]
 
     def feed(self, ids: Iterable[int]) -> str:
         joint = b"" if self.by_bytes else b" "

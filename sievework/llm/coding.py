@@ -6,13 +6,13 @@ A null text counts as empty: no ids, empty decoded text. Rows are coded on their
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sievework.llm.bpe import Decoder, blocks_of, encoder_of, read_spec
+from sievework.llm.bpe import BLOCK, Decoder, blocks_of, encoder_of, packed, read_spec, unpacked
 from sievework.llm.common import bounded_batches
 
 
@@ -27,9 +27,9 @@ def encode(df: DataFrame, text: str = "text", into: str = "ids", spec: str | Non
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder_of(shared.value)
+        coder, last = encoder_of(shared.value), packed(ending)
         for batch in batches:
-            data = [array("I", [*coder.encode(x or ""), *ending]).tobytes() for x in batch.column(text).to_pylist()]
+            data = [coder.encode(x or "") + last for x in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()) if n == into else batch.column(n) for n in names], names)
 
     return df.drop(into).mapInArrow(run, schema)
@@ -47,7 +47,7 @@ def decode(df: DataFrame, ids: str = "ids", into: str = "text", spec: str | None
         for batch in batches:
             texts = []
             for data in batch.column(ids).to_pylist():
-                values = array("I", data or b"")
+                values = unpacked(data or b"")
                 machine = Decoder(merges, by_bytes)
                 texts.append("".join([*(machine.feed(values[k : k + 4096]) for k in range(0, len(values), 4096)), machine.close()]))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == into else batch.column(n) for n in names], names)
@@ -62,14 +62,17 @@ def coding_digest(df: DataFrame, text: str = "text", spec: str | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder_of(shared.value)
-        numbers = [str(i) for i in range(max(coder.merges.names) + 1)]
+        numbers = np.array([f" {i}".encode() for i in range(max(coder.merges.names) + 1)])
         for batch in batches:
             rows = []
             for value in batch.column(text).to_pylist():
                 n, of_ids, of_text, machine = 0, hashlib.sha256(), hashlib.sha256(), Decoder(coder.merges)
-                for ids in coder.stream(blocks_of(value or "")):
-                    if ids:
-                        of_ids.update((" " * bool(n) + " ".join(map(numbers.__getitem__, ids))).encode())
+                value = value or ""
+                for data in coder.stream(blocks_of(value)) if len(value) >= BLOCK else (coder.encode(value),):
+                    if data:
+                        ids = unpacked(data)
+                        digits = numbers[np.frombuffer(data, np.uint32)].tobytes().translate(None, b"\0")
+                        of_ids.update(digits if n else digits[1:])
                         of_text.update(machine.feed(ids).encode())
                         n += len(ids)
                 of_text.update(machine.close().encode())

@@ -10,14 +10,15 @@ A document without words still has its end id; a null text counts as empty; repe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.coding import encode
+from sievework.llm.bpe import encoder_of, packed, read_spec
+from sievework.llm.common import bounded_batches
 
 LONGEST = 4096
 END = 2
@@ -35,36 +36,61 @@ def cuts(n: int, longest: int) -> list[tuple[int, int]]:
     return out
 
 
+SCHEMA = "doc_id long, start long, length long, doc_tokens long, bucket int, sequence_id long, offset long, ids binary"
+COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
+TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+
+class Packer:
+    """Numbers the sequences of one task."""
+
+    def __init__(self, longest: int) -> None:
+        self.task, self.longest = TaskContext.get().partitionId(), longest
+        self.numbers = [0] * longest.bit_length()
+
+    def batch(self, docs: list[int | None], encoded: Iterable[bytes]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for doc, data in zip(docs, encoded):
+            n = len(data) // 4
+            for start, length in cuts(n, self.longest):
+                bucket = length.bit_length() - 1
+                sequence = ((self.task << 34 | self.numbers[bucket]) << 5) | bucket
+                self.numbers[bucket] += 1
+                rows.append((doc, start, length, n, bucket, sequence, 0, data[4 * start : 4 * (start + length)]))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), TYPES)], COLUMNS)
+
+
+def checked(longest: int) -> int:
+    if longest < 1 or longest & (longest - 1):
+        raise ValueError("the longest sequence must be a power of two")
+    return longest
+
+
 def pack(encoded: DataFrame, ids: str = "ids", longest: int = LONGEST) -> DataFrame:
     """One row for each piece: doc_id, start, length, doc_tokens, bucket (log2 of length), sequence_id, offset and the piece's ids."""
-    if longest & (longest - 1):
-        raise ValueError("the longest sequence must be a power of two")
-    schema = "doc_id long, start long, length long, doc_tokens long, bucket int, sequence_id long, offset long, ids binary"
-    columns = [x.split()[0] for x in schema.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    checked(longest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        numbers = [0] * longest.bit_length()
+        packer = Packer(longest)
         for batch in batches:
-            rows = []
-            for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column(ids).to_pylist()):
-                data = data or b""
-                n = len(data) // 4
-                for start, length in cuts(n, longest):
-                    bucket = length.bit_length() - 1
-                    sequence = ((task << 34 | numbers[bucket]) << 5) | bucket
-                    numbers[bucket] += 1
-                    rows.append((doc, start, length, n, bucket, sequence, 0, data[4 * start : 4 * (start + length)]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], columns)
+            yield from packer.batch(batch.column(0).to_pylist(), (x or b"" for x in batch.column(1).to_pylist()))
 
-    return encoded.select("doc_id", ids).mapInArrow(run, schema)
+    return encoded.select("doc_id", ids).mapInArrow(run, SCHEMA)
 
 
 def pack_texts(df: DataFrame, text: str = "text", longest: int = LONGEST, end: int = END, spec: str | None = None) -> DataFrame:
-    """Texts to packed pieces; each document's ids are followed by the end id."""
-    return pack(encode(df.select("doc_id", text), text, spec=spec, ending=(end,)), longest=longest)
+    """Texts to packed pieces, in one pass; each document's ids are followed by the end id."""
+    checked(longest)
+    bounded_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(read_spec(spec))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, packer, last = encoder_of(shared.value), Packer(longest), packed([end])
+        for batch in batches:
+            yield from packer.batch(batch.column(0).to_pylist(), (coder.encode(x or "") + last for x in batch.column(1).to_pylist()))
+
+    return df.select("doc_id", text).mapInArrow(run, SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def test_long_runs_without_white_space(merges, library):
 def test_state_stays_small(merges):
     encoder, most = Encoder(merges, cache=100), 0
     for _ in encoder.stream("the" * 1000 for _ in range(300)):
-        most = max(most, len(encoder) + len(encoder.older) + len(encoder.words))
+        most = max(most, len(encoder) + len(encoder.older))
     assert most <= 300
 
 
