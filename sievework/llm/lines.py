@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import WHITE, latin_lower, row_key, text_of
+from sievework.llm.common import WHITE, cut, latin_lower, row_key, text_of
 
 DOCUMENTS = 10
 LEAST_CHARS = 1
@@ -32,7 +32,8 @@ def dropped_lines(df: DataFrame, text: str = "text", documents: int = DOCUMENTS,
         .select("doc_id", "row_key", "position", F.unhex(F.md5(F.col("line").cast("binary"))).alias("key"))
     )
     counted = lines.groupBy("key").agg(F.countDistinct(F.struct("doc_id")).alias("n"))
-    frequent = counted.where(F.col("n") >= documents).select("key")
+    # Written, so that the join knows its size: small, it is broadcast; large, both sides are exchanged and AQE splits a hot key.
+    frequent = cut(counted.where(F.col("n") >= documents).select("key"), "frequent-lines")
     hits = lines.join(frequent, "key", "left_semi")
     return hits.groupBy("row_key").agg(F.collect_set("position").alias("dropped"))
 
