@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are a bounded sample of vectors. A vector is represented by its LENGTH nearest pivots in order; for each pivot an
+Pivots are vectors of a bounded sample that stand apart. A vector is represented by its LENGTH nearest pivots in order; for each pivot an
 inverted file lists the vectors that have it, with its place in their order. A query sums, over the inverted files of its
 own pivots, how far apart the places are: the footrule distance, with pivots that one side lacks counted as one place
-after the last. The best SHARE of the vectors by footrule are ranked anew by the true distance.
+after the last. The best by footrule, until they are of a SHARE of the cells that two nearest pivots make, are ranked anew by
+the true distance.
 
 Vectors are dealt to blocks of about BLOCK rows by a hash of their id, each with inverted files of its own, and queries to
 blocks too; a cell is one block of each, and the cells' lists are merged. Memory is one cell; no pair is a row.
@@ -11,7 +12,8 @@ blocks too; a cell is one block of each, and the cells' lists are merged. Memory
 Measured recall at 10 is in the README and held above 0.9 by a test against brute force.
 
 Null vec_ids, and vectors null, zero, of another length than most, or with null or non-finite components, take no part. Of
-rows with one vec_id the smallest vector counts. Equal vectors share their footrule and are taken by vec_id.
+rows with one vec_id the smallest vector counts. Of equal vectors the index holds the smallest ids only, one more than are
+asked for: ties go to them, so no other could be an answer.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PIVOTS, LENGTH, SHARE, LEAST = 128, 64, 0.1, 512
+PIVOTS, LENGTH, SHARE, LEAST, APART = 128, 64, 0.2, 512, 0.35
 BLOCK, QUERIES, SAMPLE = 16_384, 16_384, 2_048
 EVERY, NEAREST = 100, 10
 
@@ -36,6 +38,23 @@ def valid_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min(vector).alias("v")).select("vec_id", F.col("v").cast("array<double>").alias("vector"))
 
 
+def choose_pivots(sample: np.ndarray, wanted: int, apart: float = APART) -> np.ndarray:
+    """The first of the sample that are further than a share of the median distance from all chosen before; a crowd gives
+    one pivot, not many that tell the same. If too few are apart, the first others follow."""
+    if not len(sample):
+        return sample
+    some = sample[:256]
+    far = np.sqrt(np.maximum((some**2).sum(1)[:, None] + (some**2).sum(1)[None, :] - 2 * some @ some.T, 0))
+    limit = apart * float(np.median(far))
+    nearest, chosen = np.full(len(sample), np.inf), []
+    for k in range(len(sample)):
+        if nearest[k] > limit and len(chosen) < wanted:
+            chosen.append(k)
+            nearest = np.minimum(nearest, np.sqrt(((sample - sample[k]) ** 2).sum(1)))
+    rest = [k for k in range(len(sample)) if k not in set(chosen) and nearest[k] > 0]
+    return sample[[*chosen, *rest][:wanted]]
+
+
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return rows.flatten().to_numpy().reshape(len(rows), -1) if len(rows) else np.zeros((0, 1))
@@ -58,6 +77,8 @@ class Permutations:
         flat = orders.ravel()
         by_pivot = np.argsort(flat, kind="stable")
         ends = np.searchsorted(flat[by_pivot], np.arange(len(self.pivots) + 1))
+        _, self.cells = np.unique(orders[:, 0].astype(np.int64) * len(self.pivots) + orders[:, min(1, m - 1)], return_inverse=True)
+        self.n_cells = int(self.cells.max()) + 1 if n else 0
         self.files = [(by_pivot[a:b] // m, (by_pivot[a:b] % m).astype(np.int32)) for a, b in zip(ends, ends[1:])]
         self.size = n
 
@@ -72,20 +93,34 @@ class Permutations:
             total[who] += gain[there]
         return total
 
+    def candidates(self, order: np.ndarray, share: float, least: int) -> np.ndarray:
+        """The vectors of least footrule, ties by place, until they are of so many cells. A cell is its two nearest pivots:
+        a crowd of near-equal vectors is one or few cells, taken whole, and leaves the others their room."""
+        wanted = max(least, int(np.ceil(share * self.n_cells)))
+        near = np.argsort(self.footrules(order), kind="stable")
+        if wanted >= self.n_cells:
+            return near
+        first = np.empty(self.n_cells, np.int64)
+        first[self.cells[near][::-1]] = np.arange(self.size)[::-1]
+        return near[: np.partition(first, wanted - 1)[wanted - 1] + 1]
+
 
 def search(df: DataFrame, vector: str = "embedding", every: int = EVERY, nearest: int = NEAREST, pivots: int = PIVOTS, length: int = LENGTH, share: float = SHARE, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each vec_id divisible by `every` its nearest others found, by Euclidean distance."""
-    vectors = valid_vectors(df, vector)
+    queries = valid_vectors(df, vector)
+    # Of equal vectors only the smallest ids can be among a query's nearest; more of them would crowd the candidates.
+    equal = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
+    vectors = queries.withColumn("n", equal).where(F.col("n") <= nearest + 1).drop("n")
     n = vectors.count()
     # The sample of pivots is bounded by SAMPLE rows, whatever the table's size.
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    points = list(dict.fromkeys(tuple(r.vector) for r in sample))[:pivots]
-    shared = df.sparkSession.sparkContext.broadcast(np.array(points, np.float64))
+    points = choose_pivots(np.array([r.vector for r in sample], np.float64), pivots)
+    shared = df.sparkSession.sparkContext.broadcast(points)
     blocks = max(1, -(-n // block))
-    parts = max(1, -(-(n // every + 1) // QUERIES))
+    parts = max(1, -(-queries.where(F.col("vec_id") % every == 0).count() // QUERIES))
     cell = lambda salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(blocks if salt == "v" else parts)).cast("int")
     rows = vectors.select(cell("v").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("q"), "vec_id", "vector")
-    asked = vectors.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), cell("q").alias("q"), "vec_id", "vector")
+    asked = queries.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), cell("q").alias("q"), "vec_id", "vector")
 
     def run(there: pa.Table, queries: pa.Table) -> pa.Table:
         ids, found = there.column("vec_id").to_numpy(), ([], [], [])
@@ -95,9 +130,8 @@ def search(df: DataFrame, vector: str = "embedding", every: int = EVERY, nearest
             index = Permutations(shared.value, length)
             index.post(base)
             asked_ids, points = queries.column("vec_id").to_numpy(), matrix(queries.column("vector"))
-            most = max(least, int(np.ceil(share * len(ids)))) + 1
             for query, point, order in zip(asked_ids, points, index.orders(points)):
-                near = np.argsort(index.footrules(order), kind="stable")[:most]
+                near = index.candidates(order, share, least)
                 near = np.sort(near[ids[near] != query])
                 far = np.sqrt(((base[near] - point) ** 2).sum(1))
                 best = np.argsort(far, kind="stable")[:nearest]
