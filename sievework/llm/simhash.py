@@ -109,13 +109,23 @@ class VantageTree:
 
 
 class Forest:
-    """Union-find over indices; links(a, b, mask) joins index arrays wherever the mask of their pairs is set."""
+    """Union-find over indices; links(a, b, mask) joins index arrays wherever the mask of their pairs is set.
+
+    Labels lag behind the joins; equal ones are connected for sure, so a dense group is joined once and then skipped by
+    array comparisons, not walked again for each of its pairs.
+    """
 
     def __init__(self, n: int) -> None:
         self.parent = list(range(n))
-        self.label = np.arange(n)
+        self.label, self.seen = np.arange(n), 0
         self.edges: list[tuple[int, int]] = []
 
+    def refresh(self) -> None:
+        label = np.array(self.parent, np.int64)
+        while not np.array_equal(label, above := label[label]):
+            label = above
+        self.label, self.seen = label, len(self.edges)
+
     def find(self, x: int) -> int:
         parent = self.parent
         while parent[x] != x:
@@ -130,6 +140,9 @@ class Forest:
             self.edges.append((x, y))
 
     def links(self, a: np.ndarray, b: np.ndarray, mask: np.ndarray) -> None:
+        if len(self.edges) - self.seen >= 256:
+            self.refresh()
+        mask = mask & (self.label[a][:, None] != self.label[b][None, :])
         while mask.any():
             rows = np.flatnonzero(mask.any(1))
             for i, j in zip(rows, mask[rows].argmax(1)):
