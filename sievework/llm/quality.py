@@ -91,6 +91,8 @@ def boilerplate_words(df: DataFrame, text: str = "text", host: str = "source", l
     counted = lines.groupBy("host", "key").agg(F.countDistinct("text_key").alias("n"))
     hosts = texts.groupBy("host").agg(F.countDistinct("text_key").alias("n_texts"))
     frequent = counted.where(F.col("n") >= limit).join(hosts, "host").where(F.col("n") > share * F.col("n_texts")).select("host", "key")
+    # Written, so that the join knows its size: small, it is broadcast; large, both sides are exchanged and AQE splits a hot key.
+    frequent = cut(frequent, "boilerplate")
     hits = lines.join(frequent, ["host", "key"], "left_semi").dropDuplicates(["host", "text_key", "position"])
     return hits.groupBy("host", "text_key").agg(F.sum("words").alias("boilerplate_words"))
 
