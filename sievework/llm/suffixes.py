@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sievework.llm.common import bounded_batches, cut, release, row_key, text_of
+from sievework.llm.common import bounded_batches, cut, row_key, text_of
 
 LENGTH, KEY = 200, 100
 GROUP, ANCHORS, RUN, CONTEXTS_A_TASK = 1 << 20, 500_000, 60_000, 60_000
@@ -339,8 +339,9 @@ def merge_runs(table: pa.Table, length: int, key: int) -> pa.Table:
         items.append(item)
     at = np.array(items, np.int64)
     least, most = repeated_windows(np.array(shared, np.int64), np.array(sizes, np.int64), [lefts[k] for k in items], np.array(many, np.int64)[at], length, key)
-    found = np.flatnonzero(most >= 0)
-    context = [marks[items[k]] for k in found]
+    # A context that several runs have is several items with one result, and goes on once.
+    once = {marks[items[k]]: k for k in np.flatnonzero(most >= 0).tolist()}
+    context, found = list(once), np.array(list(once.values()), np.int64)
     return pa.table({"context": pa.array(context, pa.binary()), "first": pa.array((-most[found]).astype(np.int32)), "last": pa.array((length - least[found]).astype(np.int32))})
 
 
@@ -361,7 +362,6 @@ def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, key:
     spark = df.sparkSession
     bounded_batches(spark)
     chosen = anchored(df, text, length, key)
-    release(spark)
     places = chosen.agg(F.sum(F.size("places"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-places // CONTEXTS_A_TASK))
 
