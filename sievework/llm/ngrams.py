@@ -28,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import bounded_batches, cut, release, text_of
+from sievework.llm.common import bounded_batches, cut, text_of
 
 BACKOFF, LEAST = 0.4, 2
-SLICE_WORDS, SLICE_DOCS, BUCKET_BYTES, HOT = 1_500_000, 65_000, 16 << 20, 0.25
+SLICE_WORDS, SLICE_DOCS, BUCKET_BYTES, HOT = 750_000, 65_000, 8 << 20, 0.25
 START, END = np.uint64(1), np.uint64(2)
 SALT = np.uint64(0x9E3779B97F4A7C15)
 MILLION = 1e6
-CACHE = 1_000_000
+CACHE = 300_000
 
 DOCS, PAIRS, COUNTS, REST, SUMS = range(5)
 ROW = "kind int, bucket int, slice long, total long, ids array<long>, p binary, q binary, r binary, s binary, t binary"
@@ -270,6 +270,12 @@ def sum_documents(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(sizes.astype(np.int64)), "n_backoff": pa.array(back), "score_micro": pa.array(score)})
 
 
+def scored_bigrams(docs: DataFrame, buckets: int, hot, least: int) -> DataFrame:
+    """DOCS, COUNTS, REST and SUMS rows of all buckets, written to the shared folder."""
+    pairs = docs.mapInArrow(lambda x: explode(x, buckets, hot.value), ROW)
+    return cut(pairs.groupBy("bucket").applyInArrow(lambda t: score_pairs(t, buckets, hot.value, least), ROW), "bigrams")
+
+
 def backoff_scores(df: DataFrame, text: str = "text", least: int = LEAST, backoff: float = BACKOFF) -> DataFrame:
     """doc_id, n_words, n_backoff (words scored without their predecessor) and score_micro (sum of log scores, in millionths) of every row."""
     spark = df.sparkSession
@@ -279,9 +285,7 @@ def backoff_scores(df: DataFrame, text: str = "text", least: int = LEAST, backof
     buckets = max(8, -(-size // BUCKET_BYTES))
     counts, total = hot_words(docs, buckets)
     hot = spark.sparkContext.broadcast(Hot(counts))
-    pairs = docs.mapInArrow(lambda x: explode(x, buckets, hot.value), ROW)
-    scored = cut(pairs.groupBy("bucket").applyInArrow(lambda t: score_pairs(t, buckets, hot.value, least), ROW), "bigrams")
-    release(spark)
+    scored = scored_bigrams(docs, buckets, hot, least)
     rest = scored.where(F.col("kind").isin(COUNTS, REST)).groupBy("bucket").applyInArrow(lambda t: score_rest(t, hot.value, total, backoff), ROW)
     sums = scored.where(F.col("kind").isin(DOCS, SUMS)).unionByName(rest)
     return sums.groupBy("slice").applyInArrow(sum_documents, "doc_id long, n_words long, n_backoff long, score_micro long")
