@@ -137,6 +137,12 @@ def test_line_dedup(spark, docs, rows):
     assert lines.digest(lines.drop_frequent_lines(empty(spark))).count() == 0
 
 
+def test_least_length_counts_code_points(spark):
+    rows = [(k, f"éé\nééé\n{k}") for k in range(4)]
+    kept = lines.drop_frequent_lines(spark.createDataFrame(rows, "doc_id long, text string"), documents=3, least_chars=3)
+    assert {r.text for r in kept.collect()} == {f"éé\n{k}" for k in range(4)}
+
+
 def quality_numbers(text):
     own = [w for w in GAP.split(text or "") if w]
     windows = [tuple(own[k : k + 8]) for k in range(len(own) - 7)]
