@@ -258,7 +258,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     def stars(both: DataFrame, large: bool) -> DataFrame:
         kept = both if large else both.where("v < u")
-        least = kept.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Written, so that the join has an exchange on both sides and a node with very many neighbours can be split.
+        least = cut(kept.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         if large:
             return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         moved = kept.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -287,7 +288,8 @@ def near_duplicates(df: DataFrame, text: str = "text", words: int = WORDS, bits:
     roots = components(links(nodes, bits))
     named = nodes.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "best", F.coalesce("root", "fingerprint").alias("root"))
     named = cut(named, "named")
-    classes = named.join(named.groupBy("root").agg(F.min("best").alias("least")), "root")
+    least = cut(named.groupBy("root").agg(F.min("best").alias("least")), "least")
+    classes = named.join(least, "root")
     classes = classes.select("fingerprint", F.col("least.doc_id").alias("component_id"), F.col("least.row_key").alias("representative"))
     return prints.join(classes, "fingerprint")
 
