@@ -151,7 +151,8 @@ def write_warc(df: DataFrame, path: str, payload: str = "html", least: int = LEA
         return df.withColumn("at", range_of(start, width)).join(F.broadcast(bounds), "at").drop("at")
 
     groups = narrow.where(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 AND keeper IS NOT NULL")
-    revisits = narrow.join(groups, ["digest", "payload_bytes"]).where("NOT (page_id <=> keeper)").select("page_id", "digest", "keeper").distinct()
+    # Written, so that the join can split a payload that very many records have.
+    revisits = narrow.join(cut(groups, "payloads"), ["digest", "payload_bytes"]).where("NOT (page_id <=> keeper)").select("page_id", "digest", "keeper").distinct()
     # A note on a revisit sorts just before its record and reaches the same task; payloads are shuffled once.
     notes = dealt(revisits).select("shard", "page_id", "digest", F.lit(0).alias("kind"), "keeper", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     pages = dealt(rows).select("shard", "page_id", F.sha1("payload").alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("keeper"), "url", "payload")
