@@ -24,18 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sievework.llm.common import cut
+
 PIVOTS, LENGTH, SHARE, LEAST, APART = 128, 64, 0.2, 512, 0.35
 BLOCK, QUERIES, SAMPLE = 16_384, 16_384, 2_048
 EVERY, NEAREST = 100, 10
 
 
 def valid_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    """vec_id and vector (array<double>), one row for each vec_id that takes part."""
+    """vec_id and vector, one row for each vec_id that takes part."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(vector, lambda x: x != 0)
     rows = df.where(F.col("vec_id").isNotNull() & F.col(vector).isNotNull() & F.coalesce(fine, F.lit(False)))
     sizes = rows.groupBy(F.size(vector).alias("size")).count().orderBy(F.desc("count"), "size").first()
     rows = rows.where(F.size(vector) == (sizes[0] if sizes else 0))
-    return rows.groupBy("vec_id").agg(F.min(vector).alias("v")).select("vec_id", F.col("v").cast("array<double>").alias("vector"))
+    return rows.groupBy("vec_id").agg(F.min(vector).alias("v")).select("vec_id", F.col("v").alias("vector"))
 
 
 def choose_pivots(sample: np.ndarray, wanted: int, apart: float = APART) -> np.ndarray:
@@ -57,7 +59,7 @@ def choose_pivots(sample: np.ndarray, wanted: int, apart: float = APART) -> np.n
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return rows.flatten().to_numpy().reshape(len(rows), -1) if len(rows) else np.zeros((0, 1))
+    return rows.flatten().to_numpy().reshape(len(rows), -1).astype(np.float64) if len(rows) else np.zeros((0, 1))
 
 
 class Permutations:
@@ -107,10 +109,10 @@ class Permutations:
 
 def search(df: DataFrame, vector: str = "embedding", every: int = EVERY, nearest: int = NEAREST, pivots: int = PIVOTS, length: int = LENGTH, share: float = SHARE, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each vec_id divisible by `every` its nearest others found, by Euclidean distance."""
-    queries = valid_vectors(df, vector)
+    queries = cut(valid_vectors(df, vector), "vectors")
     # Of equal vectors only the smallest ids can be among a query's nearest; more of them would crowd the candidates.
     equal = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
-    vectors = queries.withColumn("n", equal).where(F.col("n") <= nearest + 1).drop("n")
+    vectors = cut(queries.withColumn("n", equal).where(F.col("n") <= nearest + 1).drop("n"), "indexed")
     n = vectors.count()
     # The sample of pivots is bounded by SAMPLE rows, whatever the table's size.
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
