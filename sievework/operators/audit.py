@@ -37,12 +37,12 @@ def reasons(df: DataFrame, conditions: list[tuple[str, Column]], into: str = "re
 
 
 def issue_tally(df: DataFrame, issues: str, issue: str = "reason") -> DataFrame:
-    return df.select(F.explode(issues).alias(issue)).groupBy(issue).agg(F.count("*").alias("n"))
+    return df.select(F.explode_outer(issues).alias(issue)).where(F.col(issue).isNotNull()).groupBy(issue).agg(F.count("*").alias("n"))
 
 
 def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, line_no from 1, line."""
-    return df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("_p", "line")).select(key, (F.col("_p") + 1).alias("line_no"), "line")
+    return df.select(key, F.posexplode_outer(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("_p", "line")).select(key, (F.col("_p") + 1).alias("line_no"), "line")
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,7 @@ def claim_hits(lines: DataFrame, gates: tuple[Gate, ...], proven: DataFrame | No
         hit = F.lower("line").rlike(gate.claim)
         return F.when(hit if gate.safe is None else hit & ~F.lower("line").rlike(gate.safe), F.lit(gate.name))
 
-    hits = lines.withColumn("gate", F.explode(compact_issues(*map(one, gates))))
+    hits = lines.withColumn("gate", F.explode_outer(compact_issues(*map(one, gates)))).where("gate IS NOT NULL")
     return hits if proven is None else hits.join(F.broadcast(proven.select("gate").distinct()), "gate", "left_anti")
 
 

@@ -26,7 +26,7 @@ def classes(sets: DataFrame, key: str, *blocks: str) -> DataFrame:
 
 def prefixes(sets: DataFrame, key: str, threshold: float, *blocks: str) -> DataFrame:
     """The tokens that two sets above the threshold must share one of: the rarest n - ceil(threshold n) + 1."""
-    rows = sets.select(key, *blocks, F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    rows = sets.select(key, *blocks, F.size("tokens").alias("size"), F.explode_outer("tokens").alias("token")).where("token IS NOT NULL")
     frequency = rows.groupBy("token").agg(F.count("*").alias("df"))
     ranked = rows.join(frequency, "token")
     kept = F.col("size") - F.ceil(F.col("size") * F.lit(threshold)) + 1
@@ -58,7 +58,7 @@ def contained_items(docs: DataFrame, items: DataFrame, doc: str, item: str, leas
     docs and items are token sets (see token_sets).
     """
     rare = prefixes(items, item, least).select(item, "token")
-    tokens = docs.select(doc, F.explode("tokens").alias("token"))
+    tokens = docs.select(doc, F.explode_outer("tokens").alias("token")).where("token IS NOT NULL")
     near = tokens.join(rare, "token").select(doc, item).distinct()
     joined = near.join(items.select(item, F.col("tokens").alias("ti")), item).join(docs.select(doc, F.col("tokens").alias("td")), doc)
     share = F.size(F.array_intersect("ti", "td")) / F.size("ti")
@@ -75,7 +75,7 @@ def exclusion_matches(docs: DataFrame, items: DataFrame, doc: str, item: str, th
     """(doc, item, reason): equal content, or Jaccard similarity from the threshold on. docs and items have tokens and content."""
     exact = docs.join(items.select(item, "content"), "content").select(doc, item, F.lit("exact").alias("reason"))
     rare = prefixes(items, item, threshold).select(item, "token", F.col("size").alias("size_i"))
-    tokens = docs.select(doc, F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    tokens = docs.select(doc, F.size("tokens").alias("size"), F.explode_outer("tokens").alias("token")).where("token IS NOT NULL")
     near = tokens.join(rare, "token").where(F.least("size", "size_i") >= F.lit(threshold) * F.greatest("size", "size_i")).select(doc, item).distinct()
     joined = near.join(items.select(item, F.col("tokens").alias("ti")), item).join(docs.select(doc, F.col("tokens").alias("td")), doc)
     close = joined.where(jaccard(F.col("ti"), F.col("td")) >= threshold).select(doc, item, F.lit("near").alias("reason"))

@@ -1,4 +1,8 @@
-"""Lexical retrieval: substring scorer, BM25 over postings, choice of engine with fallback, forced cards."""
+"""Lexical retrieval: substring scorer, BM25 over postings, choice of engine with fallback, forced cards.
+
+Arrays are exploded as outer ones and nulls dropped: of a plain explode the optimizer infers a filter on the array's size,
+and with it computes the array twice.
+"""
 
 from __future__ import annotations
 
@@ -27,7 +31,7 @@ def top(scored: DataFrame, query: str, key: str, limit: int) -> DataFrame:
 
 def term_counts(queries: DataFrame, query: str, text: str) -> DataFrame:
     """(query, term, times) of each query's terms."""
-    return queries.select(query, F.explode(query_terms(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("times"))
+    return queries.select(query, F.explode_outer(query_terms(F.col(text))).alias("term")).where("term IS NOT NULL").groupBy(query, "term").agg(F.count("*").alias("times"))
 
 
 def term_scores(queries: DataFrame, docs: DataFrame, query: str, key: str, query_text: str, body: Column, title: Column | None = None) -> DataFrame:
@@ -38,9 +42,9 @@ def term_scores(queries: DataFrame, docs: DataFrame, query: str, key: str, query
     """
     wanted = term_counts(queries, query, query_text)
     longest = wanted.agg(F.max(F.length("term"))).first()[0] or 0  # one number
-    tokens = docs.select(key, F.explode(words(body)).alias("token"), F.lit(1).alias("w"))
+    tokens = docs.select(key, F.explode_outer(words(body)).alias("token"), F.lit(1).alias("w"))
     if title is not None:
-        tokens = tokens.unionByName(docs.select(key, F.explode(words(title)).alias("token"), F.lit(TITLE_WEIGHT).alias("w")))
+        tokens = tokens.unionByName(docs.select(key, F.explode_outer(words(title)).alias("token"), F.lit(TITLE_WEIGHT).alias("w")))
     counted = tokens.where(F.length("token") > 1).groupBy(key, "token").agg(F.sum("w").alias("w"))
     size, token = F.length("token"), F.col("token")
     cuts = F.transform(F.sequence(F.lit(2), F.least(size, F.lit(max(2, longest)))), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: token.substr(i, n)))
@@ -54,7 +58,7 @@ def term_scores(queries: DataFrame, docs: DataFrame, query: str, key: str, query
 def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, term, tf, size): the inverted index; write it bucketed by term to keep it."""
     found = docs.select(key, words(text).alias("w"))
-    return found.select(key, F.size("w").alias("size"), F.explode("w").alias("term")).groupBy(key, "term", "size").agg(F.count("*").alias("tf"))
+    return found.select(key, F.size("w").alias("size"), F.explode_outer("w").alias("term")).where("term IS NOT NULL").groupBy(key, "term", "size").agg(F.count("*").alias("tf"))
 
 
 def bm25_scores(queries: DataFrame, docs: DataFrame, query: str, key: str, query_text: str, body: Column) -> DataFrame:

@@ -74,8 +74,8 @@ def screen(df: DataFrame, text: Column, rules: tuple[Rule, ...], confirmed: Colu
 
 
 def rule_rows(screened: DataFrame, *keys: str, column: str = "fired") -> DataFrame:
-    """One row for each fired rule."""
-    return screened.select(*keys, F.inline(column))
+    """One row for each fired rule. (An outer explode: of a plain one the optimizer would compute all rules twice.)"""
+    return screened.select(*keys, F.inline_outer(column)).where("rule_id IS NOT NULL")
 
 
 def floor(fired_rules: Column, base: Column | None = None) -> Column:

@@ -12,13 +12,14 @@ from sievework.functions.hashing import row_hash
 from sievework.functions.sets import missing
 from sievework.operators import audit, decontaminate, merging, metrics, provenance, redaction, retrieval, screening, selection
 from sievework.plans import dims
+from sievework.sources.tables import read_table
 
 NEAR, EXCLUDE, COVER, CONTAIN = 0.92, 0.5, 0.5, 0.9
 TOP = 10
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def _screened(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +45,11 @@ def q04_floor_histogram(spark, sf_dir):
 def q05_forbidden_phrase_scan(spark, sf_dir):
     low = F.lower("text")
     found = F.array(*(F.struct(F.lit(i).alias("pattern"), screening.first_match(low, (p,)).alias("found")) for i, p in enumerate(dims.FORBIDDEN)))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.inline(F.filter(found, lambda x: x["found"].isNotNull())))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.inline_outer(F.filter(found, lambda x: x["found"].isNotNull()))).where("found IS NOT NULL")
 
 
 def q06_clause_negation(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select("doc_id", F.explode(screening.clauses(F.col("text"))).alias("clause"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.explode_outer(screening.clauses(F.col("text"))).alias("clause")).where("clause IS NOT NULL")
     cues = F.array(*(F.struct(F.lit(c).alias("cue"), screening.negated_clause(F.col("clause"), c, dims.MARKERS).alias("negated")) for c in dims.CUES))
     hits = docs.select("doc_id", "clause", F.inline(cues)).where(F.contains("clause", "cue"))
     return hits.groupBy("doc_id", "cue").agg(F.count("*").alias("hits"), F.count_if("negated").alias("negated"))
