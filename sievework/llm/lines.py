@@ -26,10 +26,11 @@ def line_keys(text: Column) -> Column:
 def dropped_lines(df: DataFrame, text: str = "text", documents: int = DOCUMENTS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """For each row key (see common.row_key) the positions, from 0, of the lines to drop; rows without any are left out."""
     body = text_of(text)
+    # An outer explode: of a plain one the optimizer infers a filter on the size and splits the text twice.
     # A key has one character for each byte; code points are the bytes that do not continue one.
     chars = F.length("line") if least_chars <= 1 else F.length(F.regexp_replace("line", "[\u0080-\u00bf]", ""))
     lines = (
-        df.select("doc_id", row_key("doc_id", body).alias("row_key"), F.posexplode(line_keys(body)).alias("position", "line"))
+        df.select("doc_id", row_key("doc_id", body).alias("row_key"), F.posexplode_outer(line_keys(body)).alias("position", "line"))
         .where(chars >= least_chars)
         .select("doc_id", "row_key", "position", F.unhex(F.md5(F.col("line").cast("binary"))).alias("key"))
     )
