@@ -80,7 +80,8 @@ def boilerplate_words(df: DataFrame, text: str = "text", host: str = "source", l
     body = text_of(text)
     texts = df.select(F.struct(F.col(host).alias("name")).alias("host"), text_key(body).alias("text_key"), body.alias("body"))
     raw = F.transform(F.split(F.col("body"), "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)))
-    lines = texts.select("host", "text_key", F.posexplode(raw).alias("position", "line")).where(F.col("line") != "")
+    # An outer explode: of a plain one the optimizer infers a filter on the size and splits the text twice.
+    lines = texts.select("host", "text_key", F.posexplode_outer(raw).alias("position", "line")).where(F.col("line") != "")
     lines = lines.select(
         "host",
         "text_key",
