@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import lines, packing, quality, secrets, simhash
+from sievework.llm import lines, packing, quality, secrets, similar
 from sievework.llm.common import cut, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,8 +30,8 @@ def without_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the smallest doc_id."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """One document of each group linked by shingle similarity of 0.8 and more stays: that of the smallest doc_id."""
+    return similar.keep_one(docs).select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
