@@ -25,8 +25,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten or more documents go."""
-    return counted(lines.drop_frequent_lines(docs))
+    """Lines found in ten or more different texts go; a group of copies counts once, and near-dedup keeps one of it."""
+    return counted(lines.drop_frequent_lines(docs, by_text=True))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
