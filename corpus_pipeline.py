@@ -20,8 +20,8 @@ def counted(df: DataFrame) -> DataFrame:
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or that boilerplate lines of their source deplete, go."""
-    return quality.keep_good(docs).select(*COLUMNS)
+    """Boilerplate lines of their source go, and documents that fail the base rules or that these lines deplete."""
+    return counted(quality.keep_good(docs))
 
 
 def without_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

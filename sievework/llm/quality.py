@@ -76,7 +76,7 @@ def text_key(text: Column) -> Column:
 
 
 def boilerplate_words(df: DataFrame, text: str = "text", host: str = "source", limit: int = LIMIT, share: float = SHARE) -> DataFrame:
-    """For each host and text key the number of words in boilerplate lines; texts without any are left out."""
+    """For each host and text key the number of words in boilerplate lines, and dropped: their positions; texts without any are left out."""
     body = text_of(text)
     texts = df.select(F.struct(F.col(host).alias("name")).alias("host"), text_key(body).alias("text_key"), body.alias("body"))
     raw = F.transform(F.split(F.col("body"), "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)))
@@ -95,15 +95,18 @@ def boilerplate_words(df: DataFrame, text: str = "text", host: str = "source", l
     # Written, so that the join knows its size: small, it is broadcast; large, both sides are exchanged and AQE splits a hot key.
     frequent = cut(frequent, "boilerplate")
     hits = lines.join(frequent, ["host", "key"], "left_semi").dropDuplicates(["host", "text_key", "position"])
-    return hits.groupBy("host", "text_key").agg(F.sum("words").alias("boilerplate_words"))
+    return hits.groupBy("host", "text_key").agg(F.sum("words").alias("boilerplate_words"), F.collect_set("position").alias("dropped"))
 
 
-def with_verdicts(df: DataFrame, text: str = "text", host: str = "source", limit: int = LIMIT, share: float = SHARE, keep: float = KEEP) -> DataFrame:
-    """with_statistics, and kept: false if base_failed or depleted. Only counts and keys are shuffled, never texts: see quality_verdicts for rows."""
+def with_verdicts(df: DataFrame, text: str = "text", host: str = "source", limit: int = LIMIT, share: float = SHARE, keep: float = KEEP, dropped: bool = False) -> DataFrame:
+    """with_statistics, and kept: false if base_failed or depleted; if asked for, _dropped: the positions, from 0, of boilerplate lines.
+
+    Only counts and keys are shuffled, never texts: see keep_good for rows.
+    """
     found = with_statistics(df, text)
     found = found.withColumns({"_host": F.struct(F.col(host).alias("name")), "_text_key": text_key(text_of(text))})
-    gone = boilerplate_words(df, text, host, limit, share).withColumnsRenamed({"host": "_host", "text_key": "_text_key"})
-    joined = found.join(gone, ["_host", "_text_key"], "left")
+    gone = boilerplate_words(df, text, host, limit, share).withColumnsRenamed({"host": "_host", "text_key": "_text_key", "dropped": "_dropped"})
+    joined = found.join(gone if dropped else gone.drop("_dropped"), ["_host", "_text_key"], "left")
     left = F.col("n_words") - F.coalesce("boilerplate_words", F.lit(0))
     kept = ~F.col("base_failed") & (left >= keep * F.col("n_words"))
     return joined.withColumn("n_left_words", left).withColumn("kept", kept).drop("_host", "_text_key", "boilerplate_words")
@@ -114,13 +117,18 @@ def digest(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame
     return with_verdicts(df.select("doc_id", host, text), text, host).select(*columns)
 
 
-def keep_good(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The rows that pass, with the columns of df.
+def keep_good(df: DataFrame, text: str = "text", host: str = "source", limit: int = LIMIT, share: float = SHARE) -> DataFrame:
+    """The rows that pass, with the columns of df, their texts rebuilt by position without boilerplate lines.
 
     The verdicts are written first, by row key: a filter on them would otherwise be pushed into the nested expressions
     they come from and copy these over and over. Equal rows of different hosts have verdicts of their own.
     """
-    key = F.struct(F.col(host).alias("host"), row_key("doc_id", text_of(text)).alias("row"))
-    keyed = df.withColumn("_key", key)
-    verdicts = cut(with_verdicts(keyed.select("_key", host, text), text, host).select("_key", "kept"), "verdicts")
-    return keyed.join(verdicts.where("kept").select("_key").distinct(), "_key", "left_semi").drop("_key")
+    body = text_of(text)
+    keyed = df.withColumn("_key", F.struct(F.col(host).alias("host"), row_key("doc_id", body).alias("row")))
+    verdicts = cut(with_verdicts(keyed.select("_key", host, text), text, host, limit, share, dropped=True).select("_key", "kept", "_dropped"), "verdicts")
+    # Rows of one key have equal texts, hosts and verdicts.
+    good = keyed.join(verdicts.where("kept").dropDuplicates(["_key"]).select("_key", "_dropped"), "_key").withColumn("_lines", F.split(body, "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_dropped"))
+    rebuilt = F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")
+    new = F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(rebuilt)
+    return good.select(*(new.alias(text) if c == text else F.col(c) for c in df.columns))

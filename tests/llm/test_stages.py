@@ -23,3 +23,11 @@ def test_one_of_a_group_of_copies_survives(spark, tmp_path):
     docs = STAGES["line dedup"](spark, documents(spark, rows), str(tmp_path))
     found = {r.doc_id: r.text for r in STAGES["near-dedup"](spark, docs, str(tmp_path)).collect()}
     assert found == {0: copy, **{100 + k: prose(10 + k) for k in range(10)}}
+
+
+def test_boilerplate_lines_are_taken_out(spark, tmp_path):
+    rows = [(k, f"Site  Footer\n{prose(k)}\n site  footer \nlast {k}", "a") for k in range(12)]
+    rows += [(50, rows[0][1], "a"), (60, rows[0][1], "b"), (70, "short\nSite  Footer", "a"), (71, prose(71) + "\n" + "Site  Footer\n" * 40, "a")]
+    found = {r.doc_id: (r.text, r.n_chars) for r in STAGES["quality rules"](spark, documents(spark, rows), str(tmp_path)).collect()}
+    expected = {k: f"{prose(k)}\nlast {k}" for k in range(12)} | {50: f"{prose(0)}\nlast 0", 60: rows[0][1]}
+    assert found == {k: (t, len(t)) for k, t in expected.items()}
