@@ -21,7 +21,7 @@ def counted(df: DataFrame) -> DataFrame:
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of their source go, and documents that fail the base rules or that these lines deplete."""
-    return counted(quality.keep_good(docs))
+    return counted(quality.keep_good(docs, groups=similar.near_copies(docs)))
 
 
 def without_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

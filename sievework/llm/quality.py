@@ -7,6 +7,7 @@ Across documents, for each host (the source column): normalised lines are hashed
 have them. Documents with equal texts count once, so that a page copied many times does not condemn itself: copies are
 the business of deduplication, and so are groups of near copies, which stay below SHARE of their host. A line is
 boilerplate when it is in at least LIMIT distinct documents of a host and in more than SHARE of them. Those lines are taken out; a document that keeps less than KEEP of its words is depleted and rejected.
+With groups of near copies given (the pipeline does), LIMIT groups make a line boilerplate in a host of any size.
 
 Null texts have no words and fail the base rules. Null hosts are one host. Repeated rows get equal results. Other columns
 pass through.
@@ -75,8 +76,11 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def boilerplate_words(df: DataFrame, text: str = "text", host: str = "source", limit: int = LIMIT, share: float = SHARE) -> DataFrame:
-    """For each host and text key the number of words in boilerplate lines, and dropped: their positions; texts without any are left out."""
+def boilerplate_words(df: DataFrame, text: str = "text", host: str = "source", limit: int = LIMIT, share: float = SHARE, groups: DataFrame | None = None) -> DataFrame:
+    """For each host and text key the number of words in boilerplate lines, and dropped: their positions; texts without any are left out.
+
+    With groups (text_key, group) a line is boilerplate from `limit` distinct groups of its host, whatever the host's size; share is not used.
+    """
     body = text_of(text)
     texts = df.select(F.struct(F.col(host).alias("name")).alias("host"), text_key(body).alias("text_key"), body.alias("body"))
     raw = F.transform(F.split(F.col("body"), "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)))
@@ -90,22 +94,28 @@ def boilerplate_words(df: DataFrame, text: str = "text", host: str = "source", l
         F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"),
     )
     counted = lines.groupBy("host", "key").agg(F.countDistinct("text_key").alias("n"))
-    hosts = texts.groupBy("host").agg(F.countDistinct("text_key").alias("n_texts"))
-    frequent = counted.where(F.col("n") >= limit).join(hosts, "host").where(F.col("n") > share * F.col("n_texts")).select("host", "key")
+    frequent = counted.where(F.col("n") >= limit)
+    if groups is None:
+        hosts = texts.groupBy("host").agg(F.countDistinct("text_key").alias("n_texts"))
+        frequent = frequent.join(hosts, "host").where(F.col("n") > share * F.col("n_texts")).select("host", "key")
+    else:
+        # Only lines of enough texts can be in enough groups.
+        holders = lines.join(cut(frequent.select("host", "key"), "likely"), ["host", "key"], "left_semi").select("host", "key", "text_key").distinct()
+        frequent = holders.join(groups, "text_key").groupBy("host", "key").agg(F.countDistinct("group").alias("n")).where(F.col("n") >= limit).select("host", "key")
     # Written, so that the join knows its size: small, it is broadcast; large, both sides are exchanged and AQE splits a hot key.
     frequent = cut(frequent, "boilerplate")
     hits = lines.join(frequent, ["host", "key"], "left_semi").dropDuplicates(["host", "text_key", "position"])
     return hits.groupBy("host", "text_key").agg(F.sum("words").alias("boilerplate_words"), F.collect_set("position").alias("dropped"))
 
 
-def with_verdicts(df: DataFrame, text: str = "text", host: str = "source", limit: int = LIMIT, share: float = SHARE, keep: float = KEEP, dropped: bool = False) -> DataFrame:
+def with_verdicts(df: DataFrame, text: str = "text", host: str = "source", limit: int = LIMIT, share: float = SHARE, keep: float = KEEP, dropped: bool = False, groups: DataFrame | None = None) -> DataFrame:
     """with_statistics, and kept: false if base_failed or depleted; if asked for, _dropped: the positions, from 0, of boilerplate lines.
 
     Only counts and keys are shuffled, never texts: see keep_good for rows.
     """
     found = with_statistics(df, text)
     found = found.withColumns({"_host": F.struct(F.col(host).alias("name")), "_text_key": text_key(text_of(text))})
-    gone = boilerplate_words(df, text, host, limit, share).withColumnsRenamed({"host": "_host", "text_key": "_text_key", "dropped": "_dropped"})
+    gone = boilerplate_words(df, text, host, limit, share, groups).withColumnsRenamed({"host": "_host", "text_key": "_text_key", "dropped": "_dropped"})
     joined = found.join(gone if dropped else gone.drop("_dropped"), ["_host", "_text_key"], "left")
     left = F.col("n_words") - F.coalesce("boilerplate_words", F.lit(0))
     kept = ~F.col("base_failed") & (left >= keep * F.col("n_words"))
@@ -117,15 +127,20 @@ def digest(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame
     return with_verdicts(df.select("doc_id", host, text), text, host).select(*columns)
 
 
-def keep_good(df: DataFrame, text: str = "text", host: str = "source", limit: int = LIMIT, share: float = SHARE) -> DataFrame:
+def keep_good(df: DataFrame, text: str = "text", host: str = "source", limit: int = LIMIT, share: float = SHARE, groups: DataFrame | None = None) -> DataFrame:
     """The rows that pass, with the columns of df, their texts rebuilt by position without boilerplate lines.
 
+    groups, if given, has row_key and group (see similar.near_copies): lines are then counted by group (see boilerplate_words).
+
     The verdicts are written first, by row key: a filter on them would otherwise be pushed into the nested expressions
     they come from and copy these over and over. Equal rows of different hosts have verdicts of their own.
     """
     body = text_of(text)
+    if groups is not None:
+        keys = df.select(row_key("doc_id", body).alias("row_key"), text_key(body).alias("text_key"))
+        groups = cut(keys.join(groups.select("row_key", "group"), "row_key").select("text_key", "group").distinct(), "text-groups")
     keyed = df.withColumn("_key", F.struct(F.col(host).alias("host"), row_key("doc_id", body).alias("row")))
-    verdicts = cut(with_verdicts(keyed.select("_key", host, text), text, host, limit, share, dropped=True).select("_key", "kept", "_dropped"), "verdicts")
+    verdicts = cut(with_verdicts(keyed.select("_key", host, text), text, host, limit, share, dropped=True, groups=groups).select("_key", "kept", "_dropped"), "verdicts")
     # Rows of one key have equal texts, hosts and verdicts.
     good = keyed.join(verdicts.where("kept").dropDuplicates(["_key"]).select("_key", "_dropped"), "_key").withColumn("_lines", F.split(body, "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_dropped"))

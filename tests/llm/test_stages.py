@@ -31,3 +31,10 @@ def test_boilerplate_lines_are_taken_out(spark, tmp_path):
     found = {r.doc_id: (r.text, r.n_chars) for r in STAGES["quality rules"](spark, documents(spark, rows), str(tmp_path)).collect()}
     expected = {k: f"{prose(k)}\nlast {k}" for k in range(12)} | {50: f"{prose(0)}\nlast 0", 60: rows[0][1]}
     assert found == {k: (t, len(t)) for k, t in expected.items()}
+
+
+def test_a_line_limit_does_not_grow_with_the_host(spark, tmp_path):
+    rows = [(k, prose(k) + ("\nrare footer" if k < 12 else ""), "a") for k in range(200)]
+    near = [(300 + k, prose(300, 80) + f" end{k}\n" + prose(301) + "\n" + prose(302), "a") for k in range(12)]
+    found = {r.doc_id: r.text for r in STAGES["quality rules"](spark, documents(spark, rows + near), str(tmp_path)).collect()}
+    assert found == {**{k: prose(k) for k in range(200)}, **{k: t for k, t, _ in near}}
