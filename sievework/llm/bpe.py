@@ -2,9 +2,11 @@
 
 Encoding is a transducer with bounded lookahead. A merge can change what stands to its left only through a chain of
 merges of ever higher priority, each taking away the symbol that the one before needs. `Merges.lookahead` is the longest
-such chain, in symbols, found by dynamic programming over the merge list. Text is read in blocks; a token is given out
-once it ends that many symbols before the end of what was read, since nothing further right can change it. The state is
-one block, one open piece of a few lookaheads and a word cache of fixed size, however long the text is.
+such chain, in symbols, found by dynamic programming over the merge list. `Run` is the transducer: a piece's bytes go in, a
+token comes out once it ends that many symbols before the end of what was read, since nothing further right can change it,
+or once the piece has ended, as no merge crosses that. Every piece of every text goes through it, of whatever length; what
+it gave for a piece is remembered in a memo of fixed size. Text is read in blocks. The state is one block, one open piece
+of two lookaheads and the memo, however long the text is.
 
 Decoding is a state machine over bytes: tokens give bytes, complete characters leave, an incomplete one waits.
 """
@@ -14,6 +16,7 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+import os
 import unicodedata
 from array import array
 from bisect import bisect_left
@@ -29,8 +32,10 @@ OPEN = {"letters": regex.compile(r"\p{L}+"), "others": regex.compile(rf"[^{SPACE
 GAPS = regex.compile(rf"[{SPACE}]+")
 #: str.split() takes these for white space, the tokenizer does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
-BLOCK = 1 << 15
-LONG = 512
+#: Characters read at a time; memory, not results, depends on it. So does a memo entry's greatest length.
+BLOCK, MEMO_CHARS = 1 << 15, 512
+#: Normalization looks no further back than this for a place to cut.
+CUT_WITHIN = 2048
 NEVER = 1 << 60
 POINTS = frozenset(".,;:!?")
 CACHE = 600_000
@@ -65,11 +70,12 @@ class Merges:
         letters = byte_alphabet()
         self.inner = [self.vocab[c] for c in letters]
         self.last = [self.vocab[c + self.suffix] for c in letters]
+        self.size: dict[int, int] = {}
         self.lookahead = self._lookahead()
 
     def _lookahead(self) -> int:
         """Symbols to the right that can matter to a token, by the longest chain of merges that block one another."""
-        size: dict[int, int] = {}
+        size = self.size
         for token in (*self.inner, *self.last):
             size[token] = 1
         starts: dict[int, tuple[list[int], list[int]]] = {}  # by left operand: ranks, longest reach up to there
@@ -95,12 +101,6 @@ class Merges:
         """The tokens of a whole run of symbols: lowest rank first, leftmost among equals."""
         return self._few(ids) if len(ids) <= 24 else self._many(ids)
 
-    def word(self, data: bytes) -> list[int]:
-        """The tokens of a whole word: its last symbol is marked."""
-        symbols = [*map(self.inner.__getitem__, data)]
-        symbols[-1] = self.last[data[-1]]
-        return self.merge(symbols)
-
     def _few(self, ids: list[int]) -> list[int]:
         find = self.coded.get
         waiting = [find(x << 20 | y, NEVER) for x, y in zip(ids, ids[1:])]
@@ -139,7 +139,8 @@ class Merges:
 
 
 class Run:
-    """One open piece: bytes come in, tokens leave once nothing further right can change them."""
+    """The transducer for one piece: bytes come in, tokens leave once nothing further right can change them. It holds no
+    more than two lookaheads beyond what it was last fed."""
 
     def __init__(self, merges: Merges) -> None:
         self.merges, self.held = merges, b""
@@ -148,40 +149,39 @@ class Run:
         self.held += data
         out: list[int] = []
         ahead = self.merges.lookahead
-        while len(self.held) > 4 * ahead:
-            window = self.held[: 4 * ahead]
-            stable = []
-            ends = 0
-            for token in self.merges.merge([self.merges.inner[b] for b in window]):
-                ends += self._size(token)
+        while len(self.held) > 2 * ahead:
+            window = self.held[: 2 * ahead]
+            ends = taken = 0
+            for token in self.merges.merge([*map(self.merges.inner.__getitem__, window)]):
+                ends += self.merges.size[token]
                 if ends > len(window) - ahead:
                     break
-                stable.append(token)
+                out.append(token)
                 taken = ends
-            out += stable
             self.held = self.held[taken:]
         return out
 
-    def _size(self, token: int) -> int:
-        return len(self.merges.names[token])
-
     def close(self) -> list[int]:
+        """The piece has ended, so nothing can change what is left; its last symbol is marked."""
         if not self.held:
             return []
-        symbols = [self.merges.inner[b] for b in self.held]
+        symbols = [*map(self.merges.inner.__getitem__, self.held)]
         symbols[-1] = self.merges.last[self.held[-1]]
         self.held = b""
         return self.merges.merge(symbols)
 
 
 class Encoder(dict):
-    """Texts to ids, as unsigned 32-bit little-endian bytes. As a dict it is the cache: a stretch without white space and
-    its ids; when full it becomes the older half. Over-long stretches are not kept."""
+    """Texts to ids, as unsigned 32-bit little-endian bytes. As a dict it is the memo: a stretch without white space and
+    the ids that the transducer gave for its pieces; when full it becomes the older half. Over-long stretches are not kept,
+    with room for none nothing is."""
 
     def __init__(self, merges: Merges, cache: int = CACHE) -> None:
         super().__init__()
         self.merges, self.room, self.older = merges, cache, {}
         self.cuts = regex.compile("(" + "|".join(regex.escape(x) for x in merges.special) + ")") if merges.special else None
+        #: What all special tokens begin with: text without it holds none.
+        self.mark = os.path.commonprefix([*merges.special])
 
     def __missing__(self, stretch: str) -> bytes:
         ids = self.older.get(stretch)
@@ -192,7 +192,7 @@ class Encoder(dict):
                 ids = self[stretch[:-1]] + self[stretch[-1]]
             else:
                 ids = self._pieces(stretch)
-            if len(stretch) > LONG:
+            if len(stretch) > MEMO_CHARS or not self.room:
                 return ids
         if len(self) >= self.room:
             self.older = dict(self)
@@ -206,7 +206,12 @@ class Encoder(dict):
         return self._word(text) if len(pieces) == 1 else b"".join(map(self.__getitem__, pieces))
 
     def _word(self, piece: str) -> bytes:
-        return self._long(piece) if len(piece) > LONG else packed(self.merges.word(piece.encode()))
+        run = Run(self.merges)
+        data = piece.encode()
+        out: list[int] = []
+        for k in range(0, len(data), BLOCK):
+            out += run.feed(data[k : k + BLOCK])
+        return packed(out + run.close())
 
     def stream(self, blocks: Iterable[str]) -> Iterator[bytes]:
         """Ids, one for each block read or so. Special tokens within the text become their ids."""
@@ -224,7 +229,7 @@ class Encoder(dict):
         def plain() -> Iterator[str]:
             nonlocal held, closed, found
             while True:
-                found = self.cuts.search(held) if self.cuts else None
+                found = self.cuts.search(held) if self.cuts and self.mark in held else None
                 if found:
                     yield held[: found.start()]
                     held = held[found.end() :]
@@ -258,11 +263,11 @@ class Encoder(dict):
                 out += self._rest(run, kind, ready + normal(held[: gap.start()]))
                 held, ready, run = held[gap.end() :], "", None
             if not (run or ready):
-                gaps = list(GAPS.finditer(held, max(0, len(held) - LONG))) or list(GAPS.finditer(held))
-                if gaps:
-                    out += self._words(held[: gaps[-1].start()])
-                    held = held[gaps[-1].end() :]
-            if run or ready or len(held) > 2 * LONG:
+                gap = last_gap(held)
+                if gap:
+                    out += self._words(held[: gap[0]])
+                    held = held[gap[1] :]
+            if run or ready or len(held) > self.merges.lookahead:
                 cut = safe_cut(held)
                 ready, held = ready + normal(held[:cut]), held[cut:]
                 if run:
@@ -302,18 +307,12 @@ class Encoder(dict):
         run = Run(self.merges)
         return run, kind, "", b"".join(map(self.__getitem__, pieces)) + packed(run.feed(tail.encode()))
 
-    def _long(self, piece: str) -> bytes:
-        run = Run(self.merges)
-        return packed(run.feed(piece.encode()) + run.close())
-
     def _words(self, text: str) -> bytes:
         text = normal(text)
         odd = any(c in text for c in SEPARATORS)
         return b"".join(map(self.__getitem__, filter(None, GAPS.split(text)) if odd else text.split()))
 
     def encode(self, text: str) -> bytes:
-        if len(text) < BLOCK and not (self.cuts and "<|" in text and self.cuts.search(text)):
-            return self._words(text)
         return b"".join(self.stream(blocks_of(text)))
 
 
@@ -329,6 +328,17 @@ def blocks_of(text: str) -> Iterator[str]:
     return (text[k : k + BLOCK] for k in range(0, max(1, len(text)), BLOCK))
 
 
+def last_gap(text: str) -> tuple[int, int] | None:
+    """Start and end of the last white space of a text."""
+    for k in range(len(text) - 1, -1, -1):
+        if text[k].isspace() and text[k] not in SEPARATORS:
+            end = k + 1
+            while k and text[k - 1].isspace() and text[k - 1] not in SEPARATORS:
+                k -= 1
+            return k, end
+    return None
+
+
 def normal(text: str) -> str:
     """NFC, then lower case character by character (a final sigma gets no form of its own)."""
     if text.isascii():
@@ -338,7 +348,7 @@ def normal(text: str) -> str:
 
 def safe_cut(text: str) -> int:
     """The last place before which text can be normalised alone: in front of a character that nothing before it can change or join; 0 if there is none near the end."""
-    for k in range(len(text) - 1, max(0, len(text) - 4 * LONG), -1):
+    for k in range(len(text) - 1, max(0, len(text) - CUT_WITHIN), -1):
         c = text[k]
         if c.isascii() or (unicodedata.category(c)[0] != "M" and not 0x1100 <= ord(c) <= 0x11FF and unicodedata.is_normalized("NFC", c)):
             return k

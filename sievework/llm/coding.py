@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sievework.llm.bpe import BLOCK, Decoder, blocks_of, encoder_of, packed, read_spec, unpacked
+from sievework.llm.bpe import Decoder, blocks_of, encoder_of, packed, read_spec, unpacked
 from sievework.llm.common import bounded_batches
 
 
@@ -67,8 +67,7 @@ def coding_digest(df: DataFrame, text: str = "text", spec: str | None = None) ->
             rows = []
             for value in batch.column(text).to_pylist():
                 n, of_ids, of_text, machine = 0, hashlib.sha256(), hashlib.sha256(), Decoder(coder.merges)
-                value = value or ""
-                for data in coder.stream(blocks_of(value)) if len(value) >= BLOCK else (coder.encode(value),):
+                for data in coder.stream(blocks_of(value or "")):
                     if data:
                         ids = unpacked(data)
                         digits = numbers[np.frombuffer(data, np.uint32)].tobytes().translate(None, b"\0")

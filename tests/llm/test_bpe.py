@@ -80,3 +80,52 @@ def test_bytes_decoder_gives_text_across_pieces(merges, library):
     ids = library.encode(text, add_special_tokens=False).ids
     machine = Decoder(merges, by_bytes=True)
     assert "".join([*(machine.feed([i]) for i in ids), machine.close()]).strip() == text
+
+
+def test_every_token_comes_from_the_transducer(merges, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from sievework.llm import bpe
+
+    given = 0
+
+    class Counted(bpe.Run):
+        def feed(self, data):
+            nonlocal given
+            given += len(out := super().feed(data))
+            return out
+
+        def close(self):
+            nonlocal given
+            given += len(out := super().close())
+            return out
+
+    monkeypatch.setattr(bpe, "Run", Counted)
+    encoder = Encoder(merges, cache=0)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    total = sum(len(encoder.encode(t or "")) // 4 for t in texts)
+    assert total > 300_000 and given == total
+
+
+def test_memo_gives_what_the_transducer_does(merges):
+    rng = random.Random(3)
+    for _ in range(50):
+        text = "".join(rng.choice("abein's th?1é") for _ in range(400))
+        assert Encoder(merges, cache=20).encode(text) == Encoder(merges, cache=0).encode(text)
+
+
+def test_tokens_leave_before_a_long_piece_ends(merges, library):
+    from sievework.llm.bpe import Run
+
+    rng = random.Random(5)
+    text = "".join(rng.choice("etaoinshr") for _ in range(2_000_000))
+    run, out, most = Run(merges), [], 0
+    for k in range(0, len(text), 1000):
+        out += run.feed(text[k : k + 1000].encode())
+        most = max(most, len(run.held))
+        if k == 10_000:
+            assert len(out) > 1000
+    assert most <= 2 * merges.lookahead
+    out += run.close()
+    assert out == library.encode(text, add_special_tokens=False).ids
+    assert list(unpacked(Encoder(merges).encode(text))) == out
