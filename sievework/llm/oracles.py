@@ -32,11 +32,13 @@ s AS (
   FROM d LEFT JOIN c ON c.doc_id = d.doc_id),
 x AS (SELECT DISTINCT source, th, unnest(l) AS line, generate_subscripts(l, 1) AS p FROM d),
 y AS (SELECT *, translate(trim(line, {SPACES}), '{UPPER}', '{LOWER}') AS key FROM x),
-h AS (SELECT source, count(DISTINCT th) AS texts FROM d GROUP BY source),
-f AS (SELECT y.source, key FROM y JOIN h ON h.source IS NOT DISTINCT FROM y.source GROUP BY y.source, key, texts
-      HAVING count(DISTINCT th) >= 10 AND count(DISTINCT th) > 0.1 * texts),
-b AS (SELECT y.source, th, sum(len(list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))) AS gone
-      FROM y JOIN f ON f.source IS NOT DISTINCT FROM y.source AND f.key = y.key GROUP BY y.source, th)
+z AS (SELECT source, th, p, key, len(list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS words FROM y WHERE key <> ''),
+n AS (SELECT source, key FROM z GROUP BY source, key HAVING count(DISTINCT th) >= 10),
+u AS (SELECT z.* FROM z JOIN n ON n.source IS NOT DISTINCT FROM z.source AND n.key = z.key),
+o AS (SELECT z.source, z.th FROM z LEFT JOIN n ON n.source IS NOT DISTINCT FROM z.source AND n.key = z.key
+      GROUP BY z.source, z.th HAVING sum(words) FILTER (WHERE n.key IS NOT NULL) > 0 AND sum(words) - sum(words) FILTER (WHERE n.key IS NOT NULL) >= 0.75 * sum(words)),
+f AS (SELECT u.source, key FROM u JOIN o ON o.source IS NOT DISTINCT FROM u.source AND o.th = u.th GROUP BY u.source, key HAVING count(DISTINCT u.th) >= 10),
+b AS (SELECT u.source, th, sum(words) AS gone FROM u JOIN f ON f.source IS NOT DISTINCT FROM u.source AND f.key = u.key GROUP BY u.source, th)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - coalesce(gone, 0) >= 0.5 * n_words AS kept,

@@ -4,13 +4,14 @@ Within a document: words, their characters, symbols, lines equal to an earlier o
 All is done in the row, with sorted arrays, so no window is ever shuffled.
 
 Across documents, for each host (the source column): normalised lines are hashed and the distinct documents counted that
-have them. Documents with equal texts count once, so that a page copied many times does not condemn itself: copies are
-the business of deduplication, and so are groups of near copies, which stay below SHARE of their host. A line is
-boilerplate when it is in at least LIMIT distinct documents of a host and in more than SHARE of them. Those lines are taken out; a document that keeps less than KEEP of its words is depleted and rejected.
-With groups of near copies given (the pipeline does), LIMIT groups make a line boilerplate in a host of any size.
+have them. The limit is LIMIT documents, whatever the host's size. Documents with equal texts count once, and a document
+counts only if OWN of its words stand outside the lines that reach the limit at first: so neither a page copied many times
+nor a group of near copies, which share most of their lines, condemns itself (that is the business of deduplication),
+while a footer below different texts is counted in full. Boilerplate lines are taken out; a document that keeps less than
+KEEP of its words is depleted and rejected.
 
 Null texts have no words and fail the base rules. Null hosts are one host. Repeated rows get equal results. Other columns
-pass through.
+pass through, whatever their names; of columns named like a result the result stays.
 """
 
 from __future__ import annotations
@@ -18,24 +19,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import WHITE, cut, latin_lower, row_key, text_of
+from sievework.llm.common import WHITE, cut, latin_lower, text_of, whole_rows
 
 #: Fixed values of the rules.
 GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS, WINDOW, REPEATED = 20, 8, 30
-LIMIT, SHARE, KEEP = 10, 0.1, 0.5
+LIMIT, OWN, KEEP = 10, 0.75, 0.5
+NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+VERDICT = ("n_left_words", "kept")
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, GAP, -1), lambda w: w != "")
 
 
-def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    rows = df.drop(*names)
-    body = text_of(text)
+def with_numbers(rows: DataFrame) -> DataFrame:
+    """rows, whose columns are `row` or keys and `body`, with NUMBERS; body goes."""
+    before = [c for c in rows.columns if c != "body"]
+    body = F.col("body")
     rows = rows.withColumn("_words", words_of(body)).withColumn("_n", F.size("_words"))
     lines = F.filter(F.split(body, "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)) != "")
     rows = rows.withColumn("_lines", lines)
@@ -69,20 +71,31 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
-    return rows.select(*(c for c in df.columns if c not in names), *names)
+    return rows.select(*before, *NUMBERS)
+
+
+def passed(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of df out of `row`, but for those that results replace."""
+    return [F.col("row").getField(c).alias(c) for c in df.columns if c not in names]
+
+
+def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
+    rows = with_numbers(df.select(whole_rows(df).alias("row"), text_of(text).alias("body")))
+    return rows.select(*passed(df, *NUMBERS), *NUMBERS)
 
 
-def text_key(text: Column) -> Column:
-    return F.unhex(F.md5(text.cast("binary")))
+def keyed(df: DataFrame, text: str, host: str, *more: Column) -> DataFrame:
+    """host (as a struct, so that null is a value), text_key, body and what else is asked for."""
+    body = text_of(text)
+    return df.select(*more, F.struct(F.col(host).alias("name")).alias("host"), F.unhex(F.md5(body.cast("binary"))).alias("text_key"), body.alias("body"))
 
 
-def boilerplate_words(df: DataFrame, text: str = "text", host: str = "source", limit: int = LIMIT, share: float = SHARE, groups: DataFrame | None = None) -> DataFrame:
+def boilerplate(texts: DataFrame, sizes: DataFrame, limit: int = LIMIT, own: float = OWN) -> DataFrame:
     """For each host and text key the number of words in boilerplate lines, and dropped: their positions; texts without any are left out.
 
-    With groups (text_key, group) a line is boilerplate from `limit` distinct groups of its host, whatever the host's size; share is not used.
+    texts: see keyed; sizes: host, text_key and n_words, one row for each.
     """
-    body = text_of(text)
-    texts = df.select(F.struct(F.col(host).alias("name")).alias("host"), text_key(body).alias("text_key"), body.alias("body"))
     raw = F.transform(F.split(F.col("body"), "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)))
     # An outer explode: of a plain one the optimizer infers a filter on the size and splits the text twice.
     lines = texts.select("host", "text_key", F.posexplode_outer(raw).alias("position", "line")).where(F.col("line") != "")
@@ -93,57 +106,47 @@ def boilerplate_words(df: DataFrame, text: str = "text", host: str = "source", l
         F.unhex(F.md5(latin_lower(F.col("line")).cast("binary"))).alias("key"),
         F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"),
     )
+    # Written, so that the joins know its size: small, it is broadcast; large, both sides are exchanged and AQE splits a hot key.
     counted = lines.groupBy("host", "key").agg(F.countDistinct("text_key").alias("n"))
-    frequent = counted.where(F.col("n") >= limit)
-    if groups is None:
-        hosts = texts.groupBy("host").agg(F.countDistinct("text_key").alias("n_texts"))
-        frequent = frequent.join(hosts, "host").where(F.col("n") > share * F.col("n_texts")).select("host", "key")
-    else:
-        # Only lines of enough texts can be in enough groups.
-        holders = lines.join(cut(frequent.select("host", "key"), "likely"), ["host", "key"], "left_semi").select("host", "key", "text_key").distinct()
-        frequent = holders.join(groups, "text_key").groupBy("host", "key").agg(F.countDistinct("group").alias("n")).where(F.col("n") >= limit).select("host", "key")
-    # Written, so that the join knows its size: small, it is broadcast; large, both sides are exchanged and AQE splits a hot key.
-    frequent = cut(frequent, "boilerplate")
-    hits = lines.join(frequent, ["host", "key"], "left_semi").dropDuplicates(["host", "text_key", "position"])
-    return hits.groupBy("host", "text_key").agg(F.sum("words").alias("boilerplate_words"), F.collect_set("position").alias("dropped"))
-
-
-def with_verdicts(df: DataFrame, text: str = "text", host: str = "source", limit: int = LIMIT, share: float = SHARE, keep: float = KEEP, dropped: bool = False, groups: DataFrame | None = None) -> DataFrame:
-    """with_statistics, and kept: false if base_failed or depleted; if asked for, _dropped: the positions, from 0, of boilerplate lines.
-
-    Only counts and keys are shuffled, never texts: see keep_good for rows.
-    """
-    found = with_statistics(df, text)
-    found = found.withColumns({"_host": F.struct(F.col(host).alias("name")), "_text_key": text_key(text_of(text))})
-    gone = boilerplate_words(df, text, host, limit, share, groups).withColumnsRenamed({"host": "_host", "text_key": "_text_key", "dropped": "_dropped"})
-    joined = found.join(gone if dropped else gone.drop("_dropped"), ["_host", "_text_key"], "left")
+    likely = cut(counted.where(F.col("n") >= limit).select("host", "key"), "likely")
+    hits = cut(lines.join(likely, ["host", "key"], "left_semi").dropDuplicates(["host", "text_key", "position"]), "likely-lines")
+    shared = hits.groupBy("host", "text_key").agg(F.sum("words").alias("shared"))
+    holders = shared.join(sizes, ["host", "text_key"]).where(F.col("n_words") - F.col("shared") >= own * F.col("n_words")).select("host", "text_key")
+    counted = hits.join(cut(holders, "holders"), ["host", "text_key"], "left_semi").groupBy("host", "key").agg(F.countDistinct("text_key").alias("n"))
+    frequent = cut(counted.where(F.col("n") >= limit).select("host", "key"), "boilerplate")
+    gone = hits.join(frequent, ["host", "key"], "left_semi")
+    return gone.groupBy("host", "text_key").agg(F.sum("words").alias("boilerplate_words"), F.collect_set("position").alias("dropped"))
+
+
+def verdicts(df: DataFrame, text: str = "text", host: str = "source", limit: int = LIMIT, own: float = OWN, keep: float = KEEP) -> DataFrame:
+    """One row for each host and different text: NUMBERS, n_left_words, kept (false if base_failed or depleted) and dropped,
+    the positions, from 0, of its boilerplate lines. Only counts and keys are shuffled for it, never texts. It is written."""
+    texts = keyed(df, text, host)
+    numbers = cut(with_numbers(texts).dropDuplicates(["host", "text_key"]), "numbers")
+    gone = boilerplate(texts, numbers.select("host", "text_key", "n_words"), limit, own)
     left = F.col("n_words") - F.coalesce("boilerplate_words", F.lit(0))
-    kept = ~F.col("base_failed") & (left >= keep * F.col("n_words"))
-    return joined.withColumn("n_left_words", left).withColumn("kept", kept).drop("_host", "_text_key", "boilerplate_words")
+    joined = numbers.join(gone, ["host", "text_key"], "left")
+    judged = joined.withColumns({"n_left_words": left, "kept": ~F.col("base_failed") & (left >= keep * F.col("n_words"))})
+    return cut(judged.drop("boilerplate_words"), "verdicts")
 
 
-def digest(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left_words")
-    return with_verdicts(df.select("doc_id", host, text), text, host).select(*columns)
-
+def with_verdicts(df: DataFrame, text: str = "text", host: str = "source", limit: int = LIMIT, own: float = OWN, keep: float = KEEP) -> DataFrame:
+    """df with NUMBERS, n_left_words and kept."""
+    found = verdicts(df, text, host, limit, own, keep).drop("dropped")
+    rows = keyed(df, text, host, whole_rows(df).alias("row")).drop("body")
+    return rows.join(found, ["host", "text_key"]).select(*passed(df, *NUMBERS, *VERDICT), *NUMBERS, *VERDICT)
 
-def keep_good(df: DataFrame, text: str = "text", host: str = "source", limit: int = LIMIT, share: float = SHARE, groups: DataFrame | None = None) -> DataFrame:
-    """The rows that pass, with the columns of df, their texts rebuilt by position without boilerplate lines.
 
-    groups, if given, has row_key and group (see similar.near_copies): lines are then counted by group (see boilerplate_words).
-
-    The verdicts are written first, by row key: a filter on them would otherwise be pushed into the nested expressions
-    they come from and copy these over and over. Equal rows of different hosts have verdicts of their own.
-    """
-    body = text_of(text)
-    if groups is not None:
-        keys = df.select(row_key("doc_id", body).alias("row_key"), text_key(body).alias("text_key"))
-        groups = cut(keys.join(groups.select("row_key", "group"), "row_key").select("text_key", "group").distinct(), "text-groups")
-    keyed = df.withColumn("_key", F.struct(F.col(host).alias("host"), row_key("doc_id", body).alias("row")))
-    verdicts = cut(with_verdicts(keyed.select("_key", host, text), text, host, limit, share, dropped=True, groups=groups).select("_key", "kept", "_dropped"), "verdicts")
-    # Rows of one key have equal texts, hosts and verdicts.
-    good = keyed.join(verdicts.where("kept").dropDuplicates(["_key"]).select("_key", "_dropped"), "_key").withColumn("_lines", F.split(body, "\n", -1))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_dropped"))
-    rebuilt = F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")
-    new = F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(rebuilt)
-    return good.select(*(new.alias(text) if c == text else F.col(c) for c in df.columns))
+def digest(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    return with_verdicts(df.select("doc_id", host, text), text, host).select("doc_id", *NUMBERS, "kept", "n_left_words")
+
+
+def keep_good(df: DataFrame, text: str = "text", host: str = "source", limit: int = LIMIT, own: float = OWN, keep: float = KEEP) -> DataFrame:
+    """The rows that pass, with the columns of df, their texts rebuilt by position without boilerplate lines."""
+    good = verdicts(df, text, host, limit, own, keep).where("kept").select("host", "text_key", "dropped")
+    rows = keyed(df, text, host, whole_rows(df).alias("row")).drop("body").join(good, ["host", "text_key"])
+    rows = rows.withColumn("lines", F.split(F.coalesce(F.col("row").getField(text), F.lit("")), "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
+    rebuilt = F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n")
+    new = F.when(F.col("dropped").isNull(), F.col("row").getField(text)).otherwise(rebuilt)
+    return rows.select(*(new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns))
