@@ -4,7 +4,7 @@ frequent keys dropped by position.
 Only 16-byte hashes travel to the counts; the text itself is shuffled once, by document, where its dropped positions join
 it. A key that a third of all documents share is counted from partial sums spread over all tasks. doc_id tells documents
 apart (rows with one doc_id count as one document, a null doc_id as a document of its own); a null or empty text is one
-empty line. Other columns pass through. With by_text, equal texts count as one document instead, so that a group of copies does
+empty line. Other columns pass through, whatever their names; n_lines and n_dropped of df are replaced. With by_text, equal texts count as one document instead, so that a group of copies does
 not make its own lines frequent.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import WHITE, cut, latin_lower, row_key, text_of
+from sievework.llm.common import WHITE, cut, latin_lower, row_key, text_of, whole_rows
 
 DOCUMENTS = 10
 LEAST_CHARS = 1
@@ -45,17 +45,17 @@ def dropped_lines(df: DataFrame, text: str = "text", documents: int = DOCUMENTS,
 
 def drop_frequent_lines(df: DataFrame, text: str = "text", documents: int = DOCUMENTS, least_chars: int = LEAST_CHARS, by_text: bool = False) -> DataFrame:
     """df with its texts rebuilt by position without the lines of frequent keys, and n_lines and n_dropped added."""
-    drops = dropped_lines(df, text, documents, least_chars, by_text).withColumnRenamed("row_key", "_row_key")
+    drops = dropped_lines(df, text, documents, least_chars, by_text)
     body = text_of(text)
-    joined = df.drop("n_lines", "n_dropped").withColumn("_row_key", row_key("doc_id", body)).join(drops, "_row_key", "left")
+    rows = df.select(whole_rows(df).alias("row"), row_key("doc_id", body).alias("row_key"))
     # The lines are a column of their own, used more than once, so they are split once for each row and read by position.
-    split = joined.withColumn("_lines", F.split(body, "\n", -1))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("dropped"))
-    rebuilt = F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n")
-    new = F.when(F.col("dropped").isNull(), F.col(text)).otherwise(rebuilt)
+    split = rows.join(drops, "row_key", "left").withColumn("lines", F.split(F.coalesce(F.col("row").getField(text), F.lit("")), "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped"))
+    rebuilt = F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n")
+    new = F.when(F.col("dropped").isNull(), F.col("row").getField(text)).otherwise(rebuilt)
     gone = F.when(F.col("dropped").isNull(), F.lit(0)).otherwise(F.size("dropped")).cast("long")
-    columns = [new.alias(text) if c == text else F.col(c) for c in df.columns if c not in ("n_lines", "n_dropped")]
-    return split.select(*columns, F.size("_lines").cast("long").alias("n_lines"), gone.alias("n_dropped"))
+    columns = [new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns if c not in ("n_lines", "n_dropped")]
+    return split.select(*columns, F.size("lines").cast("long").alias("n_lines"), gone.alias("n_dropped"))
 
 
 def digest(deduped: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import bounded_batches, cut, row_key, text_of
+from sievework.llm.common import bounded_batches, cut, row_key, text_of, whole_rows
 
 WORDS, SEED, BITS = 4, 42, 4
 SHARDS, NODES_A_SHARD, SAMPLE_A_SHARD = 64, 250_000, 64
@@ -296,9 +296,9 @@ def near_duplicates(df: DataFrame, text: str = "text", words: int = WORDS, bits:
 
 def keep_one(df: DataFrame, text: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
     """One row of each component, that of its smallest doc_id (a null one counts as the largest), with the columns of df."""
-    keep = cut(near_duplicates(df, text, words, bits).where("row_key = representative").select(F.col("row_key").alias("_key")).distinct(), "kept")
-    keyed = df.withColumn("_key", row_key("doc_id", text_of(text)))
-    return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    keep = cut(near_duplicates(df, text, words, bits).where("row_key = representative").select("row_key").distinct(), "kept")
+    rows = df.select(whole_rows(df).alias("row"), row_key("doc_id", text_of(text)).alias("row_key"))
+    return rows.join(keep, "row_key", "left_semi").dropDuplicates(["row_key"]).select("row.*")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import bounded_batches, cut, row_key, text_of
+from sievework.llm.common import bounded_batches, cut, row_key, text_of, whole_rows
 from sievework.llm.simhash import SEED, components
 
 WORDS, PERCENT = 5, 80
@@ -127,6 +127,6 @@ def near_copies(df: DataFrame, text: str = "text", words: int = WORDS, percent:
 
 def keep_one(df: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row of each group, that of its smallest doc_id (a null one counts as the largest), with the columns of df."""
-    keep = cut(near_copies(df, text, words, percent).where("row_key = representative").select(F.col("row_key").alias("_key")).distinct(), "kept")
-    keyed = df.withColumn("_key", row_key("doc_id", text_of(text)))
-    return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    keep = cut(near_copies(df, text, words, percent).where("row_key = representative").select("row_key").distinct(), "kept")
+    rows = df.select(whole_rows(df).alias("row"), row_key("doc_id", text_of(text)).alias("row_key"))
+    return rows.join(keep, "row_key", "left_semi").dropDuplicates(["row_key"]).select("row.*")

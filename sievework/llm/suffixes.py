@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sievework.llm.common import bounded_batches, cut, row_key, text_of
+from sievework.llm.common import bounded_batches, cut, row_key, text_of, whole_rows
 
 LENGTH, KEY = 200, 100
 GROUP, ANCHORS, RUN, CONTEXTS_A_TASK = 1 << 20, 500_000, 60_000, 60_000
@@ -418,11 +418,13 @@ def cut_out(found: DataFrame) -> DataFrame:
 
 
 def remove_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, key: int = KEY) -> DataFrame:
-    """df with kept (the remaining bytes) and spans (what went) for every row."""
+    """df with kept (the remaining bytes) and spans (what went) for every row, which replace columns of these names."""
     changed = cut_out(repeated_spans(df, text, length, key)).dropDuplicates(["row_key"])
-    keyed = df.withColumn("row_key", row_key("doc_id", text_of(text)))
-    joined = keyed.join(changed, "row_key", "left")
-    return joined.withColumn("kept", F.coalesce("kept", text_of(text).cast("binary"))).withColumn("spans", F.coalesce("spans", F.array())).drop("row_key")
+    body = text_of(text)
+    rows = df.select(whole_rows(df).alias("row"), row_key("doc_id", body).alias("row_key"))
+    whole = F.coalesce(F.col("row").getField(text), F.lit("")).cast("binary")
+    columns = [F.col("row").getField(c).alias(c) for c in df.columns if c not in ("kept", "spans")]
+    return rows.join(changed, "row_key", "left").select(*columns, F.coalesce("kept", whole).alias("kept"), F.coalesce("spans", F.array()).alias("spans"))
 
 
 def digest(df: DataFrame, text: str = "text") -> DataFrame:

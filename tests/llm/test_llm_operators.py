@@ -17,7 +17,10 @@ from sievework.llm import ann, coding, lines, ngrams, packing, quality, secrets,
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use themselves.
-CLASH = ("row_key", "fingerprint", "n_words", "spans", "kept", "_words", "key", "shard")
+CLASH = (
+    "row_key", "fingerprint", "n_words", "spans", "kept", "_words", "key", "shard", "row", "body", "host", "text_key", "lines", "dropped", "_lines", "_row_key", "_key",
+    "position", "line", "words", "boilerplate_words", "shared", "_n", "_windows", "n_left_words", "doc", "place", "places", "context", "unit", "node", "group", "page", "ids", "a1", "h1", "seen",
+)
 
 
 def words(rng, n):
@@ -131,6 +134,7 @@ def test_line_dedup(spark, docs, rows):
         left = [x for x in all_lines if key_of(x) not in gone]
         expected[i, len(all_lines), len(all_lines) - len(left), hashlib.sha256("\n".join(left).encode()).hexdigest()] += 1
     assert gone
+    assert_mine(lines.drop_frequent_lines(clash(docs)), clash(docs))
     found = lines.digest(lines.drop_frequent_lines(clash(docs)))
     assert Counter(map(tuple, found.collect())) == expected
     assert "Python" not in found._jdf.queryExecution().toString() and "Arrow" not in found._jdf.queryExecution().toString()
@@ -159,7 +163,10 @@ def test_quality_rules(spark, docs, rows):
         for line in (text or "").split("\n"):
             if key_of(line):
                 holders[host, key_of(line)].add(text)
-    gone = {k for k, v in holders.items() if len(v) >= 4 and len(v) > quality.SHARE * len(texts[k[0]])}
+    likely = {k for k, v in holders.items() if len(v) >= 4}
+    count = lambda text, keys, host: sum(len([w for w in GAP.split(x) if w]) for x in (text or "").split("\n") if (host, key_of(x)) in keys)
+    own = {(host, t) for host, ts in texts.items() for t in ts if quality_numbers(t)[0] - count(t, likely, host) >= 0.3 * quality_numbers(t)[0]}
+    gone = {k for k in likely if sum((k[0], t) in own for t in holders[k]) >= 4}
     assert gone
     expected = Counter()
     for i, text, _, host, _ in rows:
@@ -167,11 +174,37 @@ def test_quality_rules(spark, docs, rows):
         failed = n < 20 or 100 * repeated > 30 * n
         left = n - sum(len([w for w in GAP.split(x) if w]) for x in (text or "").split("\n") if (host, key_of(x)) in gone)
         expected[i, n, chars, symbols, repeats, repeated, failed, not failed and left >= 0.5 * n] += 1
-    found = quality.with_verdicts(clash(docs).drop("kept", "n_words"), limit=4).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    found = quality.with_verdicts(clash(docs), limit=4, own=0.3).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     assert Counter(map(tuple, found.collect())) == expected
     assert quality.digest(empty(spark)).count() == 0
-    good = quality.keep_good(docs)
-    assert good.columns == docs.columns and 0 < good.count() < len(rows)
+    texts_kept = Counter()
+    for i, text, _, host, _ in rows:
+        n, *_, repeated = quality_numbers(text)
+        if n >= 20 and 100 * repeated <= 30 * n and n - count(text, gone, host) >= 0.5 * n:
+            texts_kept[i, "\n".join(x for x in text.split("\n") if (host, key_of(x)) not in gone)] += 1
+    good = quality.keep_good(clash(docs), limit=4, own=0.3)
+    assert_mine(good, clash(docs))
+    assert Counter((r.doc_id, r.text) for r in good.collect()) == texts_kept
+
+
+def assert_mine(found, given, *replaced):
+    """All columns of the given rows are there, with their values."""
+    assert set(given.columns) <= set(found.columns)
+    for r in found.select(*(c for c in CLASH if c not in replaced)).distinct().collect():
+        assert set(r) == {"mine"}
+
+
+def test_depleted_documents_are_rejected_whatever_the_size_of_the_host(spark):
+    rng = random.Random(11)
+    menu = [words(rng, 12) for _ in range(3)]
+    # 2,000 documents of a host, 12 of which share a menu: a tenth of the host would be 200.
+    rows = [(k, words(rng, 40), "en", "h", 1) for k in range(2000)]
+    rows += [(3000 + k, words(rng, 150) + "\n" + "\n".join(menu), "en", "h", 1) for k in range(12)]
+    rows += [(4000 + k, words(rng, 10) + "\n" + "\n".join(menu), "en", "h", 1) for k in range(5)]
+    whole = [words(rng, 15) for _ in range(8)]  # near copies: one line in eight differs
+    rows += [(5000 + k, "\n".join(words(rng, 15) if j == k % 8 else x for j, x in enumerate(whole)), "en", "h", 1) for k in range(40)]
+    found = {r.doc_id: r.kept for r in quality.digest(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {i for i, kept in found.items() if not kept} == set(range(4000, 4005))
 
 
 def test_simhash_components(spark, docs, rows):
@@ -188,8 +221,9 @@ def test_simhash_components(spark, docs, rows):
         if i is not None:
             least[g] = i if least[g] is None else min(least[g], i)
     assert Counter(map(tuple, found)) == Counter((r[0], f"{p:016x}", least[g]) for r, p, g in zip(rows, prints, group))
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == len(set(group))
+    kept = simhash.keep_one(clash(docs))
+    assert_mine(kept, clash(docs))
+    assert kept.columns == clash(docs).columns and kept.count() == len(set(group))
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
@@ -221,7 +255,8 @@ def test_repeated_bytes(spark, docs, rows):
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         expected[i, len(x), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(x, gone) if not g)).hexdigest()] += 1
     assert Counter(map(tuple, suffixes.digest(clash(docs)).collect())) == expected
-    whole = suffixes.remove_repeats(docs)
+    whole = suffixes.remove_repeats(clash(docs))
+    assert_mine(whole, clash(docs), "spans", "kept")
     assert whole.count() == len(rows)
     assert suffixes.digest(empty(spark)).count() == 0
 
@@ -318,8 +353,9 @@ def test_permutation_index_recall_and_order(spark):
     rows += [(7000, None), (7100, [0.0] * 32), (7200, [float("nan")] * 32), (7300, [1.0] * 5), (None, [1.0] * 32), (100, rows[100][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("vector", F.lit(0))
     found = defaultdict(list)
-    for r in ann.search(df.drop("vector"), block=1500).collect():
+    for r in ann.search(df, block=1500).collect():
         found[r.query_id].append((r.rank, r.score, r.vec_id))
+        assert r.candidates < 0.15 * 6000
     assert set(found) == set(range(0, 6000, 100))
     hits = 0
     full = x.astype(np.float64)
