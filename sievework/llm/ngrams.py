@@ -1,291 +1,99 @@
-"""Stupid-backoff scores of documents by a bigram model of the whole corpus, computed relationally.
+"""Stupid-backoff scores of documents by an n-gram model of the whole corpus, computed relationally.
 
-Words are those of the line rules (ASCII white space, A-Z lower-cased), as 64-bit hashes. A bigram seen LEAST times or more
-scores ln(c(v w) / c(v)), any other word ln(BACKOFF c(w) / N); the start of a text is a word of its own. Each score is a
+Words are those of the line rules (ASCII white space, A-Z lower-cased), as 64-bit hashes; before a text stand ORDER - 1
+start words. c(v..w) counts the n-gram in all documents and c(v.._) its context followed by any word. HELD_OUT occurrences,
+the very one that is scored, are left out of both: an n-gram seen more often scores ln((c(v..w) - 1) / (c(v.._) - 1)), any
+other BACKOFF times what the next shorter one scores; a word alone scores c(w) / N. Nothing is pruned. Each score is a
 whole number of millionths, so a document's sum does not depend on the order of adding.
 
-The relations, each row a block of sorted arrays rather than one n-gram, so that a shuffle carries about nine bytes a word:
+The relations, each a DataFrame:
 
-1. Word counts, of which those above a share of a bucket (at most a few for each bucket) are known everywhere: they are
-   the hot keys, and their bigrams are dealt by both words.
-2. Exploded bigrams of slices of the corpus, equal ones of a slice collapsed to one with its documents, partitioned by
-   hash of the first word. In a bucket the slices' counts are summed to the count table and joined back; each document's
-   kept bigrams are summed.
-3. What is not kept goes on, partitioned by hash of its own word, meets the word counts there, and is summed likewise.
-4. The sums of a slice come together by slice, and give one row for each document.
+1. tokens: a row number and the array of word hashes of each document, written once.
+2. grams: tokens exploded to (row, contexts of 1 to ORDER - 1 words, word); contexts are 64-bit hashes.
+3. Count tables by n-gram, partitioned by hash of context and word, with map-side sums; each shorter table and each context
+   table is a sum over a longer one.
+4. The model: the longest count table joined to its contexts' counts and, for what backs off, to the shorter tables; one row
+   for each n-gram with its score and whether it backed off.
+5. grams joined to the model and summed by row, then joined to the documents' ids.
 
-Null and empty texts have no words and score 0. Repeated rows are documents of their own, as they are to the counts.
+All n-grams of a step 2 to 5 whose last context word falls into one of PASSES hash ranges are done together, then the next
+range: counts stay whole, and the shuffles on disk at one time are a fraction of all. PASSES is fixed, so the work is
+proportional to the corpus.
+
+Null and empty texts have no words and score 0. Repeated rows are documents of their own, as they are to the counts. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import bounded_batches, cut, text_of
+from sievework.llm.common import cut, discard, latin_lower, text_of
 
-BACKOFF, LEAST = 0.4, 2
-SLICE_WORDS, SLICE_DOCS, BUCKET_BYTES, HOT = 750_000, 65_000, 8 << 20, 0.25
-START, END = np.uint64(1), np.uint64(2)
-SALT = np.uint64(0x9E3779B97F4A7C15)
+ORDER, BACKOFF, HELD_OUT = 3, 0.4, 1
+PASSES = 4
 MILLION = 1e6
-CACHE = 300_000
-
-DOCS, PAIRS, COUNTS, REST, SUMS = range(5)
-ROW = "kind int, bucket int, slice long, total long, ids array<long>, p binary, q binary, r binary, s binary, t binary"
-NAMES = [x.split()[0] for x in ROW.split(", ")]
-TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
-
-
-class Hashes(dict):
-    """Word to hash, remembered for as many words as fit."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        made = self[word] = xxhash.xxh64_intdigest(word)
-        return made
-
-
-_HASHES = Hashes()
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-
-
-def rows_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else [[] for _ in NAMES]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES)], NAMES)
-
-
-def row(kind: int, bucket: int = 0, slice_id: int = 0, total: int = 0, ids: list | None = None, *blobs: np.ndarray) -> tuple:
-    return (kind, bucket, slice_id, total, ids, *(b.tobytes() for b in blobs), *[None] * (5 - len(blobs)))
-
-
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Documents' ids and word hashes in slices of bounded size; a longer text is a slice of its own."""
-    ids, found, size = [], [], 0
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = word_hashes(text)
-            if ids and (size + len(words) > SLICE_WORDS or len(ids) >= SLICE_DOCS):
-                yield ids, found
-                ids, found, size = [], [], 0
-            ids.append(doc)
-            found.append(words)
-            size += len(words)
-    if ids:
-        yield ids, found
-
-
-def hot_words(docs: DataFrame, buckets: int) -> tuple[dict[int, int], int]:
-    """Counts of the words that fill more than a share HOT of a bucket, of the start, and the number of words. At most buckets / HOT words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in slices(batches):
-            starts = sum(len(x) > 0 for x in found)
-            words, counts = np.unique(np.concatenate(found), return_counts=True)
-            words, counts = np.append(words, START), np.append(counts, starts)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], ["word", "n"])
+#: The start word's hash; a word's own hash may equal it as it may equal any other's.
+START = 1
+GAP = r"[\x20\x09-\x0D]+"
 
-    counted = docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = cut(counted, "words")
-    total = counted.where(F.col("word") != int(START)).agg(F.sum("n")).first()[0] or 0
-    hot = counted.where((F.col("n") > HOT * total / buckets) | (F.col("word") == int(START))).collect()
-    return {r.word & 0xFFFFFFFFFFFFFFFF: r.n for r in hot}, total
 
+def word_hashes(text: Column) -> Column:
+    return F.transform(F.filter(F.split(latin_lower(text), GAP, -1), lambda w: w != ""), lambda w: F.xxhash64(w))
 
-class Hot:
-    """The hot words' counts, for arrays of hashes."""
 
-    def __init__(self, counts: dict[int, int]) -> None:
-        self.words = np.array(sorted(counts), np.uint64)
-        self.counts = np.array([counts[int(w)] for w in self.words], np.int64)
+def grams(tokens: DataFrame, order: int) -> DataFrame:
+    """row, w and c1 to c(order - 1): the hash of so many words before."""
+    n = F.size("words")
+    shifted = [F.slice(F.concat(F.array_repeat(F.lit(START).cast("long"), k), "words"), F.lit(1), n).alias(f"b{k}") for k in range(1, order)]
+    rows = tokens.where(n > 0).select("row", F.inline(F.arrays_zip(F.col("words").alias("w"), *shifted)))
+    contexts = {f"c{k}": F.xxhash64(*(f"b{j}" for j in range(k, 0, -1))) if k > 1 else F.col("b1") for k in range(1, order)}
+    return rows.select("row", "w", *(c.alias(name) for name, c in contexts.items()))
 
-    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each word is hot, and its count or 0."""
-        if not len(self.words):
-            return np.zeros(len(words), bool), np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        is_hot = self.words[at] == words
-        return is_hot, np.where(is_hot, self.counts[at], 0)
 
+def score(count: str, context: str, held_out: int, steps: int, backoff: float) -> Column:
+    """The score, in millionths, of an n-gram seen often enough after so many backoffs; else null."""
+    ratio = (F.col(count) - held_out) / (F.col(context) - held_out)
+    return F.when(F.col(count) > held_out, F.round(MILLION * F.ln(ratio * F.lit(backoff**steps))).cast("long"))
 
-def starts_of(*keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys begin in sorted arrays."""
-    if not len(keys[0]):
-        return np.zeros(0, np.int64)
-    new = np.ones(len(keys[0]), bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    return np.flatnonzero(new)
 
-
-def explode(batches: Iterator[pa.RecordBatch], buckets: int, hot: Hot) -> Iterator[pa.RecordBatch]:
-    """Rows of DOCS and PAIRS of each slice."""
-    task, number = TaskContext.get().partitionId(), 0
-    for ids, found in slices(batches):
-        name = task << 24 | number
-        number += 1
-        sizes = np.array([len(x) for x in found], np.int64)
-        with_words = [np.concatenate([x, [END]]) for x in found if len(x)]
-        second = np.concatenate(with_words) if with_words else np.zeros(0, np.uint64)
-        first = np.empty_like(second)
-        first[1:] = second[:-1]
-        some = np.flatnonzero(sizes)
-        ends = np.cumsum(sizes[some] + 1)
-        first[np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(some)]] = START
-        who = np.repeat(some, sizes[some] + 1).astype(np.uint16)
-        rows = [row(DOCS, name % buckets, name, 0, ids, sizes.astype(np.uint32))]
-        is_hot, _ = hot.find(first)
-        key = np.where(is_hot, (first ^ second * SALT) * SALT >> np.uint64(20), first >> np.uint64(20))
-        bucket = (key % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((second, first, bucket))
-        first, second, who, bucket = first[order], second[order], who[order], bucket[order]
-        pairs = starts_of(bucket, first, second)
-        counts = np.diff(np.append(pairs, len(first))).astype(np.uint32)
-        of_pair = bucket[pairs]
-        edges = np.searchsorted(of_pair, np.arange(buckets + 1))
-        places = np.append(pairs, len(first))
-        for k in np.flatnonzero(np.diff(edges)):
-            a, b = edges[k], edges[k + 1]
-            p1 = first[pairs[a:b]]
-            heads = starts_of(p1)
-            rows.append(row(PAIRS, int(k), name, 0, None, p1[heads], np.diff(np.append(heads, b - a)).astype(np.uint32), second[pairs[a:b]], counts[a:b], who[places[a] : places[b]]))
-        yield rows_batch(rows)
-
-
-def sums_row(slice_id: int, who: np.ndarray, values: np.ndarray, rest: np.ndarray | None) -> tuple:
-    size = int(who.max()) + 1 if len(who) else 0
-    total = np.rint(np.bincount(who, values, size)).astype(np.int64)
-    back = np.bincount(who if rest is None else who[rest], minlength=size).astype(np.uint32) if size else np.zeros(0, np.uint32)
-    return row(SUMS, 0, slice_id, 0, None, total, back)
-
-
-def blob(value: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(value, kind)
-
-
-def score_pairs(table: pa.Table, buckets: int, hot: Hot, least: int) -> pa.Table:
-    """A bucket's count table, joined to its bigrams: sums of the kept, the rest by word, and its word counts."""
-    out, parts = [], []
-    for x in zip(*(table.column(n).to_pylist() for n in NAMES)):
-        if x[0] == DOCS:
-            out.append(x)
+def model(counts: DataFrame, words: DataFrame, total: int, order: int, held_out: int, backoff: float) -> DataFrame:
+    """c(order - 1), w, micro and backed (0 or 1) of every longest n-gram of counts (c's, w, n)."""
+    found = counts
+    for k in range(order - 1, 0, -1):
+        here = counts if k == order - 1 else counts.groupBy(f"c{k}", "w").agg(F.sum("n").alias("n"))
+        context = here.groupBy(f"c{k}").agg(F.sum("n").alias("x"))
+        scored = here.join(context, f"c{k}").withColumn(f"s{k}", score("n", "x", held_out, order - 1 - k, backoff))
+        if k == order - 1:
+            found = scored.drop("n", "x")
         else:
-            p, q, r, s, t = x[5:]
-            parts.append((x[2], np.repeat(blob(p, np.uint64), blob(q, np.uint32)), blob(r, np.uint64), blob(s, np.uint32), blob(t, np.uint16)))
-    if parts:
-        mine = table.column("bucket")[0].as_py()
-        first, second = np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
-        counts = np.concatenate([x[3] for x in parts]).astype(np.int64)
-        order = np.lexsort((second, first))
-        heads = starts_of(first[order], second[order])
-        pair = np.empty(len(order), np.int64)
-        pair[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
-        seen = np.bincount(pair, counts).astype(np.int64)
-        word_heads = starts_of(first[order])
-        words = first[order][word_heads]
-        totals = np.add.reduceat(counts[order], word_heads)
-        is_hot, known = hot.find(words)
-        of_word = np.empty(len(order), np.int64)
-        of_word[order] = np.repeat(np.where(is_hot, known, totals), np.diff(np.append(word_heads, len(order))))
-        kept = (seen[pair] >= least) & (second != END)
-        value = np.zeros(len(pair))
-        value[kept] = np.rint(MILLION * np.log(seen[pair[kept]] / of_word[kept]))
-        left = ~kept & (second != END)
-        out.append(row(COUNTS, mine, 0, int(totals[~is_hot].sum()), None, words[~is_hot], totals[~is_hot]))
-        rest, at = [], 0
-        for index, (name, _, h2, n, who) in enumerate(parts):
-            here = slice(at, at + len(n))
-            at += len(n)
-            good = np.repeat(kept[here], n)
-            out.append(sums_row(name, who[good], np.repeat(value[here], n)[good], np.zeros(0, np.int64)))
-            back = np.repeat(left[here], n)
-            rest.append((np.repeat(h2, n)[back], np.full(int(back.sum()), index, np.uint16), who[back]))
-        words, index, who = (np.concatenate(x) for x in zip(*rest))
-        is_hot, _ = hot.find(words)
-        bucket = (np.where(is_hot, words + who, words >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((words, bucket))
-        words, index, who, bucket = words[order], index[order], who[order], bucket[order]
-        edges = np.searchsorted(bucket, np.arange(buckets + 1))
-        ids = [x[0] for x in parts]
-        for k in np.flatnonzero(np.diff(edges)):
-            a, b = edges[k], edges[k + 1]
-            heads = starts_of(words[a:b])
-            out.append(row(REST, int(k), 0, 0, ids, words[a:b][heads], np.diff(np.append(heads, b - a)).astype(np.uint32), index[a:b], who[a:b]))
-    return pa.Table.from_batches([rows_batch(out)])
-
-
-def score_rest(table: pa.Table, hot: Hot, total: int, backoff: float) -> pa.Table:
-    """What was not kept, joined to the word counts of its bucket: sums by slice."""
-    words, counts, rest = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
-    for x in zip(*(table.column(n).to_pylist() for n in NAMES)):
-        if x[0] == COUNTS:
-            words, counts = np.append(words, blob(x[5], np.uint64)), np.append(counts, blob(x[6], np.int64))
-        else:
-            rest.append(x)
-    order = np.argsort(words)
-    words, counts = words[order], counts[order]
-    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for x in rest:
-        asked = blob(x[5], np.uint64)
-        is_hot, n = hot.find(asked)
-        if len(words):
-            at = np.minimum(np.searchsorted(words, asked), len(words) - 1)
-            n = np.where(is_hot, n, counts[at])
-        value = np.repeat(np.rint(MILLION * np.log(backoff * n / total)), blob(x[6], np.uint32))
-        index, who = blob(x[7], np.uint16), blob(x[8], np.uint16)
-        by = np.argsort(index, kind="stable")
-        edges = np.searchsorted(index[by], np.arange(len(x[4]) + 1))
-        for k in np.flatnonzero(np.diff(edges)):
-            here = by[edges[k] : edges[k + 1]]
-            found.setdefault(x[4][k], []).append((who[here], value[here]))
-    out = []
-    for name, parts in found.items():
-        who, value = (np.concatenate(c) for c in zip(*parts))
-        out.append(sums_row(name, who, value, None))
-    return pa.Table.from_batches([rows_batch(out)])
-
-
-def sum_documents(table: pa.Table) -> pa.Table:
-    """The sums of one slice, by document."""
-    ids, sizes, parts = [], np.zeros(0, np.uint32), []
-    for x in zip(*(table.column(n).to_pylist() for n in NAMES)):
-        if x[0] == DOCS:
-            ids, sizes = x[4], blob(x[5], np.uint32)
-        else:
-            parts.append((blob(x[5], np.int64), blob(x[6], np.uint32)))
-    score, back = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-    for total, n in parts:
-        score[: len(total)] += total
-        back[: len(n)] += n
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(sizes.astype(np.int64)), "n_backoff": pa.array(back), "score_micro": pa.array(score)})
-
-
-def scored_bigrams(docs: DataFrame, buckets: int, hot, least: int) -> DataFrame:
-    """DOCS, COUNTS, REST and SUMS rows of all buckets, written to the shared folder."""
-    pairs = docs.mapInArrow(lambda x: explode(x, buckets, hot.value), ROW)
-    return cut(pairs.groupBy("bucket").applyInArrow(lambda t: score_pairs(t, buckets, hot.value, least), ROW), "bigrams")
-
-
-def backoff_scores(df: DataFrame, text: str = "text", least: int = LEAST, backoff: float = BACKOFF) -> DataFrame:
-    """doc_id, n_words, n_backoff (words scored without their predecessor) and score_micro (sum of log scores, in millionths) of every row."""
-    spark = df.sparkSession
-    bounded_batches(spark)
-    docs = df.select("doc_id", text_of(text).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, -(-size // BUCKET_BYTES))
-    counts, total = hot_words(docs, buckets)
-    hot = spark.sparkContext.broadcast(Hot(counts))
-    scored = scored_bigrams(docs, buckets, hot, least)
-    rest = scored.where(F.col("kind").isin(COUNTS, REST)).groupBy("bucket").applyInArrow(lambda t: score_rest(t, hot.value, total, backoff), ROW)
-    sums = scored.where(F.col("kind").isin(DOCS, SUMS)).unionByName(rest)
-    return sums.groupBy("slice").applyInArrow(sum_documents, "doc_id long, n_words long, n_backoff long, score_micro long")
+            found = found.join(scored.where(F.col(f"s{k}").isNotNull()).select(f"c{k}", "w", f"s{k}"), [f"c{k}", "w"], "left")
+    single = F.round(MILLION * F.ln(F.col("n") / F.lit(float(total)) * F.lit(backoff ** (order - 1)))).cast("long")
+    found = found.join(words.select("w", single.alias("s0")), "w")
+    longest = f"s{order - 1}"
+    return found.select(f"c{order - 1}", "w", F.coalesce(*(f"s{k}" for k in range(order - 1, -1, -1))).alias("micro"), F.col(longest).isNull().cast("long").alias("backed"))
+
+
+def backoff_scores(df: DataFrame, text: str = "text", order: int = ORDER, backoff: float = BACKOFF, held_out: int = HELD_OUT, passes: int = PASSES) -> DataFrame:
+    """doc_id, n_words, n_backoff (words whose longest n-gram is seen nowhere else) and score_micro (sum of log scores, in millionths) of every row."""
+    if order < 2:
+        raise ValueError("the order must be 2 or more")
+    tokens = cut(df.select(F.monotonically_increasing_id().alias("row"), "doc_id", word_hashes(text_of(text)).alias("words")), "tokens")
+    words = cut(tokens.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")), "words")
+    total = words.agg(F.sum("n")).first()[0] or 1
+    last, key = f"c{order - 1}", [f"c{order - 1}", "w"]
+    parts = []
+    for k in range(passes):
+        here = grams(tokens, order).where(F.pmod(F.xxhash64("c1"), F.lit(passes)) == k)
+        counts = cut(here.groupBy(*(f"c{j}" for j in range(order - 1, 0, -1)), "w").agg(F.count("*").alias("n")), "counts")
+        scores = cut(model(counts, words, total, order, held_out, backoff), "model")
+        sums = here.select("row", last, "w").join(scores, key).groupBy("row").agg(F.count("*").alias("n"), F.sum("backed").alias("backed"), F.sum("micro").alias("micro"))
+        parts.append(cut(sums, "sums"))
+        discard(counts, scores)
+    sums = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.sum("backed").alias("backed"), F.sum("micro").alias("micro"))
+    zero = F.lit(0).cast("long")
+    found = tokens.select("row", "doc_id", F.size("words").cast("long").alias("n_words")).join(sums, "row", "left")
+    return found.select("doc_id", "n_words", F.coalesce("backed", zero).alias("n_backoff"), F.coalesce("micro", zero).alias("score_micro"))

@@ -75,17 +75,23 @@ SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coa
 FROM n LEFT JOIN f ON f.r = n.r
 """
 
-#: A start word before each text; scores in millionths, each rounded before the sum.
+#: Two start words before each text; the scored occurrence is left out of the counts; scores in millionths, each rounded before the sum.
 SCORES = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
-t AS (SELECT r, unnest(w) AS b, unnest(list_concat([' '], w[:-2])) AS a FROM d WHERE len(w) > 0),
-p AS (SELECT a, b, count(*) AS ab FROM t GROUP BY a, b),
-c AS (SELECT b AS w, count(*) AS n FROM t GROUP BY b UNION ALL SELECT ' ', count(*) FROM d WHERE len(w) > 0),
-n AS (SELECT count(*) AS total FROM t),
-g AS (SELECT p.a, p.b, ab < 2 AS back, CAST(round(1e6 * CASE WHEN ab >= 2 THEN ln(ab / ca.n) ELSE ln(0.4::DOUBLE * cb.n / total) END) AS BIGINT) AS v
-      FROM p JOIN c ca ON ca.w = p.a JOIN c cb ON cb.w = p.b, n),
-s AS (SELECT r, count(*) FILTER (WHERE back) AS n_backoff, sum(v) AS score_micro FROM t JOIN g ON g.a = t.a AND g.b = t.b GROUP BY r)
-SELECT doc_id, len(w) AS n_words, coalesce(n_backoff, 0) AS n_backoff, CAST(coalesce(score_micro, 0) AS BIGINT) AS score_micro FROM d LEFT JOIN s ON s.r = d.r
+t AS (SELECT r, unnest(w) AS w, unnest(list_concat([' '], w[:-2])) AS v, unnest(list_concat([' ', ' '], w)[:len(w)]) AS u FROM d WHERE len(w) > 0),
+n3 AS (SELECT u, v, w, count(*) AS n FROM t GROUP BY u, v, w),
+x3 AS (SELECT u, v, sum(n) AS x FROM n3 GROUP BY u, v),
+n2 AS (SELECT v, w, sum(n) AS n FROM n3 GROUP BY v, w),
+x2 AS (SELECT v, sum(n) AS x FROM n2 GROUP BY v),
+n1 AS (SELECT w, sum(n) AS n FROM n2 GROUP BY w),
+n0 AS (SELECT sum(n) AS n FROM n1),
+m AS (SELECT n3.u, n3.v, n3.w, n3.n < 2 AS back, CAST(round(1e6 * CASE
+        WHEN n3.n > 1 THEN ln((n3.n - 1)::DOUBLE / (x3.x - 1)::DOUBLE)
+        WHEN n2.n > 1 THEN ln((n2.n - 1)::DOUBLE / (x2.x - 1)::DOUBLE * 0.4::DOUBLE)
+        ELSE ln(n1.n::DOUBLE / n0.n::DOUBLE * {0.4**2!r}::DOUBLE) END) AS BIGINT) AS micro
+      FROM n3 JOIN x3 USING (u, v) JOIN n2 USING (v, w) JOIN x2 USING (v) JOIN n1 USING (w), n0),
+s AS (SELECT r, count(*) FILTER (WHERE back) AS n_backoff, sum(micro) AS micro FROM t JOIN m USING (u, v, w) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_backoff, 0) AS n_backoff, CAST(coalesce(micro, 0) AS BIGINT) AS score_micro FROM d LEFT JOIN s ON s.r = d.r
 """
 
 SQL = {"op3_backoff_scores": SCORES, "op8_suffix_dedup": REPEATS, "op2_warc_archive": ARCHIVE, "op6_quality_rules": QUALITY, "op9_line_dedup": LINES}

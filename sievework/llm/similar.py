@@ -2,8 +2,9 @@
 `percent` hundredths.
 
 Words and shingle hashes are those of simhash; a text of fewer words is one shingle, one without words has none. Equal sets
-are one node from the start. Candidates share a band of a MinHash signature (at similarity 0.8 a pair shares none of the 20
-bands of five with probability 0.0004, at 0.85 with 0.00002), and every candidate pair is decided by its true similarity,
+are one node from the start. Candidates are the pairs that the vantage-point trees of simhash link by their fingerprints over
+the same shingles, and those that share a band of a MinHash signature, as four bits reach few pairs below similarity 0.95 (at
+0.8 a pair shares none of the 20 bands of five with probability 0.0004, at 0.85 with 0.00002). Every candidate pair is decided by its true similarity,
 or is connected already by pairs that were: first each node of a bucket against the bucket's smallest, then, in buckets that this does not
 connect, the rest against all. So a dense group costs as many comparisons as it has nodes, not pairs, and a link that fails hides none that hold.
 """
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.common import bounded_batches, cut, row_key, text_of, whole_rows
+from sievework.llm import simhash
 from sievework.llm.simhash import SEED, components
 
 WORDS, PERCENT = 5, 80
@@ -53,22 +55,23 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def with_signatures(rows: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, row_key, node (a key of the shingle set), n_shingles and bands of rows."""
+    """doc_id, row_key, node (a key of the shingle set), n_shingles, bands and fingerprint (see simhash) of rows."""
     bounded_batches(rows.sparkSession)
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, prints = [], [], [], []
             for x in batch.column(text).to_pylist():
                 found = shingles(x or "", words)
                 nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63))
                 sizes.append(len(found))
                 keys.append(bands(found))
-            made = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *made], ["doc_id", "row_key", "node", "n_shingles", "bands"])
+                prints.append(simhash.fingerprint(x or "", words))
+            made = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(prints, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *made], ["doc_id", "row_key", "node", "n_shingles", "bands", "fingerprint"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, row_key binary, node long, n_shingles long, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {id_type}, row_key binary, node long, n_shingles long, bands array<long>, fingerprint long")
 
 
 def with_sets(rows: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
@@ -91,15 +94,27 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.where(100 * F.col("_common") >= percent * union).select("u", "v")
 
 
+def tree_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes whose fingerprints are equal or linked by the vantage-point trees; nodes of no shingle have none."""
+    some = nodes.where("n_shingles > 0").select("node", "fingerprint")
+    first = cut(some.groupBy("fingerprint").agg(F.min("node").alias("u")), "fingerprints")
+    equal = some.join(first, "fingerprint").where("node <> u").select("u", F.col("node").alias("v"))
+    near = cut(simhash.links(first.select("fingerprint")), "tree-links")
+    near = near.join(first.select(F.col("fingerprint").alias("u"), F.col("u").alias("a")), "u").join(first.select(F.col("fingerprint").alias("v"), F.col("u").alias("b")), "v")
+    return equal.unionByName(near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+
+
 def links(nodes: DataFrame, rows: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Edges (u, v) between nodes of similar shingle sets: enough to connect all candidates that are similar."""
     of_band = Window.partitionBy("band")
     members = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
     members = members.withColumns({"n": F.count("*").over(of_band), "centre": F.min("node").over(of_band)})
     members = cut(members.where("n > 1").drop("n"), "buckets")
-    needed = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("best.row_key").alias("row_key"))
+    stars = members.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).unionByName(tree_pairs(nodes))
+    stars = cut(stars.distinct(), "star-pairs")
+    met = members.select("node").unionByName(stars.select(F.col("u").alias("node"))).unionByName(stars.select(F.col("v").alias("node"))).distinct()
+    needed = nodes.join(met, "node", "left_semi").select("node", F.col("best.row_key").alias("row_key"))
     sets = cut(with_sets(rows.join(needed, "row_key").dropDuplicates(["node"]), text, words), "shingles")
-    stars = cut(members.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), "star-pairs")
     held = cut(verified(stars, sets, percent), "star-links")
     labelled = members.join(components(held), "node", "left").select("band", "node", "n_shingles", F.coalesce("root", "node").alias("label"))
     labelled = cut(labelled, "labelled")
@@ -117,7 +132,7 @@ def near_copies(df: DataFrame, text: str = "text", words: int = WORDS, percent:
     rows = df.select("doc_id", row_key("doc_id", text_of(text)).alias("row_key"), text)
     signed = cut(with_signatures(rows, text, words), "signatures")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best")
-    nodes = cut(signed.groupBy("node").agg(best, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "nodes")
+    nodes = cut(signed.groupBy("node").agg(best, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("fingerprint").alias("fingerprint")), "nodes")
     roots = components(links(nodes, rows, text, words, percent))
     named = cut(nodes.join(roots, "node", "left").select("node", "best", F.coalesce("root", "node").alias("group")), "named")
     least = cut(named.groupBy("group").agg(F.min("best").alias("least")), "least")

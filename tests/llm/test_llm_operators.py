@@ -280,27 +280,41 @@ def test_anchors_of_texts_longer_than_a_group(spark, monkeypatch):
     assert {p + 9000 for p in places[1]} <= places[0]
 
 
-def test_backoff_scores(spark, docs, rows):
+def plain_scores(texts, order, backoff=0.4):
+    """(words, backed, millionths) of each text, by the definition."""
     import math
 
-    texts = [[re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in GAP.split(t or "") if w] for _, t, *_ in rows]
-    single, pair = Counter(), Counter()
+    texts = [[re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in GAP.split(t or "") if w] for t in texts]
+    before = lambda t, k, n: tuple(([None] * n + t)[k : k + n])  # noqa: E731  the n words before t[k]
+    seen, contexts = Counter(), Counter()
     for t in texts:
-        single.update(t)
-        pair.update(zip([None, *t], t))
-    starts, total = sum(bool(t) for t in texts), sum(map(len, texts))
-    expected = Counter()
-    for (i, *_), t in zip(rows, texts):
-        score = back = 0
-        for v, w in zip([None, *t], t):
-            if pair[v, w] >= 2:
-                score += round(1e6 * math.log(pair[v, w] / (single[v] if v is not None else starts)))
-            else:
-                back += 1
-                score += round(1e6 * math.log(0.4 * single[w] / total))
-        expected[i, len(t), back, score] += 1
-    assert Counter(map(tuple, ngrams.backoff_scores(clash(docs)).collect())) == expected
-    assert ngrams.backoff_scores(empty(spark)).count() == 0
+        for k, w in enumerate(t):
+            for n in range(order):
+                seen[(*before(t, k, n), w)] += 1
+                contexts[before(t, k, n), n] += 1
+    out = []
+    for t in texts:
+        total = back = 0
+        for k, w in enumerate(t):
+            for n in range(order - 1, -1, -1):
+                c, x = seen[(*before(t, k, n), w)], contexts[before(t, k, n), n]
+                if c > 1 or n == 0:
+                    ratio = c / x if n == 0 else (c - 1) / (x - 1)
+                    total += round(1e6 * math.log(ratio * backoff ** (order - 1 - n)))
+                    back += n < order - 1
+                    break
+        out.append((len(t), back, total))
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_backoff_scores(spark, docs, rows, order):
+    expected = Counter((i, *x) for (i, *_), x in zip(rows, plain_scores([t for _, t, *_ in rows], order)))
+    found = ngrams.backoff_scores(clash(docs), order=order, passes=2)
+    assert Counter(map(tuple, found.collect())) == expected
+    assert any(0 < r.n_backoff < r.n_words for r in found.collect())
+    assert "Python" not in found._jdf.queryExecution().toString()
+    assert ngrams.backoff_scores(empty(spark), order=order).count() == 0
 
 
 PAGES = "page_id long, url string, html string"
