@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import lines, packing, quality, secrets, simhash, similar
+from sievework.llm import lines, packing, quality, secrets, similar
 from sievework.llm.common import cut, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,10 +30,9 @@ def without_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest doc_id: first of those that the vantage-point trees link by
-    fingerprints over five words, then of those left whose five-word shingle similarity is 0.8 and more."""
-    left = cut(simhash.keep_one(docs, words=similar.WORDS), "fingerprinted")
-    return similar.keep_one(left).select(*COLUMNS)
+    """One document of each group linked by shingle similarity of 0.8 and more stays, that of the smallest doc_id; candidates
+    come from the vantage-point trees of the SimHash operator and, beyond its bits, from MinHash bands."""
+    return similar.keep_one(docs).select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
