@@ -1,9 +1,9 @@
 """Stupid-backoff scores of documents by an n-gram model of the whole corpus, computed relationally.
 
 Words are those of the line rules (ASCII white space, A-Z lower-cased), as 64-bit hashes; before a text stand ORDER - 1
-start words. c(v..w) counts the n-gram in all documents and c(v.._) its context followed by any word. HELD_OUT occurrences,
-the very one that is scored, are left out of both: an n-gram seen more often scores ln((c(v..w) - 1) / (c(v.._) - 1)), any
-other BACKOFF times what the next shorter one scores; a word alone scores c(w) / N. Nothing is pruned. Each score is a
+start words. c(v..w) counts the n-gram in all documents and c(v.._) its context followed by any word. The very occurrence
+that is scored is left out of both: an n-gram seen more than once scores ln((c(v..w) - 1) / (c(v.._) - 1)), any other
+BACKOFF times what the next shorter one scores; a word alone scores c(w) / N. Nothing is pruned. Each score is a
 whole number of millionths, so a document's sum does not depend on the order of adding.
 
 The relations, each a DataFrame:
@@ -12,11 +12,11 @@ The relations, each a DataFrame:
 2. grams: tokens exploded to (row, contexts of 1 to ORDER - 1 words, word); contexts are 64-bit hashes.
 3. Count tables by n-gram, partitioned by hash of context and word, with map-side sums; each shorter table and each context
    table is a sum over a longer one.
-4. The model: the longest count table joined to its contexts' counts and, for what backs off, to the shorter tables; one row
-   for each n-gram with its score and whether it backed off.
-5. grams joined to the model and summed by row, then joined to the documents' ids.
+4. The model: each count table joined to its contexts' counts; what is seen once gets the score of the next shorter n-gram.
+5. grams joined to the longest n-grams seen more than once, and those seen once to the shorter ones' scores; summed by row,
+   then joined to the documents' ids.
 
-All n-grams of a step 2 to 5 whose last context word falls into one of PASSES hash ranges are done together, then the next
+All n-grams of steps 2 to 5 whose last context word falls into one of PASSES hash ranges are done together, then the next
 range: counts stay whole, and the shuffles on disk at one time are a fraction of all. PASSES is fixed, so the work is
 proportional to the corpus.
 
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import cut, discard, latin_lower, text_of
 
-ORDER, BACKOFF, HELD_OUT = 3, 0.4, 1
-PASSES = 4
+ORDER, BACKOFF = 3, 0.4
+PASSES = 8
 MILLION = 1e6
 #: The start word's hash; a word's own hash may equal it as it may equal any other's.
 START = 1
@@ -54,30 +54,30 @@ def grams(tokens: DataFrame, order: int) -> DataFrame:
     return rows.select("row", "w", *(c.alias(name) for name, c in contexts.items()))
 
 
-def score(count: str, context: str, held_out: int, steps: int, backoff: float) -> Column:
-    """The score, in millionths, of an n-gram seen often enough after so many backoffs; else null."""
-    ratio = (F.col(count) - held_out) / (F.col(context) - held_out)
-    return F.when(F.col(count) > held_out, F.round(MILLION * F.ln(ratio * F.lit(backoff**steps))).cast("long"))
+def micro(ratio: Column, steps: int, backoff: float) -> Column:
+    """A score in millionths after so many backoffs."""
+    return F.round(MILLION * F.ln(ratio * F.lit(backoff**steps))).cast("long")
 
 
-def model(counts: DataFrame, words: DataFrame, total: int, order: int, held_out: int, backoff: float) -> DataFrame:
-    """c(order - 1), w, micro and backed (0 or 1) of every longest n-gram of counts (c's, w, n)."""
-    found = counts
-    for k in range(order - 1, 0, -1):
-        here = counts if k == order - 1 else counts.groupBy(f"c{k}", "w").agg(F.sum("n").alias("n"))
-        context = here.groupBy(f"c{k}").agg(F.sum("n").alias("x"))
-        scored = here.join(context, f"c{k}").withColumn(f"s{k}", score("n", "x", held_out, order - 1 - k, backoff))
-        if k == order - 1:
-            found = scored.drop("n", "x")
-        else:
-            found = found.join(scored.where(F.col(f"s{k}").isNotNull()).select(f"c{k}", "w", f"s{k}"), [f"c{k}", "w"], "left")
-    single = F.round(MILLION * F.ln(F.col("n") / F.lit(float(total)) * F.lit(backoff ** (order - 1)))).cast("long")
-    found = found.join(words.select("w", single.alias("s0")), "w")
-    longest = f"s{order - 1}"
-    return found.select(f"c{order - 1}", "w", F.coalesce(*(f"s{k}" for k in range(order - 1, -1, -1))).alias("micro"), F.col(longest).isNull().cast("long").alias("backed"))
+def held_out(table: DataFrame, k: int, steps: int, backoff: float) -> DataFrame:
+    """The n-grams of a count table (c's, w, n) that are seen more than once, and their scores without the scored occurrence."""
+    contexts = table.groupBy(f"c{k}").agg(F.sum("n").alias("x"), F.max("n").alias("most")).where("most > 1")
+    ratio = (F.col("n") - 1) / (F.col("x") - 1)
+    return table.where("n > 1").join(contexts, f"c{k}").select(f"c{k}", "w", micro(ratio, steps, backoff).alias("micro"))
 
 
-def backoff_scores(df: DataFrame, text: str = "text", order: int = ORDER, backoff: float = BACKOFF, held_out: int = HELD_OUT, passes: int = PASSES) -> DataFrame:
+def shorter(counts: DataFrame, words: DataFrame, total: int, order: int, backoff: float) -> tuple[list[str], DataFrame]:
+    """What n-grams seen once back off to: the scores of all n-grams one word shorter, and the columns to look them up by."""
+    single = micro(F.col("n") / F.lit(float(total)), order - 1, backoff)
+    key, found = ["w"], words.select("w", single.alias("micro"))
+    for k in range(1, order - 1):
+        table = counts.groupBy(*(f"c{j}" for j in range(k, 0, -1)), "w").agg(F.sum("n").alias("n"))
+        rest = table.where("n = 1").join(found, key).select(f"c{k}", "w", "micro")
+        key, found = [f"c{k}", "w"], held_out(table, k, order - 1 - k, backoff).unionByName(rest)
+    return key, found
+
+
+def backoff_scores(df: DataFrame, text: str = "text", order: int = ORDER, backoff: float = BACKOFF, passes: int = PASSES) -> DataFrame:
     """doc_id, n_words, n_backoff (words whose longest n-gram is seen nowhere else) and score_micro (sum of log scores, in millionths) of every row."""
     if order < 2:
         raise ValueError("the order must be 2 or more")
@@ -88,11 +88,16 @@ def backoff_scores(df: DataFrame, text: str = "text", order: int = ORDER, backof
     parts = []
     for k in range(passes):
         here = grams(tokens, order).where(F.pmod(F.xxhash64("c1"), F.lit(passes)) == k)
-        counts = cut(here.groupBy(*(f"c{j}" for j in range(order - 1, 0, -1)), "w").agg(F.count("*").alias("n")), "counts")
-        scores = cut(model(counts, words, total, order, held_out, backoff), "model")
-        sums = here.select("row", last, "w").join(scores, key).groupBy("row").agg(F.count("*").alias("n"), F.sum("backed").alias("backed"), F.sum("micro").alias("micro"))
+        # An n-gram seen once tells its row; it needs no join to find it.
+        counted = here.groupBy(*(f"c{j}" for j in range(order - 1, 0, -1)), "w").agg(F.count("*").alias("n"), F.min("row").alias("row"))
+        counts = cut(counted, "counts")
+        seen = cut(held_out(counts, order - 1, 0, backoff), "model")
+        again = here.select("row", last, "w").join(seen, key).select("row", "micro", F.lit(0).alias("backed"))
+        by, scores = shorter(counts, words, total, order, backoff)
+        once = counts.where("n = 1").select("row", *by).join(scores, by).select("row", "micro", F.lit(1).alias("backed"))
+        sums = again.unionByName(once).groupBy("row").agg(F.sum("backed").alias("backed"), F.sum("micro").alias("micro"))
         parts.append(cut(sums, "sums"))
-        discard(counts, scores)
+        discard(counts, seen)
     sums = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.sum("backed").alias("backed"), F.sum("micro").alias("micro"))
     zero = F.lit(0).cast("long")
     found = tokens.select("row", "doc_id", F.size("words").cast("long").alias("n_words")).join(sums, "row", "left")
