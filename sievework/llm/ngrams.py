@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from sievework.llm.common import cut, discard, latin_lower, text_of
 
 ORDER, BACKOFF = 3, 0.4
-PASSES = 8
+PASSES = 4
 MILLION = 1e6
 #: The start word's hash; a word's own hash may equal it as it may equal any other's.
 START = 1

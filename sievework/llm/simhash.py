@@ -7,7 +7,9 @@ Pairs within `bits` differing bits are found exactly. A vantage-point tree over
 sample (it only routes, so any sample gives the same links), sends each node to its home shard; the triangle bound
 d(x, v) <= radius + bits, or d(x, v) > radius - bits, tells which other shards could hold a partner, and the node visits
 those that come after its own. In a shard the same splits go on, on both sides at once, until blocks are small enough to
-compare. A shard gives a spanning forest of what it found, never all pairs of a group. Components come from alternating
+compare. A shard with many visitors is done in parts, each with all homes and VISITORS_A_PART visitors or so, so a task holds
+NODES_A_SHARD and VISITORS_A_PART fingerprints, about, however many there are in all; homes meet each other in the first
+part. A part gives a spanning forest of what it found, never all pairs of a group. Components come from alternating
 large-star and small-star steps over those edges, each written to the shared folder.
 
 Cost: random 64-bit fingerprints lie near 32 bits from any vantage point, so a split spares only a sixth of the pairs;
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from sievework.llm.common import bounded_batches, cut, row_key, text_of, whole_rows
 
 WORDS, SEED, BITS = 4, 42, 4
-SHARDS, NODES_A_SHARD, SAMPLE_A_SHARD = 64, 250_000, 64
+SHARDS, NODES_A_SHARD, VISITORS_A_PART, SAMPLE_A_SHARD = 64, 250_000, 500_000, 64
 SMALL = 1 << 17
 HASHES_AT_ONCE = 1 << 15
 
@@ -159,11 +161,12 @@ class Forest:
 class Shard:
     """All pairs within `bits` among the homes, and between visitors and homes, as a spanning forest."""
 
-    def __init__(self, homes: np.ndarray, visitors: np.ndarray, bits: int) -> None:
+    def __init__(self, homes: np.ndarray, visitors: np.ndarray, bits: int, among: bool = True) -> None:
         self.values = np.concatenate([homes, visitors])
         self.bits, self.forest = bits, Forest(len(self.values))
         h = np.arange(len(homes))
-        self.within(h)
+        if among:
+            self.within(h)
         self.across(np.arange(len(homes), len(self.values)), h)
 
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +224,7 @@ class Shard:
                 self.forest.links(a[k : k + step], b, close)
 
 
-def links(nodes: DataFrame, bits: int = BITS, shards: int = SHARDS) -> DataFrame:
+def links(nodes: DataFrame, bits: int = BITS, shards: int = SHARDS, visitors: int = VISITORS_A_PART) -> DataFrame:
     """Edges (u, v) between distinct fingerprints that differ in at most `bits` bits: enough to connect all that is linked."""
     spark = nodes.sparkSession
     n = nodes.count()
@@ -242,11 +245,18 @@ def links(nodes: DataFrame, bits: int = BITS, shards: int = SHARDS) -> DataFrame
     def search(group: pa.Table) -> pa.Table:
         values = group.column("fingerprint").to_numpy().astype(np.int64).view(np.uint64)
         guest = group.column("guest").to_numpy(zero_copy_only=False)
-        u, v = Shard(values[~guest], values[guest], bits).edges()
+        first = group.num_rows > 0 and group.column("part")[0].as_py() == 0
+        u, v = Shard(values[~guest], values[guest], bits, first).edges()
         return pa.table({"u": pa.array(u.view(np.int64), pa.int64()), "v": pa.array(v.view(np.int64), pa.int64())})
 
-    routed = nodes.select("fingerprint").mapInArrow(route, "shard int, guest boolean, fingerprint long")
-    return routed.groupBy("shard").applyInArrow(search, "u long, v long")
+    routed = cut(nodes.select("fingerprint").mapInArrow(route, "shard int, guest boolean, fingerprint long"), "routed")
+    # One row for each shard, and there are at most some 2 n / NODES_A_SHARD of them.
+    sizes = routed.groupBy("shard").agg(F.ceil(F.count_if("guest") / visitors).cast("int").alias("parts"))
+    dealt = routed.join(F.broadcast(sizes), "shard").withColumn("parts", F.greatest("parts", F.lit(1)))
+    guests = dealt.where("guest").withColumn("part", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int"))
+    homes = dealt.where("NOT guest").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    parts = guests.unionByName(homes).select("shard", "part", "guest", "fingerprint")
+    return parts.groupBy("shard", "part").applyInArrow(search, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:

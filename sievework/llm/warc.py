@@ -1,11 +1,15 @@
 """A deterministic sharded WARC writer, and its reader.
 
-Shards are ranges of the key, cut from an exact histogram of bytes over equal key ranges, one task each, so they do not
-depend on sampling or on the cluster. In a shard records come sorted by key and payload digest, each a gzip member of its
-own, without times of day; a file is closed before the record that would take it over `roll_bytes` compressed. Headers and
-digests are made anew from the payload. Files are written under a name of the attempt, moved to their final name once
-complete, and named in a manifest that Spark commits last; a second attempt at a task writes the same bytes, and readers
-see only what the manifest lists. A writer holds one record at a time, so a shard may be of any size.
+Shards are ranges of the key of about equal bytes, one task each. Their bounds come from an exact running sum of bytes over
+the sorted keys, so they depend on the rows alone, not on sampling, on the cluster or on how the keys are spread. In a
+shard records come sorted by key and payload digest, each a gzip member of its own, without times of day; a file is closed
+before the record that would take it over `roll_bytes` compressed. Headers and digests are made anew from the payload.
+
+Each write has a folder of its own. Files are written there under a name of the attempt and moved to their final name once
+complete; a second attempt at a task writes the same bytes. The manifest that Spark commits names them; the write counts
+once the file CURRENT names its folder, which is replaced in one move, last. So readers see the whole old archive or the
+whole new one; what an earlier write left is deleted after that. A writer holds one record at a time, so a shard may be of
+any size; one key value is never split over shards.
 
 Records with equal payloads of at least `least` bytes: that with the largest key is the response, the others revisit it.
 Rows that repeat that key with that payload are responses too. Null payloads are empty. A null key sorts first and never
@@ -21,19 +25,20 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.llm.common import cut
+from sievework.llm.common import bounded_batches, cut
 
 SHARD_BYTES, ROLL_BYTES = 32 << 20, 4 << 20
-LEAST_RANGES, MOST_RANGES = 4096, 1 << 20
 LEAST = 0
 #: Fixed values of the format.
-VERSION, END = "WARC/1.1", b"\r\n\r\n"
+CURRENT, VERSION, END = "CURRENT", "WARC/1.1", b"\r\n\r\n"
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -118,25 +123,33 @@ class Roller:
 MANIFEST = "file string, shard int, records long, bytes long, sha256 string, first_key long, last_key long"
 
 
-def shards_of(sizes: DataFrame, shard_bytes: int) -> tuple[int, int, DataFrame, int]:
-    """Least key, width of a key range, the table (at, shard) of the ranges that have rows, and the number of shards.
+def shards_of(sizes: DataFrame, shard_bytes: int) -> np.ndarray:
+    """The least key of each shard but the first, in order: as many as shards, so they may be broadcast.
 
-    There are a few ranges for each shard, LEAST_RANGES to MOST_RANGES in all, so the table may be broadcast.
+    Keys are summed up, sorted in ranges that Spark chooses, and numbered by the bytes before them: those of the ranges
+    before and those within. Where Spark cut the ranges does not show in the result. Null keys go to the first shard.
     """
-    least, most, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("payload_bytes")).first()
-    ranges = min(MOST_RANGES, max(LEAST_RANGES, 4 * (total or 0) // shard_bytes))
-    least = 0 if least is None else least
-    width = max(1, -(-((least if most is None else most) - least + 1) // ranges))
-    at = range_of(least, width)
-    before = F.coalesce(F.sum("payload_bytes").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    found = sizes.groupBy(at.alias("at")).agg(F.sum("payload_bytes").alias("payload_bytes"))
-    bounds = cut(found.select("at", F.floor(before / F.lit(shard_bytes)).cast("int").alias("shard")), "shards")
-    return least, width, bounds, (bounds.agg(F.max("shard")).first()[0] or 0) + 1
+    keys = sizes.where("page_id IS NOT NULL").groupBy("page_id").agg(F.sum("payload_bytes").alias("size"))
+    ranges = keys.repartitionByRange("page_id").withColumn("part", F.spark_partition_id())
+    ranges = cut(ranges, "key-sizes")
+    sums = ranges.groupBy("part").agg(F.sum("size").alias("sum"))
+    before = F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum("size").over(Window.partitionBy("part").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = ranges.join(F.broadcast(sums.select("part", before.alias("before"))), "part").withColumn("shard", F.floor((F.col("before") + within) / shard_bytes))
+    bounds = numbered.groupBy("shard").agg(F.min("page_id").alias("least")).collect()
+    return np.array(sorted(r.least for r in bounds)[1:], np.int64)
+
+
+def shard_column(df: DataFrame, bounds: np.ndarray) -> Column:
+    """The number of a key's shard: how many bounds are not above it."""
+    shared = df.sparkSession.sparkContext.broadcast(bounds)
 
+    @F.pandas_udf("int")
+    def shard(keys: pd.Series, missing: pd.Series) -> pd.Series:
+        found = np.searchsorted(shared.value, keys.to_numpy(np.int64), "right").astype(np.int32)
+        return pd.Series(np.where(missing.to_numpy(bool), 0, found))
 
-def range_of(least: int, width: int) -> Column:
-    """The number of a key's range; null keys are in the first."""
-    return F.coalesce(F.floor((F.col("page_id") - F.lit(least)) / F.lit(width)), F.lit(0)).cast("int")
+    return shard(F.coalesce("page_id", F.lit(0).cast("long")), F.col("page_id").isNull())
 
 
 def write_warc(df: DataFrame, path: str, payload: str = "html", least: int = LEAST, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -145,10 +158,13 @@ def write_warc(df: DataFrame, path: str, payload: str = "html", least: int = LEA
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = df.select("page_id", "url", body.alias("payload"))
     narrow = rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    start, width, bounds, n_shards = shards_of(narrow, shard_bytes)
+    bounds = shards_of(narrow, shard_bytes)
+    n_shards = len(bounds) + 1
+    write = f"write-{uuid.uuid4().hex}"
+    folder = f"{path.rstrip('/')}/{write}"
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.withColumn("at", range_of(start, width)).join(F.broadcast(bounds), "at").drop("at")
+        return df.withColumn("shard", shard_column(df, bounds))
 
     groups = narrow.where(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 AND keeper IS NOT NULL")
     # Written, so that the join can split a payload that very many records have.
@@ -166,7 +182,7 @@ def write_warc(df: DataFrame, path: str, payload: str = "html", least: int = LEA
                 number, key, digest, kind, keeper, url, data = row
                 if roller is None or roller.shard != number:
                     done += roller.end() if roller else []
-                    roller, note = Roller(path, number, roll_bytes), None
+                    roller, note = Roller(folder, number, roll_bytes), None
                 if kind == 0:
                     note = (key, digest, keeper)
                 else:
@@ -178,9 +194,48 @@ def write_warc(df: DataFrame, path: str, payload: str = "html", least: int = LEA
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), types)], names)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")
-    ordered.mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{path}/_manifest")
-    return spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")
+    bounded_batches(spark, 128)
+    ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/_manifest")
+    commit(spark, path, write)
+    return manifest_of(spark, path)
+
+
+def hadoop(spark: SparkSession, path: str):
+    """The driver's file system of a path, and a function that makes its paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def commit(spark: SparkSession, path: str, write: str) -> None:
+    """From now on the archive is this write; then earlier ones go. CURRENT is put in place by one replacing rename."""
+    base = path.rstrip("/")
+    files, make = hadoop(spark, base)
+    new, old = make(f"{base}/_{write}"), make(f"{base}/{CURRENT}")
+    stream = files.create(new, True)
+    stream.write(bytearray(write.encode()))
+    stream.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+    options[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    context.rename(new, old, options)
+    for status in files.listStatus(make(base)):
+        if (name := status.getPath().getName()).startswith("write-") and name != write:
+            files.delete(status.getPath(), True)
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder of the write that counts."""
+    base = path.rstrip("/")
+    files, make = hadoop(spark, base)
+    stream = files.open(make(f"{base}/{CURRENT}"))
+    try:
+        return f"{base}/{spark._jvm.org.apache.commons.io.IOUtils.toString(stream, 'UTF-8')}"
+    finally:
+        stream.close()
+
+
+def manifest_of(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).parquet(f"{current(spark, path)}/_manifest")
 
 
 def members(stream, hashed) -> Iterator[bytes]:
@@ -224,6 +279,7 @@ def parse(data: bytes) -> tuple | None:
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of the files that the manifest names, one task a file; sizes, checksums and digests are checked."""
+    path = current(spark, path)
     manifest = spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")
     names = [x.split()[0] for x in RECORD.split(", ")]
     types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]

@@ -227,6 +227,15 @@ def test_simhash_components(spark, docs, rows):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_links_in_parts_join_the_same_fingerprints(spark):
+    rng = random.Random(8)
+    values = [rng.getrandbits(64) for _ in range(300)]
+    values += [v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for v in values for _ in range(3)]
+    nodes = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in set(values)], "fingerprint long")
+    roots = [{(r.node, r.root) for r in simhash.components(simhash.links(nodes, visitors=n)).collect()} for n in (7, 1 << 20)]
+    assert roots[0] == roots[1] and len(roots[0]) > 1000
+
+
 def test_fingerprint_by_definition():
     import xxhash
 
@@ -327,9 +336,10 @@ def test_warc_round_trip(spark, tmp_path):
     folders = [f"file://{tmp_path}/{n}" for n in "ab"]
     for folder, n in zip(folders, (2, 7)):
         warc.write_warc(df.drop("payload").repartition(n), folder, shard_bytes=40_000, roll_bytes=1500)
-    names = sorted(p.name for p in (tmp_path / "a").glob("*.warc.gz"))
-    assert len(names) > 3 and all((tmp_path / "a" / n).read_bytes() == (tmp_path / "b" / n).read_bytes() for n in names)
-    assert not list((tmp_path / "a" / "_temporary").glob("*")) if (tmp_path / "a" / "_temporary").exists() else True
+    a, b = (next((tmp_path / n).glob("write-*")) for n in "ab")
+    names = sorted(p.name for p in a.glob("*.warc.gz"))
+    assert len(names) > 3 and sorted(p.name for p in b.glob("*.warc.gz")) == names and all((a / n).read_bytes() == (b / n).read_bytes() for n in names)
+    assert not list((a / "_temporary").glob("*")) if (a / "_temporary").exists() else True
     found = warc.read_warc(spark, folders[0]).collect()
     best = {}
     for i, _, html in rows:
@@ -345,10 +355,37 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, f"file://{tmp_path}/c").count() == 0
 
 
+def test_one_far_key_leaves_the_shards_even(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(k, "u", words(rng, 60)) for k in range(3000)] + [(1 << 60, "u", "far"), (-(1 << 63), "u", "least"), ((1 << 63) - 1, "u", "most")]
+    manifest = warc.write_warc(spark.createDataFrame(rows, PAGES), f"file://{tmp_path}/w", shard_bytes=20_000)
+    assert manifest.select("shard").distinct().count() == -(-sum(len(r[2].encode()) for r in rows) // 20_000)
+    assert warc.read_warc(spark, f"file://{tmp_path}/w").count() == len(rows)
+
+
+def test_a_second_write_replaces_the_first_at_once(spark, tmp_path):
+    folder = f"file://{tmp_path}/w"
+    warc.write_warc(spark.createDataFrame([(k, "u", f"old {k}") for k in range(30)], PAGES), folder)
+    before = next((tmp_path / "w").glob("write-*"))
+    broken = spark.createDataFrame([(1, "u", "new")], PAGES).withColumn("html", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception):
+        warc.write_warc(broken, folder)
+    assert warc.read_warc(spark, folder).count() == 30
+    warc.write_warc(spark.createDataFrame([(1, "u", "new")], PAGES), folder)
+    assert [r.payload for r in warc.read_warc(spark, folder).collect()] == [b"new"] and not before.exists()
+
+
+def test_least_payload_of_revisits(spark, tmp_path):
+    rows = [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")]
+    warc.write_warc(spark.createDataFrame(rows, PAGES), f"file://{tmp_path}/w", least=3)
+    found = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect()}
+    assert found == {1: ("response", None), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None)}
+
+
 def test_damaged_archive_is_noticed(spark, tmp_path):
     folder = f"file://{tmp_path}/w"
     warc.write_warc(spark.createDataFrame([(1, "u", "x" * 500)], PAGES), folder)
-    path = next((tmp_path / "w").glob("*.warc.gz"))
+    path = next((tmp_path / "w").glob("*/*.warc.gz"))
     data = bytearray(path.read_bytes())
     data[-20] ^= 255
     path.write_bytes(bytes(data))
