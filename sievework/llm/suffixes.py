@@ -14,6 +14,9 @@ strings are judged on the input, matches never cross documents.
    merged order comes with its common prefixes, which are the classes of equal right sides at every depth.
 4. Windows. The left sides are sorted likewise. For each distance from window start to anchor, a window is repeated if
    another anchor has the same class on both sides. All repeated windows of an anchor overlap, so they cover one interval.
+   A key that more than HOT_PLACES places share is split: the distances are cut into SLOTS ranges, and each goes to a task
+   by the bytes that all its windows share, which are nearly the whole window. So what meets in one task is what a window
+   but for a few bytes has in common, and the union of the ranges is the whole.
 5. Intervals go back to the documents by a hash of the context, are united for each document, and the rest is joined.
 
 Null and empty texts have no bytes and lose none. Repeated rows are documents of their own, so they repeat each other.
@@ -29,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from sievework.llm.common import bounded_batches, cut, row_key, text_of, whole_rows
+from sievework.llm.common import bounded_batches, cut, discard, row_key, text_of, whole_rows
 
 LENGTH, KEY = 200, 100
 GROUP, ANCHORS, RUN, CONTEXTS_A_TASK = 1 << 20, 500_000, 60_000, 60_000
 PLACE = [("doc", np.int64), ("place", np.int32)]
+PLACE_BYTES = 12
+#: A key in more places than this is split into so many slots.
+HOT_PLACES, SLOTS = 20_000, 8
 #: Odd constants of the rolling hash and of its final mixing; any would do.
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -150,16 +155,25 @@ def anchor_rows(df: DataFrame, length: int = LENGTH, key: int = KEY) -> DataFram
 
 
 def unpacked(twice: DataFrame) -> DataFrame:
-    """(doc, place) of the rows of anchor_rows."""
+    """(doc, place, hot) of the rows of anchor_rows, with `hot`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = np.frombuffer(b"".join(x for x in batch.column(2).to_pylist() if x), PLACE)
+            more = [np.frombuffer(x or b"", PLACE) for x in batch.column(2).to_pylist()]
+            rest = np.concatenate(more) if more else np.zeros(0, PLACE)
+            hot = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
             docs = np.concatenate([batch.column(0).to_numpy(zero_copy_only=False), rest["doc"]])
             places = np.concatenate([batch.column(1).to_numpy(zero_copy_only=False), rest["place"]])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int32())], ["doc", "place"])
+            hots = np.concatenate([hot, np.repeat(hot, [len(x) for x in more])])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(hots)], ["doc", "place", "hot"])
 
-    return twice.select("doc", "place", "more").mapInArrow(run, "doc long, place int")
+    return twice.select("doc", "place", "more", "hot").mapInArrow(run, "doc long, place int, hot boolean")
+
+
+def slots(length: int, key: int, n: int) -> list[tuple[int, int]]:
+    """Ranges of the distance from window start to anchor, 0 to length - key: the whole first, then n that make it up."""
+    cuts = np.linspace(0, length - key + 1, min(n, length - key + 1) + 1).astype(int).tolist()
+    return [(0, length - key), *((a, b - 1) for a, b in zip(cuts, cuts[1:]))]
 
 
 def common_prefixes(items: list[bytes]) -> np.ndarray:
@@ -245,7 +259,7 @@ class LoserTree:
                 node //= 2
 
 
-RUN_ROWS = "part int, prefixes binary, rests binary, rest_sizes binary, lefts binary, left_sizes binary, contexts binary, many binary"
+RUN_ROWS = "part int, slot int, prefixes binary, rests binary, rest_sizes binary, lefts binary, left_sizes binary, contexts binary, many binary"
 
 
 def context_of(right: bytes, left: bytes) -> bytes:
@@ -259,29 +273,36 @@ def contexts(data: bytes, places: list[int], length: int, key: int) -> Iterator[
             yield place, data[place : place + length], data[max(0, place - length + key) : place][::-1]
 
 
-def front_coded(items: dict[tuple[bytes, bytes], int], parts: int, key: int) -> pa.RecordBatch:
-    """One row for each part: a sorted run, each suffix as what it shares with the one before and the rest."""
-    by_part: dict[int, list[tuple[bytes, bytes]]] = {}
+def front_coded(items: dict[tuple[bytes, bytes, bool], int], parts: int, length: int, key: int, ranges: list[tuple[int, int]]) -> pa.RecordBatch:
+    """One row for each part and slot: a sorted run, each suffix as what it shares with the one before and the rest."""
+    by_part: dict[tuple[int, int], list[tuple[bytes, bytes, bool]]] = {}
     for item in sorted(items):
-        by_part.setdefault(int.from_bytes(hashlib.blake2b(item[0][:key], digest_size=4).digest(), "little") % parts, []).append(item)
+        right, left, hot = item
+        for slot in range(1, len(ranges)) if hot else (0,):
+            least, most = ranges[slot]
+            if len(left) >= least and len(right) >= length - most:
+                shared = right[:key] if slot == 0 else b"%d:%b%b" % (slot, right[: length - most], left[:least])
+                part = int.from_bytes(hashlib.blake2b(shared, digest_size=4).digest(), "little") % parts
+                by_part.setdefault((part, slot), []).append(item)
     rows = []
-    for part, run in by_part.items():
-        shared = common_prefixes([right for right, _ in run])
-        rest = [right[k:] for (right, _), k in zip(run, shared.tolist())]
+    for (part, slot), run in by_part.items():
+        shared = common_prefixes([right for right, *_ in run])
+        rest = [right[k:] for (right, *_), k in zip(run, shared.tolist())]
         rows.append(
             (
                 part,
+                slot,
                 shared.astype(np.uint16).tobytes(),
                 b"".join(rest),
                 np.array([len(x) for x in rest], np.uint16).tobytes(),
-                b"".join(left for _, left in run),
-                np.array([len(left) for _, left in run], np.uint16).tobytes(),
-                b"".join(context_of(*item) for item in run),
+                b"".join(left for _, left, _ in run),
+                np.array([len(left) for _, left, _ in run], np.uint16).tobytes(),
+                b"".join(context_of(right, left) for right, left, _ in run),
                 bytes(min(items[item], 2) for item in run),
             )
         )
     names = [x.split()[0] for x in RUN_ROWS.split(", ")]
-    types = [pa.int32()] + [pa.binary()] * 7
+    types = [pa.int32()] * 2 + [pa.binary()] * 7
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
 
 
@@ -290,15 +311,15 @@ def sliced(data: bytes, sizes: np.ndarray) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def repeated_windows(rights_shared: np.ndarray, right_sizes: np.ndarray, lefts: list[bytes], many: np.ndarray, length: int, key: int) -> tuple[np.ndarray, np.ndarray]:
-    """For items in merged order the least and greatest distance from start to anchor of their repeated windows; -1 if none."""
+def repeated_windows(rights_shared: np.ndarray, right_sizes: np.ndarray, lefts: list[bytes], many: np.ndarray, length: int, distances: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """For items in merged order the least and greatest distance, in a range, from start to anchor of their repeated windows; -1 if none."""
     n = len(lefts)
     order = np.array(sorted(range(n), key=lefts.__getitem__), np.int64)
     left_shared = common_prefixes([lefts[k] for k in order])
     left_sizes = np.fromiter(map(len, lefts), np.int64, n)
     least, most = np.full(n, -1), np.full(n, -1)
     left_class = np.zeros(n, np.int64)
-    for back in range(length - key + 1):
+    for back in range(distances[0], distances[1] + 1):
         fits = np.flatnonzero((left_sizes >= back) & (right_sizes >= length - back))
         if not len(fits):
             continue
@@ -316,7 +337,7 @@ def repeated_windows(rights_shared: np.ndarray, right_sizes: np.ndarray, lefts:
     return least, most
 
 
-def merge_runs(table: pa.Table, length: int, key: int) -> pa.Table:
+def merge_runs(table: pa.Table, length: int, ranges: list[tuple[int, int]]) -> pa.Table:
     """The runs of one part, merged; for each context with a repeated window the interval covered, relative to the anchor."""
 
     def decoded(rests: list[bytes], shared: list[int], base: int) -> Iterator[tuple[bytes, int, int]]:
@@ -326,7 +347,7 @@ def merge_runs(table: pa.Table, length: int, key: int) -> pa.Table:
             yield before, n, base + k
 
     runs, lefts, marks, many = [], [], [], []
-    for row in zip(*(table.column(x.split()[0]).to_pylist() for x in RUN_ROWS.split(", ")[1:])):
+    for row in zip(*(table.column(x.split()[0]).to_pylist() for x in RUN_ROWS.split(", ")[2:])):
         prefixes, rests, rest_sizes, left, left_sizes, names, more = row
         runs.append(decoded(sliced(rests, np.frombuffer(rest_sizes, np.uint16)), np.frombuffer(prefixes, np.uint16).tolist(), len(lefts)))
         lefts += sliced(left, np.frombuffer(left_sizes, np.uint16))
@@ -338,55 +359,72 @@ def merge_runs(table: pa.Table, length: int, key: int) -> pa.Table:
         sizes.append(len(value))
         items.append(item)
     at = np.array(items, np.int64)
-    least, most = repeated_windows(np.array(shared, np.int64), np.array(sizes, np.int64), [lefts[k] for k in items], np.array(many, np.int64)[at], length, key)
+    least, most = repeated_windows(np.array(shared, np.int64), np.array(sizes, np.int64), [lefts[k] for k in items], np.array(many, np.int64)[at], length, ranges[table.column("slot")[0].as_py()])
     # A context that several runs have is several items with one result, and goes on once.
     once = {marks[items[k]]: k for k in np.flatnonzero(most >= 0).tolist()}
     context, found = list(once), np.array(list(once.values()), np.int64)
     return pa.table({"context": pa.array(context, pa.binary()), "first": pa.array((-most[found]).astype(np.int32)), "last": pa.array((length - least[found]).astype(np.int32))})
 
 
-def anchored(df: DataFrame, text: str, length: int, key: int) -> DataFrame:
-    """row_key, text, places: the texts with anchors whose key occurs twice, written to the shared folder."""
+def anchored(df: DataFrame, text: str, length: int, key: int, hot_places: int) -> DataFrame:
+    """row_key, text, places, hot_places: the texts with anchors whose key occurs twice, written to the shared folder."""
     body = text_of(text)
     docs = df.select(row_key("doc_id", body).alias("row_key"), body.alias("text")).where(F.octet_length("text") >= length)
     docs = docs.withColumn("doc", F.xxhash64("row_key"))
-    times = F.count("*").over(Window.partitionBy("key_hash"))
-    twice = anchor_rows(docs, length, key).withColumn("n", times).where("n > 1 OR more IS NOT NULL")
-    hits = unpacked(twice).groupBy("doc").agg(F.collect_set("place").alias("places"))
+    found = cut(anchor_rows(docs, length, key), "anchors")
+    times = 1 + F.coalesce(F.octet_length("more"), F.lit(0)) / PLACE_BYTES
+    counted = found.groupBy("key_hash").agg(F.sum(times).alias("n")).where("n > 1")
+    # Written, so that the join knows its size and a key of very many places can be split.
+    counted = cut(counted.select("key_hash", (F.col("n") > hot_places).alias("hot")), "keys")
+    places = cut(unpacked(found.join(counted, "key_hash")), "places")
+    discard(found, counted)
+    hits = places.groupBy("doc").agg(F.collect_set(F.when(~F.col("hot"), F.col("place"))).alias("places"), F.collect_set(F.when(F.col("hot"), F.col("place"))).alias("hot_places"))
     # `doc` is short and only proposes places; a clash of two documents proposes too many. Results go by row_key.
-    return cut(docs.join(hits.hint("shuffle_hash"), "doc").select("row_key", "text", "places"), "anchored")
+    out = cut(docs.join(hits.hint("shuffle_hash"), "doc").select("row_key", "text", "places", "hot_places"), "anchored")
+    discard(places)
+    return out
 
 
-def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, key: int = KEY) -> DataFrame:
+def repeated_spans(df: DataFrame, text: str = "text", length: int = LENGTH, key: int = KEY, hot_places: int = HOT_PLACES) -> DataFrame:
     """row_key, text and spans (array of start, end in bytes, apart and in order) of the texts that repeat something."""
     spark = df.sparkSession
     bounded_batches(spark)
-    chosen = anchored(df, text, length, key)
-    places = chosen.agg(F.sum(F.size("places"))).first()[0] or 0
+    chosen = anchored(df, text, length, key, hot_places)
+    ranges = slots(length, key, SLOTS)
+    places = chosen.agg(F.sum(F.size("places") + SLOTS * F.size("hot_places"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-places // CONTEXTS_A_TASK))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: dict[tuple[bytes, bytes], int] = {}
+        items: dict[tuple[bytes, bytes, bool], int] = {}
         for batch in batches:
-            for value, at in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
-                for _, right, left in contexts(value.encode("utf-8", "surrogatepass"), at, length, key):
-                    items[right, left] = items.get((right, left), 0) + 1
+            for value, *both in zip(*(batch.column(c).to_pylist() for c in ("text", "places", "hot_places"))):
+                data = value.encode("utf-8", "surrogatepass")
+                for hot, at in enumerate(both):
+                    for _, right, left in contexts(data, at, length, key):
+                        items[right, left, bool(hot)] = items.get((right, left, bool(hot)), 0) + 1
                 if len(items) >= RUN:
-                    yield front_coded(items, parts, key)
+                    yield front_coded(items, parts, length, key, ranges)
                     items = {}
         if items:
-            yield front_coded(items, parts, key)
+            yield front_coded(items, parts, length, key, ranges)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.binary(), pa.int32(), pa.binary()))], ["row_key", "place", "context"])
+
+        rows = []
         for batch in batches:
-            rows = []
-            for name, value, at in zip(batch.column("row_key").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist()):
-                rows += [(name, place, context_of(right, left)) for place, right, left in contexts(value.encode("utf-8", "surrogatepass"), at, length, key)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.binary(), pa.int32(), pa.binary()))], ["row_key", "place", "context"])
+            for name, value, cool, hot in zip(*(batch.column(c).to_pylist() for c in ("row_key", "text", "places", "hot_places"))):
+                for place, right, left in contexts(value.encode("utf-8", "surrogatepass"), cool + hot, length, key):
+                    rows.append((name, place, context_of(right, left)))
+                    if len(rows) >= RUN:
+                        yield batch_of(rows)
+                        rows = []
+        if rows:
+            yield batch_of(rows)
 
     # One arrow batch holds whole runs here, so few rows of it.
-    covered = chosen.mapInArrow(runs, RUN_ROWS).groupBy("part").applyInArrow(lambda t: merge_runs(t, length, key), "context binary, first int, last int")
+    covered = chosen.mapInArrow(runs, RUN_ROWS).groupBy("part", "slot").applyInArrow(lambda t: merge_runs(t, length, ranges), "context binary, first int, last int")
     marks = chosen.mapInArrow(named, "row_key binary, place int, context binary")
     reach = F.struct((F.col("place") + F.col("first")).alias("start"), (F.col("place") + F.col("last")).alias("end"))
     united = marks.join(covered, "context").groupBy("row_key").agg(F.collect_set(reach).alias("spans"))
@@ -417,9 +455,9 @@ def cut_out(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, schema)
 
 
-def remove_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, key: int = KEY) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, key: int = KEY, hot_places: int = HOT_PLACES) -> DataFrame:
     """df with kept (the remaining bytes) and spans (what went) for every row, which replace columns of these names."""
-    changed = cut_out(repeated_spans(df, text, length, key)).dropDuplicates(["row_key"])
+    changed = cut_out(repeated_spans(df, text, length, key, hot_places)).dropDuplicates(["row_key"])
     body = text_of(text)
     rows = df.select(whole_rows(df).alias("row"), row_key("doc_id", body).alias("row_key"))
     whole = F.coalesce(F.col("row").getField(text), F.lit("")).cast("binary")
