@@ -16,6 +16,12 @@ CUE_ALIASES = {
     "vitals": "vital", "signs": "sign", "meds": "medication", "medications": "medication", "breaths": "breathing",
     "respirations": "respiration", "respiratory": "respiration",
 }
+#: Words left out of the tokens of a cue.
+CUE_STOPWORDS = (
+    "a", "an", "and", "or", "the", "to", "of", "for", "if", "by", "with", "used", "use", "local", "protocol", "protocols",
+    "observation", "observations", "report", "reported", "confirmation", "confirm", "known", "available", "complete",
+    "current", "relevant", "specific", "source", "card", "cards", "id", "ids", "detail", "details",
+)
 NUMBER_WORDS = {
     "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10,
     "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17,

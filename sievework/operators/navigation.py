@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from sievework.functions import severity
 from sievework.functions.sets import missing
-from sievework.functions.text import cue_tokens, normalize, words
+from sievework.functions.text import CUE_STOPWORDS, cue_tokens, normalize, words
 from sievework.operators.intake import query_text
 from sievework.operators.metrics import all_applicable
 from sievework.operators.retrieval import clamp, top
@@ -137,10 +137,10 @@ def render_note(note: Column, source_cards: Column, boundary: Column) -> Column:
     return F.when(good, whole)
 
 
-def cue_present(cue: Column, text: Column) -> Column:
+def cue_present(cue: Column, text: Column, stopwords: tuple[str, ...] = CUE_STOPWORDS) -> Column:
     """All the cue's tokens are in the text, or its words stand there in a row."""
-    tokens = cue_tokens(cue)
-    return ((F.size(tokens) > 0) & (F.size(F.array_except(tokens, cue_tokens(text))) == 0)) | F.contains(normalize(text), normalize(cue))
+    tokens = cue_tokens(cue, stopwords)
+    return ((F.size(tokens) > 0) & (F.size(F.array_except(tokens, cue_tokens(text, stopwords))) == 0)) | F.contains(normalize(text), normalize(cue))
 
 
 def score(df: DataFrame) -> DataFrame:

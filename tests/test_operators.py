@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sievework.functions import negation
 from sievework.operators import audit, decontaminate, merging, metrics, provenance, redaction, retrieval, screening, selection, sessions
 from sievework.operators.screening import Rule, whole_word
 from sievework.sources import jsonl
@@ -23,8 +24,8 @@ def test_first_match_is_by_pattern_order_and_rules_keep_theirs(spark):
 
 def test_negation_scope():
     text = "denies chest pain. Chest pain now; no chest pain"
-    assert [screening.is_negated(text, k) for k in (7, 19, 38)] == [True, False, True]
-    assert not screening.is_negated("denies cough but chest pain", 17)
+    assert [negation.denied(negation.Sentences(text).before(k)) for k in (7, 19, 38)] == [True, False, True]
+    assert not negation.denied("denies cough but ")
 
 
 def test_term_scores_and_top(spark):
