@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from sievework.functions.sets import jaccard
 from sievework.functions.text import words
+from sievework.sources.tables import small
 
 
 def content_key(text: Column) -> Column:
@@ -16,7 +17,7 @@ def content_key(text: Column) -> Column:
 
 def token_sets(df: DataFrame, key: str, text: Column, *blocks: str) -> DataFrame:
     """key, blocks, and tokens: the sorted distinct words."""
-    return df.select(key, *blocks, F.array_sort(F.array_distinct(words(text))).alias("tokens"))
+    return df.select(key, *blocks, F.sort_array(F.array_distinct(words(text))).alias("tokens"))
 
 
 def classes(sets: DataFrame, key: str, *blocks: str) -> DataFrame:
@@ -30,7 +31,7 @@ def prefixes(sets: DataFrame, key: str, threshold: float, *blocks: str) -> DataF
     frequency = rows.groupBy("token").agg(F.count("*").alias("df"))
     ranked = rows.join(frequency, "token")
     kept = F.col("size") - F.ceil(F.col("size") * F.lit(threshold)) + 1
-    gathered = ranked.groupBy(key, *blocks, "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_t"))
+    gathered = ranked.groupBy(key, *blocks, "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("_t"))
     return gathered.select(key, *blocks, "size", F.explode(F.transform(F.slice("_t", F.lit(1), kept.cast("int")), lambda x: x["token"])).alias("token"))
 
 
@@ -51,18 +52,35 @@ def similar_pairs(sets: DataFrame, key: str, threshold: float, *blocks: str) ->
     return joined.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def contained_items(docs: DataFrame, items: DataFrame, doc: str, item: str, least: float) -> DataFrame:
-    """(doc, item, containment): items of whose distinct tokens a document holds at least that share.
+#: How many of an item's rare tokens a document must share to be looked at, if so many are needed at all.
+SHARED = 4
+
+
+def holders(docs: DataFrame, items: DataFrame, doc: str, item: str, least: float) -> DataFrame:
+    """(doc, item, td, ti): pairs that may share `least` of the item's tokens, with both token sets; none that does is missing.
 
-    An item's rarest n - ceil(least n) + 1 tokens must include one that the document holds, so only those are joined.
-    docs and items are token sets (see token_sets).
+    Such a document lacks at most n - ceil(least n) of an item's n tokens, so of the n - ceil(least n) + k that are rarest in
+    the documents it has k. docs and items are token sets (see token_sets). Documents are dealt by key once, so that all
+    further steps but the count of tokens stay where they are as long as the items are few.
     """
-    rare = prefixes(items, item, least).select(item, "token")
-    tokens = docs.select(doc, F.explode_outer("tokens").alias("token")).where("token IS NOT NULL")
-    near = tokens.join(rare, "token").select(doc, item).distinct()
-    joined = near.join(items.select(item, F.col("tokens").alias("ti")), item).join(docs.select(doc, F.col("tokens").alias("td")), doc)
+    dealt = docs.select(doc, F.col("tokens").alias("td")).repartition(doc)
+    own = items.select(item, F.explode_outer("tokens").alias("token"), F.size("tokens").alias("n")).where("token IS NOT NULL")
+    tokens = dealt.select(doc, F.explode_outer("td").alias("token")).where("token IS NOT NULL")
+    asked = tokens.join(small(own.select("token").distinct(), items), "token", "left_semi")
+    frequency = asked.groupBy("token").agg(F.count("*").alias("df"))
+    needed = F.ceil(F.col("n") * F.lit(least)).cast("int")
+    ranked = own.join(small(frequency, items), "token", "left").groupBy(item, "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("_t"))
+    ranked = ranked.withColumn("k", F.least(F.greatest(needed, F.lit(1)), F.lit(SHARED)))
+    kept = F.least(F.col("n") - needed + F.col("k"), F.col("n"))
+    rare = ranked.select(item, "k", F.explode(F.transform(F.slice("_t", F.lit(1), kept), lambda x: x["token"])).alias("token"))
+    near = tokens.join(small(rare, items), "token").groupBy(doc, item).agg(F.count("*").alias("hits"), F.first("k").alias("k")).where("hits >= k")
+    return near.select(doc, item).join(dealt, doc).join(small(items.select(item, F.col("tokens").alias("ti"))), item)
+
+
+def contained_items(docs: DataFrame, items: DataFrame, doc: str, item: str, least: float) -> DataFrame:
+    """(doc, item, containment): items of whose distinct tokens a document holds at least that share."""
     share = F.size(F.array_intersect("ti", "td")) / F.size("ti")
-    return joined.select(doc, item, share.alias("containment")).where(F.col("containment") >= least)
+    return holders(docs, items, doc, item, least).select(doc, item, share.alias("containment")).where(F.col("containment") >= least)
 
 
 def first_exclusion(candidates: DataFrame, doc: str, ordinal: str) -> DataFrame:
@@ -74,10 +92,8 @@ def first_exclusion(candidates: DataFrame, doc: str, ordinal: str) -> DataFrame:
 def exclusion_matches(docs: DataFrame, items: DataFrame, doc: str, item: str, threshold: float) -> DataFrame:
     """(doc, item, reason): equal content, or Jaccard similarity from the threshold on. docs and items have tokens and content."""
     exact = docs.join(items.select(item, "content"), "content").select(doc, item, F.lit("exact").alias("reason"))
-    rare = prefixes(items, item, threshold).select(item, "token", F.col("size").alias("size_i"))
-    tokens = docs.select(doc, F.size("tokens").alias("size"), F.explode_outer("tokens").alias("token")).where("token IS NOT NULL")
-    near = tokens.join(rare, "token").where(F.least("size", "size_i") >= F.lit(threshold) * F.greatest("size", "size_i")).select(doc, item).distinct()
-    joined = near.join(items.select(item, F.col("tokens").alias("ti")), item).join(docs.select(doc, F.col("tokens").alias("td")), doc)
-    close = joined.where(jaccard(F.col("ti"), F.col("td")) >= threshold).select(doc, item, F.lit("near").alias("reason"))
+    # So similar a document holds at least that share of the item, as the union is no smaller.
+    found = holders(docs, items, doc, item, threshold)
+    close = found.where(jaccard(F.col("ti"), F.col("td")) >= threshold).select(doc, item, F.lit("near").alias("reason"))
     both = exact.unionByName(close).groupBy(doc, item).agg(F.min("reason").alias("reason"))
     return both

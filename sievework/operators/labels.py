@@ -6,8 +6,10 @@ sentence, comes from one Arrow UDF over the final output.
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.functions import severity
-from sievework.functions.jsontext import joined_strings, parsed, strings_in
+from sievework.functions.jsontext import parsed, strings_in
 from sievework.functions.negation import Sentences, first_standing, ruled_out
 from sievework.functions.sets import missing
 from sievework.functions.text import normalize
@@ -63,8 +65,9 @@ CHECKS = (
 
 def families_of(instructions: Column) -> Column:
     """The families that instructions call by name or alias, each once."""
-    called = lambda i, name: F.array_contains(F.transform(F.array(*map(F.lit, (name, *FAMILIES[name][0]))), lambda w: F.contains(F.lower(i), w)), True)
-    return F.array_distinct(F.flatten(F.transform(instructions, lambda i: F.array_compact(F.array(*(F.when(called(i, n), F.lit(n)) for n in FAMILIES))))))
+    called = lambda i, name: reduce(operator.or_, (F.contains(F.lower(i), F.lit(w)) for w in (name, *FAMILIES[name][0])))
+    each = F.transform(instructions, lambda i: F.array(*(F.when(called(i, n), F.lit(n)) for n in FAMILIES)))
+    return F.array_distinct(F.filter(F.flatten(each), lambda x: x.isNotNull()))
 
 
 def violations(text: str, families: list[str]) -> list[str]:
@@ -79,18 +82,18 @@ def violations(text: str, families: list[str]) -> list[str]:
 
 
 TEXTS = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("observations", "note", *SLOTS)]
+    [T.StructField(n, T.StringType()) for n in ("observations", "note", "evidence", *SLOTS)]
     + [T.StructField(n, T.BooleanType()) for n in ("brief", "clean")]
     + [T.StructField("violations", T.ArrayType(T.StringType()))]
 )
 
 
 @F.pandas_udf(TEXTS)
-def texts_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """From an output and the forbidden families: its observation texts, its hand-off note and slots, and what it says against the rules."""
+def texts_of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """From an output, the forbidden families and the harness's evidence: their texts, its hand-off note and slots, and what it says against the rules."""
     joined = lambda *values: "\n".join(x for v in values for x in strings_in(v))
 
-    def one(output: str | None, families) -> dict:
+    def one(output: str | None, families, evidence: str | None) -> dict:
         said = parsed(output)
         said = said if isinstance(said, dict) else {}
         note = said.get("handoff_note_sbar")
@@ -101,14 +104,19 @@ def texts_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Data
         return {
             "observations": joined(said.get("missing_info_to_collect"), said.get("next_observations_to_collect")),
             "note": joined(note),
+            "evidence": joined(parsed(evidence)),
             **slots,
             "brief": len("\n".join(every)) <= MOST_NOTE and all(len(x) <= MOST_SLOT for x in every),
             "clean": bool(assessment) and not violations(assessment, []) and ACTS.search(assessment) is None,
             "violations": violations(joined(said), list(families) if families is not None else []),
         }
 
-    for outputs, families in batches:
-        yield pd.DataFrame([one(*x) for x in zip(outputs, families)], columns=TEXTS.names)
+    for batch in batches:
+        yield pd.DataFrame([one(*x) for x in zip(*batch)], columns=TEXTS.names)
+
+
+# Else the optimizer may move the call into the expressions that read it, lambdas among them, where no UDF can run.
+texts_of = texts_of.asNondeterministic()
 
 
 def listed(value: Column, path: str) -> Column:
@@ -161,7 +169,9 @@ def score_records(df: DataFrame, record: str = "record") -> DataFrame:
     rows = df.withColumn("_f", F.coalesce(filled(inner("final_output")), filled(inner("navigator_output")), F.lit("{}")))
     rows = rows.withColumns({"_r": F.try_parse_json(raw), "_o": F.try_parse_json("_f"), "_k": F.json_object_keys(raw)})
     r, o = F.col("_r"), F.col("_o")
-    rows = rows.withColumn("_t", texts_of("_f", families_of(listed(r, "forbidden_behavior"))))
+    shown = (inner("harness_evidence"), F.get_json_object("_f", "$.harness_evidence"), inner("trace_payload.harness_evidence"))
+    rows = rows.withColumn("_evidence", F.coalesce(*map(objects, shown), F.lit("{}")))
+    rows = rows.withColumn("_t", texts_of("_f", families_of(listed(r, "forbidden_behavior")), "_evidence"))
     texts = F.col("_t")
     expected = {k: listed(r, f"expected_{k}") for k in ("red_flag_rule_ids", "source_card_ids", "missing_observations", "candidate_pathway_card_ids")}
     target, least = told(r, "target_protocol_card_id"), told(r, "expected_min_protocol_urgency")
@@ -173,7 +183,6 @@ def score_records(df: DataFrame, record: str = "record") -> DataFrame:
             "_cards": first_of(listed(o, "source_cards"), listed(r, "actual_source_card_ids")),
             "_paths": first_of(pathway_cards(o), listed(r, "actual_candidate_pathway_card_ids")),
             "_urgency": F.coalesce(told(o, "protocol_urgency"), told(r, "actual_protocol_urgency")),
-            "_evidence": F.coalesce(*map(objects, (inner("harness_evidence"), F.get_json_object("_f", "$.harness_evidence"), inner("trace_payload.harness_evidence"))), F.lit("{}")),
         }
     )
     flags, cards = F.col("_flags"), F.col("_cards")
@@ -186,10 +195,9 @@ def score_records(df: DataFrame, record: str = "record") -> DataFrame:
         {
             "missing_model_observation_cues": F.filter("expected_model_observation_cues", lambda c: ~cue_present(c, texts["observations"])),
             "missing_handoff_cues": F.filter("expected_handoff_cues", lambda c: ~note_has(c)),
-            "_seen": joined_strings("_evidence"),
         }
     )
-    rows = rows.withColumn("missing_harness_evidence_cues", F.filter("expected_harness_evidence_cues", lambda c: ~evidence_shows(c, r, cards)))
+    rows = rows.withColumn("missing_harness_evidence_cues", F.filter("expected_harness_evidence_cues", lambda c: ~evidence_shows(c, r, cards, texts["evidence"])))
     some = lambda c: F.size(c) > 0
     labelled = F.lit(False)
     for e in (*expected.values(), *(F.col(f"expected_{k}") for k in CUE_KINDS), listed(r, "forbidden_behavior")):
@@ -224,7 +232,7 @@ def score_records(df: DataFrame, record: str = "record") -> DataFrame:
     )
     rows = rows.withColumns(dict(zip(CHECKS, made)))
     rows = rows.withColumn("missing_expected_observation_cues", F.concat(*(F.col(f"missing_{k}") for k in CUE_KINDS)))
-    return rows.withColumn("all_expected_labels_passed", all_applicable(*map(F.col, CHECKS))).drop("_f", "_r", "_o", "_k", "_t", "_flags", "_cards", "_paths", "_urgency", "_evidence", "_seen")
+    return rows.withColumn("all_expected_labels_passed", all_applicable(*map(F.col, CHECKS))).drop("_f", "_r", "_o", "_k", "_t", "_flags", "_cards", "_paths", "_urgency", "_evidence")
 
 
 CUE_KINDS = {"model_observation_cues": "model", "handoff_cues": "handoff", "harness_evidence_cues": "harness"}
@@ -254,7 +262,7 @@ def pathway_cards(output: Column) -> Column:
     return F.coalesce(F.filter(F.transform(items, card), lambda c: c.isNotNull()), F.array().cast("array<string>"))
 
 
-def evidence_shows(cue: Column, record: Column, source_cards: Column) -> Column:
+def evidence_shows(cue: Column, record: Column, source_cards: Column, said: Column) -> Column:
     """Whether the evidence of the harness, or the record around it, shows a cue."""
     has = lambda key: F.array_contains(F.coalesce(F.json_object_keys("_evidence"), F.array().cast("array<string>")), key)
     there = lambda path: F.try_variant_get(record, f"$.{path}", "variant").isNotNull()
@@ -269,4 +277,4 @@ def evidence_shows(cue: Column, record: Column, source_cards: Column) -> Column:
         HARNESS_CUES[4]: has("confirmed_intake") | there("structured_intake.confirmed") | there("input_captured.structured_intake.confirmed"),
         HARNESS_CUES[5]: has("source_card_ids") | (F.size(source_cards) > 0),
     }
-    return chosen(cue, shown, cue_present(cue, F.col("_seen")))
+    return chosen(cue, shown, cue_present(cue, said))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievework.functions.text import occurrences, query_terms, words
+from sievework.sources.tables import small
 
 #: Fixed values of the scorers.
 TITLE_WEIGHT = 4
@@ -38,20 +39,24 @@ def term_scores(queries: DataFrame, docs: DataFrame, query: str, key: str, query
     """(query, key, score): each query term's substring count in the body, and TITLE_WEIGHT times that in the title; positive scores only.
 
     A term is letters and digits only, so each place where it stands lies within one word. The substrings of the distinct
-    words, no longer than the longest term, meet the terms in an equi-join; no text is searched once for each term.
+    words that have the length of a term meet the terms in an equi-join; no text is searched once for each term. Documents
+    are dealt by key once; with few queries all that follows but the vocabulary stays where it is.
     """
     wanted = term_counts(queries, query, query_text)
-    longest = wanted.agg(F.max(F.length("term"))).first()[0] or 0  # one number
-    tokens = docs.select(key, F.explode_outer(words(body)).alias("token"), F.lit(1).alias("w"))
+    dealt = docs.repartition(key)
+    sides = [F.transform(words(body), lambda t: F.struct(t.alias("token"), F.lit(1).alias("w")))]
     if title is not None:
-        tokens = tokens.unionByName(docs.select(key, F.explode_outer(words(title)).alias("token"), F.lit(TITLE_WEIGHT).alias("w")))
-    counted = tokens.where(F.length("token") > 1).groupBy(key, "token").agg(F.sum("w").alias("w"))
-    size, token = F.length("token"), F.col("token")
-    cuts = F.transform(F.sequence(F.lit(2), F.least(size, F.lit(max(2, longest)))), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: token.substr(i, n)))
-    parts = counted.select("token").distinct().select("token", F.explode(F.array_distinct(F.flatten(cuts))).alias("term"))
-    hits = parts.join(wanted.select("term").distinct(), "term").select("token", "term", occurrences(F.col("token"), F.col("term")).alias("n"))
-    found = counted.join(hits, "token").groupBy(key, "term").agg(F.sum(F.col("w") * F.col("n")).alias("n"))
-    scored = found.join(wanted, "term").groupBy(query, key)
+        sides.append(F.transform(words(title), lambda t: F.struct(t.alias("token"), F.lit(TITLE_WEIGHT).alias("w"))))
+    tokens = dealt.select(key, F.explode_outer(F.concat(*sides)).alias("t")).select(key, "t.token", "t.w").where(F.length("token") > 1)
+    counted = tokens.groupBy(key, "token").agg(F.sum("w").alias("w"))
+    token, terms = F.col("token"), wanted.select("term").distinct()
+    lengths = small(terms.agg(F.array_sort(F.collect_set(F.length("term"))).alias("lengths")))
+    fitting = tokens.select("token").distinct().crossJoin(F.broadcast(lengths)).select("token", F.filter("lengths", lambda n: n <= F.length("token")).alias("lengths"))
+    cuts = F.transform("lengths", lambda n: F.transform(F.sequence(F.lit(1), F.length("token") - n + 1), lambda i: token.substr(i, n)))
+    parts = fitting.select("token", F.explode_outer(F.array_distinct(F.flatten(cuts))).alias("term")).where("term IS NOT NULL")
+    hits = parts.join(small(terms, queries), "term").select("token", "term", occurrences(F.col("token"), F.col("term")).alias("n"))
+    found = counted.join(hits, "token").select(key, "term", "w", "n").repartition(key).groupBy(key, "term").agg(F.sum(F.col("w") * F.col("n")).alias("n"))
+    scored = found.join(small(wanted, queries), "term").groupBy(query, key)
     return scored.agg(F.sum(F.col("n") * F.col("times")).cast("double").alias("score")).where("score > 0")
 
 
@@ -63,17 +68,18 @@ def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
 
 def bm25_scores(queries: DataFrame, docs: DataFrame, query: str, key: str, query_text: str, body: Column) -> DataFrame:
     """(query, key, score): BM25 summed over query terms with their repetition; terms in half of the documents or more keep a tiny weight."""
-    index = postings(docs, key, body)
+    index = postings(docs.repartition(key), key, body)
     wanted = term_counts(queries, query, query_text)
-    # Only the postings of query terms go on; document frequencies come from the same rows.
-    asked = index.join(wanted.select("term").distinct(), "term", "left_semi")
+    # Only the postings of query terms go on; document frequencies come from the same rows. Documents are dealt by key, so
+    # with few queries the postings and the scores are made where the document is.
+    asked = index.join(small(wanted.select("term").distinct(), queries), "term", "left_semi")
     frequency = asked.groupBy("term").agg(F.count("*").alias("df"))
     corpus = docs.select(F.size(words(body)).alias("size")).agg(F.count("*").alias("n_docs"), F.avg("size").alias("mean_size"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
     terms = wanted.join(frequency, "term").crossJoin(F.broadcast(corpus)).select(query, "term", "times", idf.alias("idf"), "mean_size")
-    rows = asked.join(terms, "term")
+    rows = asked.join(small(terms, queries), "term")
     return rows.groupBy(query, key).agg(F.sum(F.col("times") * F.col("idf") * weight).alias("score"))
 
 

@@ -5,9 +5,13 @@ Patterns are literals unrolled into one projection, so a rule set of any size is
 
 from __future__ import annotations
 
+import operator
 import re
-from collections.abc import Iterator
+import re._constants as sre
+import re._parser as sre_parser
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,10 +45,38 @@ def record_text(*columns: str) -> Column:
     return F.lower(F.concat_ws("\n", *columns))
 
 
+def needed_texts(nodes: Iterable) -> list[str]:
+    """Texts of which every match of a parsed expression holds at least one; none if it tells of none. The longest are chosen."""
+    found, run = [], ""
+    for kind, value in [*nodes, (None, None)]:
+        if kind is sre.LITERAL:
+            run += chr(value)
+            continue
+        found.append([run] if run else [])
+        run = ""
+        if kind is sre.SUBPATTERN:
+            found.append(needed_texts(value[-1]))
+        elif kind is sre.BRANCH:
+            arms = [needed_texts(x) for x in value[1]]
+            found.append([t for x in arms for t in x] if all(arms) else [])
+        elif kind is sre.MAX_REPEAT and value[0] > 0:
+            found.append(needed_texts(value[2]))
+    return max(found, key=lambda x: min(map(len, x), default=0))
+
+
+def extracted(text: Column, pattern: str) -> Column:
+    """The stripped match of a pattern; null if there is none. A search for plain text that it needs comes first, as most texts lack that."""
+    compiled = re.compile(pattern)
+    found = F.nullif(F.trim(F.regexp_extract(text, pattern, 1 if compiled.groups else 0)), F.lit(""))
+    needed = [] if compiled.flags & re.IGNORECASE else needed_texts(sre_parser.parse(pattern))
+    if not needed:
+        return found
+    return F.when(reduce(operator.or_, (F.contains(text, F.lit(t)) for t in dict.fromkeys(needed))), found)
+
+
 def first_match(text: Column, patterns: tuple[str, ...]) -> Column:
     """The stripped match of the first pattern in list order that matches; null if none does."""
-    found = [F.nullif(F.trim(F.regexp_extract(text, p, 1 if re.compile(p).groups else 0)), F.lit("")) for p in patterns]
-    return F.coalesce(*found)
+    return F.coalesce(*(extracted(text, p) for p in patterns))
 
 
 def fired(text: Column, rules: tuple[Rule, ...]) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Tables whose rows cost much work each.
 HEAVY = ("documents", "pages")
@@ -16,3 +17,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if name in HEAVY and len(found.inputFiles()) < cores:
         return found.repartition(cores)
     return found
+
+
+#: Bytes up to which a side of a join is broadcast by `small`.
+BROADCAST_BYTES = 4 << 20
+
+
+def small(df: DataFrame, source: DataFrame | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if the optimizer's estimate of its size, or of that of the table it is made of, is within
+    bounds; else df, to be shuffled. The estimate is made while planning: nothing runs for it."""
+    estimate = (source or df)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(estimate)) <= most else df
