@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.bpe import encoder_of, packed, read_spec
@@ -93,5 +93,15 @@ def pack_texts(df: DataFrame, text: str = "text", longest: int = LONGEST, end: i
     return df.select("doc_id", text).mapInArrow(run, SCHEMA)
 
 
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Writes packed pieces as Parquet, one folder for each length; training draws a batch from one folder."""
+    pieces.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_bucket(spark: SparkSession, path: str, length: int) -> DataFrame:
+    """The sequences of one length, a power of two."""
+    return spark.read.schema(SCHEMA).parquet(path).where(F.col("bucket") == checked(length).bit_length() - 1)
+
+
 def digest(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

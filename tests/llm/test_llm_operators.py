@@ -98,6 +98,7 @@ def test_packing_covers_every_id_once(spark, docs, rows):
     ids = lambda t: [*library.encode(t or "", add_special_tokens=False).ids, 2]
     pieces = packing.digest(packing.pack_texts(clash(docs), longest=64)).collect()
     assert len({p.sequence_id for p in pieces}) == len(pieces)
+    assert {p.offset for p in pieces} == {0} and all(p.length & (p.length - 1) == 0 for p in pieces)  # so every sequence is full
     found = Counter((p.doc_id, p.start, p.length, p.ids_crc32, p.doc_tokens) for p in pieces)
     expected = Counter()
     for i, text, *_ in rows:
@@ -114,6 +115,16 @@ def test_packing_covers_every_id_once(spark, docs, rows):
     assert packing.pack_texts(empty(spark)).count() == 0 and coding.coding_digest(empty(spark)).count() == 0
 
 
+def test_buckets_hold_one_length_each(spark, docs, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    pieces = packing.pack_texts(docs, longest=64)
+    packing.write_buckets(pieces, f"file://{tmp_path}/b")
+    sizes = Counter(r.length for r in pieces.select("length").collect())
+    for length, n in sizes.items():
+        found = packing.read_bucket(spark, f"file://{tmp_path}/b", length).collect()
+        assert len(found) == n and {(r.length, len(r.ids)) for r in found} == {(length, 4 * length)}
+
+
 WHITE = " \t\n\x0b\x0c\r"
 GAP = re.compile("[ \t-\r]+")
 
