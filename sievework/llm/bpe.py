@@ -38,7 +38,7 @@ BLOCK, MEMO_CHARS = 1 << 15, 512
 CUT_WITHIN = 2048
 NEVER = 1 << 60
 POINTS = frozenset(".,;:!?")
-CACHE = 250_000
+CACHE = 150_000
 
 
 def byte_alphabet() -> list[str]:

@@ -110,13 +110,18 @@ def links(nodes: DataFrame, rows: DataFrame, text: str = "text", words: int = WO
     members = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
     members = members.withColumns({"n": F.count("*").over(of_band), "centre": F.min("node").over(of_band)})
     members = cut(members.where("n > 1").drop("n"), "buckets")
-    stars = members.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).unionByName(tree_pairs(nodes))
-    stars = cut(stars.distinct(), "star-pairs")
-    met = members.select("node").unionByName(stars.select(F.col("u").alias("node"))).unionByName(stars.select(F.col("v").alias("node"))).distinct()
+    stars = cut(members.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), "star-pairs")
+    trees = cut(tree_pairs(nodes).distinct(), "tree-pairs")
+    met = members.select("node").unionByName(trees.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
     needed = nodes.join(met, "node", "left_semi").select("node", F.col("best.row_key").alias("row_key"))
     sets = cut(with_sets(rows.join(needed, "row_key").dropDuplicates(["node"]), text, words), "shingles")
     held = cut(verified(stars, sets, percent), "star-links")
-    labelled = members.join(components(held), "node", "left").select("band", "node", "n_shingles", F.coalesce("root", "node").alias("label"))
+    roots = components(held)
+    # What the trees link is looked at only where the bands have not connected it already.
+    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    apart = trees.join(root("u"), "u", "left").join(root("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
+    held = held.unionByName(cut(verified(cut(apart.select("u", "v"), "apart"), sets, percent), "tree-held"))
+    labelled = members.join(roots, "node", "left").select("band", "node", "n_shingles", F.coalesce("root", "node").alias("label"))
     labelled = cut(labelled, "labelled")
     mixed = labelled.groupBy("band").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.mode("label").alias("main"))
     labelled = cut(labelled.join(mixed.where("_low <> _high").select("band", "main"), "band"), "mixed")
