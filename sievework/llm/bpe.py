@@ -38,7 +38,7 @@ BLOCK, MEMO_CHARS = 1 << 15, 512
 CUT_WITHIN = 2048
 NEVER = 1 << 60
 POINTS = frozenset(".,;:!?")
-CACHE = 150_000
+CACHE = 600_000
 
 
 def byte_alphabet() -> list[str]:
@@ -388,14 +388,14 @@ class Decoder:
         return self.state.decode(b"", True)
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[tuple[int, int], Encoder] = {}
 
 
-def encoder_of(source: str) -> Encoder:
-    """One encoder for each Python worker and file, so that tasks share its cache."""
-    if (k := hash(source)) not in _ENCODERS:
+def encoder_of(source: str, memo: int = CACHE) -> Encoder:
+    """One encoder for each Python worker, file and size of the memo, so that tasks share it."""
+    if (k := (hash(source), memo)) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[k] = Encoder(Merges(source))
+        _ENCODERS[k] = Encoder(Merges(source), memo)
     return _ENCODERS[k]
 
 

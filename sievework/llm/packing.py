@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.bpe import encoder_of, packed, read_spec
+from sievework.llm.bpe import CACHE, encoder_of, packed, read_spec
 from sievework.llm.common import bounded_batches
 
 LONGEST = 4096
@@ -79,14 +79,15 @@ def pack(encoded: DataFrame, ids: str = "ids", longest: int = LONGEST) -> DataFr
     return encoded.select("doc_id", ids).mapInArrow(run, SCHEMA)
 
 
-def pack_texts(df: DataFrame, text: str = "text", longest: int = LONGEST, end: int = END, spec: str | None = None) -> DataFrame:
-    """Texts to packed pieces, in one pass; each document's ids are followed by the end id."""
+def pack_texts(df: DataFrame, text: str = "text", longest: int = LONGEST, end: int = END, spec: str | None = None, memo: int = CACHE) -> DataFrame:
+    """Texts to packed pieces, in one pass; each document's ids are followed by the end id. memo: stretches of text that a
+    worker remembers, some 200 bytes each and twice as many at most; results do not depend on it."""
     checked(longest)
     bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(read_spec(spec))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer, last = encoder_of(shared.value), Packer(longest), packed([end])
+        coder, packer, last = encoder_of(shared.value, memo), Packer(longest), packed([end])
         for batch in batches:
             yield from packer.batch(batch.column(0).to_pylist(), (coder.encode(x or "") + last for x in batch.column(1).to_pylist()))
 
