@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from sievework.llm import lines, packing, quality, secrets, similar
 from sievework.llm.common import cut, table
 
+#: Stretches that a worker of the packing stage remembers: few, as the stages before have left the JVM beside it large.
+MEMO = 100_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -42,7 +44,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two length, as a digest."""
-    return packing.digest(packing.pack_texts(docs))
+    return packing.digest(packing.pack_texts(docs, memo=MEMO))
 
 
 STAGES = [
