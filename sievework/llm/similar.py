@@ -4,9 +4,10 @@
 Words and shingle hashes are those of simhash; a text of fewer words is one shingle, one without words has none. Equal sets
 are one node from the start. Candidates are the pairs that the vantage-point trees of simhash link by their fingerprints over
 the same shingles, and those that share a band of a MinHash signature, as four bits reach few pairs below similarity 0.95 (at
-0.8 a pair shares none of the 20 bands of five with probability 0.0004, at 0.85 with 0.00002). Every candidate pair is decided by its true similarity,
-or is connected already by pairs that were: first each node of a bucket against the bucket's smallest, then, in buckets that this does not
-connect, the rest against all. So a dense group costs as many comparisons as it has nodes, not pairs, and a link that fails hides none that hold.
+0.8 a pair shares none of the 20 bands of five with probability 0.0004, at 0.85 with 0.00002). Every candidate pair is decided
+by its true similarity, or is connected already by pairs that were: first each node of a bucket against the bucket's most
+frequent one, then, in buckets that this does not connect, the rest against all whose signatures agree in ALIKE of a hundred
+places. So a dense group costs as many comparisons as it has nodes, not pairs, and a link that fails hides none that hold.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.common import bounded_batches, cut, row_key, text_of, whole_rows
@@ -25,6 +26,9 @@ from sievework.llm.simhash import SEED, components
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 20, 5
+#: Places of the signature that a pair must share, beyond a band, to be decided by its sets: at similarity 0.8 a pair shares
+#: fewer with probability 0.0003.
+ALIKE = 66
 HASHES_AT_ONCE = 1 << 12
 
 _draw = np.random.default_rng(42)
@@ -42,36 +46,43 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(join(s), SEED) for s in zip(*(found[k:] for k in range(words)))), np.uint64, n))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """One key for each band of the MinHash signature, as signed longs; none for an empty set."""
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """The MinHash signature; of no length for an empty set."""
     if not len(hashes):
-        return []
+        return np.zeros(0, np.uint64)
     least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(hashes), HASHES_AT_ONCE):
         mixed = hashes[k : k + HASHES_AT_ONCE] * FACTORS[:, None] + OFFSETS[:, None]
         least = np.minimum(least, mixed.min(1))
-    data = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(data[b].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64).tolist()
+    return least
+
+
+def bands(least: np.ndarray) -> list[int]:
+    """One key for each band of a signature, as signed longs."""
+    data = least.reshape(-1, ROWS)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), b) for b, x in enumerate(data)], np.uint64).view(np.int64).tolist()
 
 
 def with_signatures(rows: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, row_key, node (a key of the shingle set), n_shingles, bands and fingerprint (see simhash) of rows."""
+    """doc_id, row_key, node (a key of the shingle set), n_shingles, bands, sketch (16 bits of each place of the signature) and fingerprint (see simhash) of rows."""
     bounded_batches(rows.sparkSession)
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys, prints = [], [], [], []
+            nodes, sizes, keys, prints, sketches = [], [], [], [], []
             for x in batch.column(text).to_pylist():
                 found = shingles(x or "", words)
                 nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63))
                 sizes.append(len(found))
-                keys.append(bands(found))
+                least = signature(found)
+                keys.append(bands(least))
+                sketches.append(least.astype(np.uint16).view(np.int16))
                 prints.append(simhash.fingerprint(x or "", words))
-            made = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(prints, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *made], ["doc_id", "row_key", "node", "n_shingles", "bands", "fingerprint"])
+            made = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int16())), pa.array(np.array(prints, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *made], ["doc_id", "row_key", "node", "n_shingles", "bands", "sketch", "fingerprint"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, row_key binary, node long, n_shingles long, bands array<long>, fingerprint long")
+    return rows.mapInArrow(run, f"doc_id {id_type}, row_key binary, node long, n_shingles long, bands array<long>, sketch array<smallint>, fingerprint long")
 
 
 def with_sets(rows: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
@@ -106,11 +117,15 @@ def tree_pairs(nodes: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, rows: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Edges (u, v) between nodes of similar shingle sets: enough to connect all candidates that are similar."""
-    of_band = Window.partitionBy("band")
-    members = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
-    members = members.withColumns({"n": F.count("*").over(of_band), "centre": F.min("node").over(of_band)})
-    members = cut(members.where("n > 1").drop("n"), "buckets")
-    stars = cut(members.where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct(), "star-pairs")
+    raw = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
+    sizes = raw.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(raw.join(sizes, "band"), "buckets")
+    # The centre of a bucket is the node that meets most others in all its buckets: of a text and its edited copies the text.
+    known = cut(members.join(members.groupBy("node").agg(F.sum("n").alias("met")), "node"), "popular")
+    centres = known.groupBy("band").agg(F.max(F.struct("met", "node"))["node"].alias("centre"))
+    members = cut(known.drop("n", "met").join(centres, "band"), "centred")
+    stars = members.where("node <> centre").select(F.least("centre", "node").alias("u"), F.greatest("centre", "node").alias("v"))
+    stars = cut(stars.distinct(), "star-pairs")
     trees = cut(tree_pairs(nodes).distinct(), "tree-pairs")
     met = members.select("node").unionByName(trees.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
     needed = nodes.join(met, "node", "left_semi").select("node", F.col("best.row_key").alias("row_key"))
@@ -124,10 +139,13 @@ def links(nodes: DataFrame, rows: DataFrame, text: str = "text", words: int = WO
     labelled = members.join(roots, "node", "left").select("band", "node", "n_shingles", F.coalesce("root", "node").alias("label"))
     labelled = cut(labelled, "labelled")
     mixed = labelled.groupBy("band").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.mode("label").alias("main"))
-    labelled = cut(labelled.join(mixed.where("_low <> _high").select("band", "main"), "band"), "mixed")
-    a = labelled.where("label <> main").select("band", *(F.col(c).alias("a_" + c) for c in ("node", "n_shingles", "label")))
+    labelled = labelled.join(mixed.where("_low <> _high").select("band", "main"), "band")
+    labelled = cut(labelled.join(nodes.select("node", "sketch", "bands"), "node"), "mixed")
+    a = labelled.where("label <> main").select("band", *(F.col(c).alias("a_" + c) for c in ("node", "n_shingles", "label", "sketch", "bands")))
     met = a.join(labelled, "band").where("a_label <> label and (label = main or a_node < node)")
-    met = met.where(100 * F.least("n_shingles", "a_n_shingles") >= percent * F.greatest("n_shingles", "a_n_shingles"))
+    alike = F.size(F.filter(F.zip_with("sketch", "a_sketch", lambda x, y: x == y), lambda same: same))
+    first = F.get(F.array_intersect("bands", "a_bands"), F.lit(0)) == F.col("band")  # a pair of several buckets counts in one
+    met = met.where((alike >= ALIKE) & first).where(100 * F.least("n_shingles", "a_n_shingles") >= percent * F.greatest("n_shingles", "a_n_shingles"))
     rest = met.select(F.least("a_node", "node").alias("u"), F.greatest("a_node", "node").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     return held.unionByName(cut(verified(cut(rest, "rest-pairs"), sets, percent), "rest-links"))
 
@@ -137,7 +155,7 @@ def near_copies(df: DataFrame, text: str = "text", words: int = WORDS, percent:
     rows = df.select("doc_id", row_key("doc_id", text_of(text)).alias("row_key"), text)
     signed = cut(with_signatures(rows, text, words), "signatures")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best")
-    nodes = cut(signed.groupBy("node").agg(best, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("fingerprint").alias("fingerprint")), "nodes")
+    nodes = cut(signed.groupBy("node").agg(best, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("fingerprint").alias("fingerprint")), "nodes")
     roots = components(links(nodes, rows, text, words, percent))
     named = cut(nodes.join(roots, "node", "left").select("node", "best", F.coalesce("root", "node").alias("group")), "named")
     least = cut(named.groupBy("group").agg(F.min("best").alias("least")), "least")
