@@ -16,7 +16,7 @@ RULES = (
 FORBIDDEN = tuple(whole_word(w) for w in ("idiot", "trash", "scum", "moron", "token", "licensed"))
 CUES = ("idiot", "clown", "trash", "stupid")
 MARKERS = ("the", "of", "that", "is")
-AGES = ((1, "8 months"), (2, "30 months"), (3, "17 years"), (4, "42"), (5, "7"), (6, "3 weeks"), (7, "240 mo"), (8, "65 yrs"), (9, "adult"), (10, ""), (11, "10 d"), (12, "120"))
+AGE_UNITS = ("months", "years", "weeks", "mo", "yrs", "", "d", "adult", "y", "Days")
 ERRORS = ("idiot", "licensed", "akia", "timeout", "$$$", "token")
 SCHEDULE = (("core", 1, 7), ("repair", 2, 3), ("safety", 3, 2), ("replay", 4, 5), ("rare", 5, 1))
 SLOTS = (("a", 5), ("b", 3), ("c", 2), ("d", 1))

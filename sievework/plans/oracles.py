@@ -124,7 +124,7 @@ SQL: dict[str, str] = {
     "SELECT doc_id, cue, count(*) AS hits, count(*) FILTER (WHERE regexp_matches(split_part(clause, cue, 1), '(?:^|[^a-z0-9])(?:"
     + "|".join(dims.MARKERS)
     + ")(?:[^a-z0-9]|$)')) AS negated FROM c, k WHERE trim(clause) <> '' AND contains(clause, cue) GROUP BY doc_id, cue",
-    "q07_age_parse": f"WITH p AS (SELECT id, {AGES} FROM {values(dims.AGES, 'id', 'age')}), y AS (SELECT id, coalesce(months // 12, CASE WHEN short IS NOT NULL THEN 0 END, years, bare) AS age_years FROM p) "
+    "q07_age_parse": f"WITH p AS (SELECT id, {AGES} FROM (SELECT o_orderkey AS id, CAST(o_orderkey % 300 AS VARCHAR) || ' ' || list_extract({list(dims.AGE_UNITS)}, CAST(o_orderkey % {len(dims.AGE_UNITS)} + 1 AS INTEGER)) AS age FROM orders)), y AS (SELECT id, coalesce(months // 12, CASE WHEN short IS NOT NULL THEN 0 END, years, bare) AS age_years FROM p) "
     "SELECT id, age_years, coalesce(age_years < 18, false) AS is_minor FROM y",
     "q08_generic_line_ratio": "WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents), "
     "g AS (SELECT doc_id, len(l) AS lines, len(list_filter(l, lambda x: len(regexp_extract_all(lower(x), '[a-z0-9]+')) <= 3)) AS generic FROM l) "

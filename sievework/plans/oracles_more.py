@@ -41,7 +41,7 @@ SQL = {
       SELECT CASE WHEN host = '' THEN 'none' WHEN host = 'localhost' OR regexp_matches(host, '^127\\.') THEN 'loopback' WHEN regexp_matches(host, '^(10\\.|192\\.168\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)[0-9.]+$') THEN 'private'
         WHEN regexp_matches(host, '^169\\.254\\.[0-9.]+$') THEN 'link_local' WHEN regexp_matches(host, '^[0-9]+(\\.[0-9]+){{3}}$') THEN 'public_ip' WHEN ends_with(host, '.local') THEN 'mdns' ELSE 'dns' END AS class, host, count(*) AS n FROM h GROUP BY ALL""",
     "q58_open_json_fields": "SELECT event_type, count(CAST(json_extract(props, '$.k') AS INTEGER)) AS with_k, CAST(sum(CAST(json_extract(props, '$.k') AS INTEGER)) AS BIGINT) AS sum_k, count(*) FILTER (WHERE json_exists(props, '$.z')) AS with_z FROM events GROUP BY event_type",
-    "q59_first_prompts": "SELECT conv_id, substr(arg_min(text, turn), 1, 100) AS first_prompt FROM conversations WHERE role = 'user' GROUP BY conv_id",
+    "q59_first_prompts": "SELECT conv_id, substr(arg_min(text, turn), 1, 1000) AS first_prompt FROM conversations WHERE role = 'user' GROUP BY conv_id",
     "q60_positional_join": "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), lines AS (SELECT doc_id, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM s) SELECT doc_id, line_no, role, length(line) AS chars FROM lines JOIN conversations ON conv_id = doc_id AND turn + 1 = line_no",
     "q61_distinct_ignoring_case": """WITH w AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark),
       d AS (SELECT item_id, list_filter(w, lambda x, i: list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i) AS d FROM w) SELECT item_id, len(d) AS n, array_to_string(d[1:5], ' ') AS first_five FROM d""",

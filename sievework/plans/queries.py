@@ -56,7 +56,8 @@ def q06_clause_negation(spark, sf_dir):
 
 
 def q07_age_parse(spark, sf_dir):
-    rows = spark.createDataFrame(list(dims.AGES), "id int, age string")
+    unit = F.get(F.array(*map(F.lit, dims.AGE_UNITS)), (F.col("o_orderkey") % len(dims.AGE_UNITS)).cast("int"))
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat((F.col("o_orderkey") % 300).cast("string"), F.lit(" "), unit).alias("age"))
     return rows.select("id", text.age_in_years(F.col("age")).alias("age_years"), text.is_minor(F.col("age")).alias("is_minor"))
 
 

@@ -52,7 +52,7 @@ def q58_open_json_fields(spark, sf_dir):
 
 def q59_first_prompts(spark, sf_dir):
     own = _t(spark, sf_dir, "conversations").where("role = 'user'")
-    return own.groupBy("conv_id").agg(F.min_by(F.substring("text", 1, 100), "turn").alias("first_prompt"))
+    return own.groupBy("conv_id").agg(F.min_by(F.substring("text", 1, 1000), "turn").alias("first_prompt"))
 
 
 def q60_positional_join(spark, sf_dir):
