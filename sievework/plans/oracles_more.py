@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sievework.functions.text import CUE_ALIASES, GROUNDING_STOPWORDS
+from sievework.operators import labels, output_policies, redaction
 from sievework.operators.intake import CHILD, DENIES_PREGNANCY, MEASURED_FEVER, NOT_PREGNANT, PREGNANT, STATUS_DENIES
 from sievework.plans import dims
 from sievework.plans.oracles import FLOORS, LABELLED, q, term_scores, values
@@ -27,6 +28,32 @@ def number(pattern: str) -> str:
 HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)', 1))"
 LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
 
+def session_redaction() -> str:
+    out = "text"
+    for pattern, mark in redaction.SESSION_SECRETS:
+        quoted = pattern.replace("'", "''")
+        out = f"regexp_replace({out}, '{quoted}', '{mark.replace('$', chr(92))}', 'g')"
+    return out
+
+
+def internal(text: str) -> str:
+    any_of = lambda marks: "(" + " OR ".join(f"contains({text}, '{m}')" for m in marks) + ")"
+    return f"({any_of(redaction.INTERNAL)} OR (contains({text}, '{redaction.ENVIRONMENT}') AND length({text}) > {redaction.LONG_CONTEXT}) OR (contains({text}, '{redaction.SESSION_PATH}') AND {any_of(redaction.SESSION_EVENTS)}))"
+
+
+def families() -> str:
+    called = lambda name: " OR ".join(f"contains(lower(text), '{w}')" for w in (name, *labels.FAMILIES[name][0]))
+    return " UNION ALL ".join(f"SELECT doc_id, '{n}' AS family FROM documents WHERE {called(n)}" for n in labels.FAMILIES)
+
+
+def tripwires() -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, 'forbidden_lexical_tripwire:{n}' AS issue FROM documents WHERE regexp_matches(lower(CAST(to_json(text) AS VARCHAR)), '{p}')" for n, p in output_policies.LEXICAL.items())
+
+
+CHECKED = """WITH c AS (SELECT doc_id, doc_id % 6 IN (0, 1) AS flags, doc_id % 4 >= doc_id % 3 AS urgent, doc_id % 4 = doc_id % 3 AS cited, doc_id % 2 = 1 AS clean FROM documents)
+SELECT doc_id, flags AS red_flags_match, urgent AS min_urgency_met, cited AS target_card_in_source_cards, true AS target_card_in_candidate_pathways, CAST(NULL AS BOOLEAN) AS handoff_readiness_passed,
+       clean AS forbidden_behavior_absent, flags AND urgent AND cited AND clean AS all_expected_labels_passed FROM c"""
+
 SQL = {
     "q51_severity_comparisons": f"""WITH {LABELLED}, e AS (SELECT *, CASE WHEN toxic = 1 THEN 'urgent' WHEN quality = 0 THEN 'unknown' END AS x FROM rows)
       SELECT doc_id, rank >= CASE WHEN x = 'urgent' THEN 2 ELSE 0 END AS at_least, CASE WHEN x IS NOT NULL THEN x = 'urgent' AND rank >= 2 END AS meets_expected, coalesce(x = 'urgent' AND rank >= 2, false) AS strictly FROM e""",
@@ -76,4 +103,8 @@ SQL = {
     "q72_missing_specs": """WITH s AS (SELECT o_orderkey AS key, CASE WHEN o_totalprice > 200000 THEN 'new' ELSE o_orderpriority END AS priority FROM orders WHERE o_orderstatus = 'F' OR o_totalprice > 200000)
       SELECT key IS NOT NULL AS found, priority, count(*) AS n FROM lineitem LEFT JOIN s ON key = l_orderkey GROUP BY ALL""",
     "q73_engine_mix": f"WITH v AS (SELECT * FROM {values(dims.EXTRA_QUERIES, 'item_id', 'text')}), {term_scores('v', '')} SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM term_scored QUALIFY rank <= 10",
+    "q74_session_secrets": f"SELECT doc_id, sha256({session_redaction()}) AS redacted_sha256, {internal('text')} AS internal FROM documents",
+    "q75_behaviour_families": families(),
+    "q76_policy_tripwires": tripwires(),
+    "q77_label_checks": CHECKED,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework.functions import sets, severity, text, urls
-from sievework.operators import audit, intake, merging, metrics, navigation, policies, provenance, retrieval, selection
+from sievework.operators import audit, intake, labels, merging, metrics, navigation, output_policies, policies, provenance, redaction, retrieval, selection
 from sievework.operators.retrieval import forced_first, top
 from sievework.plans import dims
 from sievework.plans.queries import _labelled, _screened, _t
@@ -158,4 +158,45 @@ def q73_engine_mix(spark, sf_dir):
     return top(scored, "item_id", "doc_id", retrieval.clamp(99))
 
 
+def q74_session_secrets(spark, sf_dir):
+    """The ten secrets of exported sessions, and texts that are internal dumps."""
+    own = F.col("text")
+    made = redaction.redact(own, redaction.SESSION_SECRETS)
+    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(made, 256).alias("redacted_sha256"), redaction.is_internal(own).alias("internal"))
+
+
+def q75_behaviour_families(spark, sf_dir):
+    """Families of forbidden behaviour that an instruction calls."""
+    return _t(spark, sf_dir, "documents").select("doc_id", F.explode_outer(labels.families_of(F.array("text"))).alias("family")).where("family IS NOT NULL")
+
+
+def q76_policy_tripwires(spark, sf_dir):
+    """Issues of policy v2 of outputs that quote a document."""
+    none = F.array().cast("array<string>")
+    rows = _t(spark, sf_dir, "documents").select(
+        "doc_id", F.to_json(F.struct(F.col("text").alias("safety_boundary"))).alias("output"), F.lit("plain").alias("failure_class"), none.alias("expected_flags"), none.alias("expected_pathways"),
+        F.lit("{}").alias("intake"), F.array().cast("array<struct<card_id:string>>").alias("fired"), F.array().cast("array<struct<card_id:string,required_observations:array<string>>>").alias("retrieved"),
+        F.lit("").alias("target_card"),
+    )
+    found = output_policies.with_policy_issues(rows, "v2")
+    return found.select("doc_id", F.explode_outer("issues").alias("issue")).where("issue IS NOT NULL")
+
+
+def q77_label_checks(spark, sf_dir):
+    """Whole records against their labels."""
+    name = lambda prefix, n: F.concat(F.lit(prefix), (F.col("doc_id") % n).cast("string"))
+    level = lambda n: F.get(F.array(*map(F.lit, severity.LEVELS)), (F.col("doc_id") % n).cast("int"))
+    said = F.when(F.col("doc_id") % 2 == 0, "We diagnosed it.").otherwise("Never diagnose.")
+    output = F.struct(
+        level(4).alias("protocol_urgency"), F.array(name("C", 3)).alias("source_cards"), F.array(F.struct(name("C", 4).alias("card_id"))).alias("candidate_protocol_pathways"), said.alias("safety_boundary"),
+    )
+    record = F.struct(
+        output.alias("final_output"), name("C", 4).alias("target_protocol_card_id"), level(3).alias("expected_min_protocol_urgency"), F.array(name("r", 2)).alias("expected_red_flag_rule_ids"),
+        F.array(name("r", 3)).alias("actual_red_flag_rule_ids"), F.array(F.lit("Do not diagnose")).alias("forbidden_behavior"),
+    )
+    scored = labels.score_records(_t(spark, sf_dir, "documents").select("doc_id", F.to_json(record).alias("record")))
+    shown = ("red_flags_match", "min_urgency_met", "target_card_in_source_cards", "target_card_in_candidate_pathways", "handoff_readiness_passed", "forbidden_behavior_absent", "all_expected_labels_passed")
+    return scored.select("doc_id", *shown)
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q") and name[1:3].isdigit()}
