@@ -94,4 +94,21 @@ s AS (SELECT r, count(*) FILTER (WHERE back) AS n_backoff, sum(micro) AS micro F
 SELECT doc_id, len(w) AS n_words, coalesce(n_backoff, 0) AS n_backoff, CAST(coalesce(micro, 0) AS BIGINT) AS score_micro FROM d LEFT JOIN s ON s.r = d.r
 """
 
-SQL = {"op3_backoff_scores": SCORES, "op8_suffix_dedup": REPEATS, "op2_warc_archive": ARCHIVE, "op6_quality_rules": QUALITY, "op9_line_dedup": LINES}
+#: Phrases as arrays of words; HUGEINT, as products may pass 64 bits.
+PHRASES = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g FROM w, (SELECT unnest(range(1, 5)) AS k)),
+c AS (SELECT lang, g, k, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+s AS (SELECT c.lang, c.g, c.k, c.a, j, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a) // (l.a + r.a) AS score
+      FROM c, LATERAL (SELECT unnest(range(1, c.k)) AS j) JOIN c AS l ON l.lang = c.lang AND l.g = c.g[1:j] JOIN c AS r ON r.lang = c.lang AND r.g = c.g[j + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+i AS (SELECT lang, a, unnest(list_distinct(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda x: g[x:x + m - 1]))))) AS g FROM c WHERE k > 2),
+m AS (SELECT lang, g, max(a) AS longer FROM i GROUP BY ALL),
+f AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN m ON m.lang = b.lang AND m.g = b.g WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * b.a),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM f)
+SELECT o.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""
+
+SQL = {"op3_backoff_scores": SCORES, "op8_suffix_dedup": REPEATS, "op2_warc_archive": ARCHIVE, "op6_quality_rules": QUALITY, "op9_line_dedup": LINES, "op12_suffix_phrases": PHRASES}
