@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import ann, coding, lines, ngrams, packing, phrases, quality, secrets, simhash, suffixes, warc
+from sievework.llm import ann, coding, lines, ngrams, packing, phrases, quality, search, secrets, simhash, suffixes, warc
 from sievework.llm.common import own_dir, table
 
 
@@ -59,6 +59,11 @@ def op12_suffix_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
 
 
+def op13_clustered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.rank(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_scan,
@@ -72,5 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_line_dedup,
         op10_simhash_components,
         op12_suffix_phrases,
+        op13_clustered_search,
     )
 }
