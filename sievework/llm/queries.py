@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import ann, coding, lines, ngrams, packing, phrases, quality, search, secrets, simhash, suffixes, warc
+from sievework.llm import ann, coding, extract, lines, ngrams, packing, phrases, quality, search, secrets, simhash, suffixes, warc
 from sievework.llm.common import own_dir, table
 
 
@@ -55,6 +55,10 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.digest(extract.extract_texts(table(spark, sf_dir, "pages")))
+
+
 def op12_suffix_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_line_dedup,
         op10_simhash_components,
+        op11_host_paths,
         op12_suffix_phrases,
         op13_clustered_search,
     )
