@@ -138,7 +138,7 @@ def counted(state: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]) -> d
         yield pa.record_batch({"key": pa.array(total.keys(), pa.int64()), "n": pa.array(total.values(), pa.int64())})
 
     found = state.select("cluster", "salt", "terms").mapInArrow(rows, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return {r["key"]: r["n"] for r in found.toLocalIterator()}
+    return {r["key"]: r["n"] for r in found.collect()}
 
 
 def savings(degrees: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -269,7 +269,7 @@ def greatest_impacts(index: DataFrame, clusters: int, terms: int) -> np.ndarray:
 
     found = index.select("cluster", "terms", "impacts").mapInArrow(rows, "cluster int, term int, most long").groupBy("cluster", "term").agg(F.max("most").alias("most"))
     out = np.zeros((clusters, terms), np.int64)
-    for r in found.toLocalIterator():
+    for r in found.collect():
         out[r["cluster"], r["term"]] = r["most"]
     return out
 
@@ -331,7 +331,7 @@ def search_block(docs: DataFrame, items: list[Counter], top: int, levels: int, r
     if not documents:
         return None
     df = np.zeros(len(plan.vocabulary), np.int64)
-    for r in state.select(F.explode("terms").alias("term")).groupBy("term").count().toLocalIterator():
+    for r in state.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
         df[r["term"]] = r["count"]
     plan.weigh(df, documents)
     levels = max(0, min(levels, (documents // LEAST_DOCUMENTS).bit_length() - 1))
@@ -353,7 +353,7 @@ def search_block(docs: DataFrame, items: list[Counter], top: int, levels: int, r
         new = cut(visit(index, plan, wanted, last, top), "search-found")
         found = new if found is None else found.unionByName(new)
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
-        for r in found.withColumn("at", place).where(F.col("at") == top).toLocalIterator():
+        for r in found.withColumn("at", place).where(F.col("at") == top).collect():
             last[r["query"]] = r["score"]
         at, step = at + step, 2 * step
     if seen:
@@ -372,7 +372,7 @@ def rank(docs: DataFrame, items: DataFrame, top: int = TOP, levels: int = LEVELS
     kind, doc_kind = asked.schema["item_id"].dataType.simpleString(), docs.schema[doc_id].dataType.simpleString()
     out = spark.createDataFrame([], f"item_id {kind}, rank int, doc_id {doc_kind}, score long")
     for b in range(blocks):
-        mine = [(r["item_id"], count_terms(r["text"].encode())) for r in asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toLocalIterator()]
+        mine = [(r["item_id"], count_terms(r["text"].encode())) for r in asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
         found = search_block(docs, [c for _, c in mine], top, levels, rounds, text, doc_id, seen)
         if found is not None:
             order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
