@@ -6,8 +6,10 @@ are one node from the start. Candidates are the pairs that the vantage-point tre
 the same shingles, and those that share a band of a MinHash signature, as four bits reach few pairs below similarity 0.95 (at
 0.8 a pair shares none of the 20 bands of five with probability 0.0004, at 0.85 with 0.00002). Every candidate pair is decided
 by its true similarity, or is connected already by pairs that were: first each node of a bucket against the bucket's most
-frequent one, then, in buckets that this does not connect, the rest against all whose signatures agree in ALIKE of a hundred
-places. So a dense group costs as many comparisons as it has nodes, not pairs, and a link that fails hides none that hold.
+frequent one, then, in buckets that this does not connect, the rest against all others. Of these a pair is left out only if it
+cannot be similar: by its sizes, or by its parities, a bitmap that holds for each slot whether an odd number of a set's hashes
+fall into it. Slots in which two bitmaps differ are at most as many as the hashes that only one set has, so nothing is lost.
+A dense group costs as many comparisons as it has nodes, not pairs, and a link that fails hides none that hold.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.common import bounded_batches, cut, row_key, text_of, whole_rows
@@ -26,9 +28,6 @@ from sievework.llm.simhash import SEED, components
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 20, 5
-#: Places of the signature that a pair must share, beyond a band, to be decided by its sets: at similarity 0.8 a pair shares
-#: fewer with probability 0.0003.
-ALIKE = 66
 HASHES_AT_ONCE = 1 << 12
 
 _draw = np.random.default_rng(42)
@@ -57,6 +56,24 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each slot, as signed longs: whether an odd number of hashes fall into it. There are as many slots as hashes, or up to twice."""
+    slots = max(64, 1 << max(len(hashes) - 1, 0).bit_length())
+    odd = np.bincount((hashes & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def least_difference(a: str, b: str) -> Column:
+    """Slots in which two parities differ; those of the larger set, twice as many at most for sets that can be similar, are folded."""
+
+    def folded(x: str, other: str) -> Column:
+        half = F.size(other)
+        fold = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) == 2 * half, fold).otherwise(F.col(x))
+
+    return F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
+
+
 def bands(least: np.ndarray) -> list[int]:
     """One key for each band of a signature, as signed longs."""
     data = least.reshape(-1, ROWS)
@@ -64,25 +81,25 @@ def bands(least: np.ndarray) -> list[int]:
 
 
 def with_signatures(rows: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, row_key, node (a key of the shingle set), n_shingles, bands, sketch (16 bits of each place of the signature) and fingerprint (see simhash) of rows."""
+    """doc_id, row_key, node (a key of the shingle set), n_shingles, bands, parity (see parities) and fingerprint (see simhash) of rows."""
     bounded_batches(rows.sparkSession)
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys, prints, sketches = [], [], [], [], []
+            nodes, sizes, keys, prints, odd = [], [], [], [], []
             for x in batch.column(text).to_pylist():
                 found = shingles(x or "", words)
                 nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63))
                 sizes.append(len(found))
                 least = signature(found)
                 keys.append(bands(least))
-                sketches.append(least.astype(np.uint16).view(np.int16))
+                odd.append(parities(found))
                 prints.append(simhash.fingerprint(x or "", words))
-            made = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int16())), pa.array(np.array(prints, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *made], ["doc_id", "row_key", "node", "n_shingles", "bands", "sketch", "fingerprint"])
+            made = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), pa.array(np.array(prints, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *made], ["doc_id", "row_key", "node", "n_shingles", "bands", "parity", "fingerprint"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, row_key binary, node long, n_shingles long, bands array<long>, sketch array<smallint>, fingerprint long")
+    return rows.mapInArrow(run, f"doc_id {id_type}, row_key binary, node long, n_shingles long, bands array<long>, parity array<long>, fingerprint long")
 
 
 def with_sets(rows: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
@@ -140,12 +157,13 @@ def links(nodes: DataFrame, rows: DataFrame, text: str = "text", words: int = WO
     labelled = cut(labelled, "labelled")
     mixed = labelled.groupBy("band").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.mode("label").alias("main"))
     labelled = labelled.join(mixed.where("_low <> _high").select("band", "main"), "band")
-    labelled = cut(labelled.join(nodes.select("node", "sketch", "bands"), "node"), "mixed")
-    a = labelled.where("label <> main").select("band", *(F.col(c).alias("a_" + c) for c in ("node", "n_shingles", "label", "sketch", "bands")))
+    labelled = cut(labelled.join(nodes.select("node", "parity", "bands"), "node"), "mixed")
+    a = labelled.where("label <> main").select("band", *(F.col(c).alias("a_" + c) for c in ("node", "n_shingles", "label", "parity", "bands")))
     met = a.join(labelled, "band").where("a_label <> label and (label = main or a_node < node)")
-    alike = F.size(F.filter(F.zip_with("sketch", "a_sketch", lambda x, y: x == y), lambda same: same))
+    able = (100 + percent) * least_difference("parity", "a_parity") <= (100 - percent) * (F.col("n_shingles") + F.col("a_n_shingles"))
     first = F.get(F.array_intersect("bands", "a_bands"), F.lit(0)) == F.col("band")  # a pair of several buckets counts in one
-    met = met.where((alike >= ALIKE) & first).where(100 * F.least("n_shingles", "a_n_shingles") >= percent * F.greatest("n_shingles", "a_n_shingles"))
+    near = 100 * F.least("n_shingles", "a_n_shingles") >= percent * F.greatest("n_shingles", "a_n_shingles")
+    met = met.where(F.when(near & first, able).otherwise(False))
     rest = met.select(F.least("a_node", "node").alias("u"), F.greatest("a_node", "node").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     return held.unionByName(cut(verified(cut(rest, "rest-pairs"), sets, percent), "rest-links"))
 
@@ -155,7 +173,7 @@ def near_copies(df: DataFrame, text: str = "text", words: int = WORDS, percent:
     rows = df.select("doc_id", row_key("doc_id", text_of(text)).alias("row_key"), text)
     signed = cut(with_signatures(rows, text, words), "signatures")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best")
-    nodes = cut(signed.groupBy("node").agg(best, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("fingerprint").alias("fingerprint")), "nodes")
+    nodes = cut(signed.groupBy("node").agg(best, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("parity").alias("parity"), F.first("fingerprint").alias("fingerprint")), "nodes")
     roots = components(links(nodes, rows, text, words, percent))
     named = cut(nodes.join(roots, "node", "left").select("node", "best", F.coalesce("root", "node").alias("group")), "named")
     least = cut(named.groupBy("group").agg(F.min("best").alias("least")), "least")

@@ -60,3 +60,23 @@ def test_near_dedup_finds_copies_from_similarity_0_8(spark, tmp_path):
         least[g] = min(least.get(g, row[0]), row[0])
     kept = dict(corpus_pipeline.STAGES)["near-dedup"](spark, spark.createDataFrame(rows, DOCS).repartition(3), str(tmp_path))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
+
+
+def test_parities_never_exclude_a_similar_pair(spark):
+    np = pytest.importorskip("numpy")
+    from pyspark.sql import functions as F
+
+    from sievework.llm import similar
+
+    rng, rows = np.random.default_rng(3), []
+    for k in range(400):
+        n = int(rng.integers(1, 700))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        keep, new = a[rng.random(len(a)) < rng.uniform(0.6, 1)], rng.integers(0, 1 << 63, int(rng.integers(0, max(1, n // 3)))).astype(np.uint64)
+        b = np.unique(np.concatenate([keep, new]))
+        rows.append((k, len(set(a.tolist()) ^ set(b.tolist())), similar.parities(a).tolist(), similar.parities(b).tolist()))
+    df = spark.createDataFrame(rows, "k int, apart int, a array<long>, b array<long>")
+    for r in df.where("size(a) <= 2 * size(b) and size(b) <= 2 * size(a)").withColumn("d", similar.least_difference("a", "b")).collect():
+        assert r.d <= r.apart
+        assert r.apart > 20 or r.d >= r.apart - 12
+    assert df.where("size(a) <> size(b)").count() > 20
