@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievework.functions.hashing import split_key
+from sievework.operators.numbering import nth_smallest
+from sievework.sources.cuts import cut
 
 
 def take_ranked(df: DataFrame, bucket: str, quota: Column | int, *order: Column) -> DataFrame:
@@ -102,3 +106,45 @@ def best_by(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
 def accepted_first(df: DataFrame, accepted: Column, index: str, count: int) -> DataFrame:
     """What a loop that goes on until `count` are accepted keeps: the first accepted by index."""
     return df.where(accepted).orderBy(index).limit(max(0, count))
+
+
+@dataclass(frozen=True)
+class Attempts:
+    """What a loop of attempts made: the accepted rows, how often each reason rejected, how many attempts there were."""
+
+    accepted: DataFrame
+    rejections: DataFrame
+    made: int
+    taken: int
+
+
+def accept_until(df: DataFrame, key: str, index: str, reason: str, count: int, most: int | None = None, done: DataFrame | None = None) -> Attempts:
+    """Attempts in the order of index until `count` rows are accepted or `most` attempts are made (4 times count by default).
+
+    A row is accepted if its reason is null, and passed over without a reason if its key has been accepted by an earlier
+    attempt or stands in done (which counts towards count, as a resumed run does). index is a whole number, one a row. The
+    loop's end is found from counts by ranges of the index, so nothing is sorted: the attempt that brings the last
+    acceptance is the n-th smallest index of the first acceptances. What follows it is neither kept nor tallied.
+    """
+    had = 0 if done is None else done.select(key).distinct().count()
+    most = 4 * count if most is None else most
+    wanted = count - had
+    empty = df.where(F.lit(False))
+    if wanted <= 0 or most <= 0:
+        return Attempts(empty, empty.select(F.col(reason).alias("reason"), F.lit(0).cast("long").alias("n")), 0, had)
+    last = nth_smallest(df, index, most)
+    tried = df if last is None else df.where(F.col(index) <= last)
+    if done is not None:
+        tried = tried.join(done.select(key).distinct().withColumn("_done", F.lit(True)), key, "left")
+    else:
+        tried = tried.withColumn("_done", F.lit(None).cast("boolean"))
+    good = tried.where(F.col(reason).isNull() & F.col("_done").isNull()).groupBy(key).agg(F.min(index).alias("_first"))
+    tried = cut(tried.join(good.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"), "left").drop("_key"), "attempts")
+    takes = tried.where(F.col(index) == F.col("_first"))
+    end = nth_smallest(takes, index, wanted)
+    if end is not None:
+        tried, takes = tried.where(F.col(index) <= end), takes.where(F.col(index) <= end)
+    # A key that has been accepted is passed over before it is judged.
+    judged = tried.where(F.col(reason).isNotNull() & F.col("_done").isNull() & (F.col("_first").isNull() | (F.col(index) < F.col("_first"))))
+    rejections = judged.groupBy(F.col(reason).alias("reason")).agg(F.count("*").alias("n"))
+    return Attempts(takes.select(*df.columns), rejections, tried.count(), had + takes.count())
