@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sievework.functions.jsontext import canonical
 from sievework.functions.sets import jaccard
 from sievework.functions.text import words
+from sievework.operators.recovery import fields_of, object_of
 from sievework.sources.tables import small
 
 
@@ -89,11 +91,38 @@ def first_exclusion(candidates: DataFrame, doc: str, ordinal: str) -> DataFrame:
     return candidates.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
-def exclusion_matches(docs: DataFrame, items: DataFrame, doc: str, item: str, threshold: float) -> DataFrame:
-    """(doc, item, reason): equal content, or Jaccard similarity from the threshold on. docs and items have tokens and content."""
+def exclusion_matches(docs: DataFrame, items: DataFrame, doc: str, item: str, threshold: float, target: str | None = None, workflow: str | None = None) -> DataFrame:
+    """(doc, item, reason): equal content, or Jaccard similarity from the threshold on. docs and items have tokens and content.
+
+    With target and workflow (columns of both), only those are near that have the same target or the same workflow, if it is not blank.
+    """
     exact = docs.join(items.select(item, "content"), "content").select(doc, item, F.lit("exact").alias("reason"))
     # So similar a document holds at least that share of the item, as the union is no smaller.
     found = holders(docs, items, doc, item, threshold)
-    close = found.where(jaccard(F.col("ti"), F.col("td")) >= threshold).select(doc, item, F.lit("near").alias("reason"))
-    both = exact.unionByName(close).groupBy(doc, item).agg(F.min("reason").alias("reason"))
-    return both
+    close = found.where(jaccard(F.col("ti"), F.col("td")) >= threshold).select(doc, item)
+    kin = [c for c in (target, workflow) if c]
+    if kin:
+        close = close.join(docs.select(doc, *(F.col(c).alias(f"_d{k}") for k, c in enumerate(kin))), doc).join(items.select(item, *(F.col(c).alias(f"_i{k}") for k, c in enumerate(kin))), item)
+        same = [F.col(f"_d{k}").eqNullSafe(F.col(f"_i{k}")) & (F.lit(c == target) | (F.coalesce(f"_d{k}", F.lit("")) != "")) for k, c in enumerate(kin)]
+        close = close.where(same[0] if len(same) == 1 else same[0] | same[1])
+    close = close.select(doc, item, F.lit("near").alias("reason"))
+    return exact.unionByName(close).groupBy(doc, item).agg(F.min("reason").alias("reason"))
+
+
+#: Keys of an intake that do not tell cases apart.
+NOT_CLINICAL = ("responder_note", "target_protocol_card_hint")
+
+
+def clinical(intake: Column) -> Column:
+    """An intake in JSON without NOT_CLINICAL, keys in order; null unless it is an object."""
+    fields = F.map_filter(fields_of(intake), lambda k, _: ~k.isin(*NOT_CLINICAL))
+    return object_of(F.transform(F.array_sort(F.map_keys(fields)), lambda k: F.struct(k.alias("field"), F.try_element_at(fields, k).alias("value"))))
+
+
+def clinical_hash(intake: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(canonical(clinical(intake)), 256))
+
+
+def clinical_tokens(intake: Column) -> Column:
+    """The distinct words of the intake's JSON, names of fields too, in order."""
+    return F.sort_array(F.array_distinct(words(canonical(clinical(intake)))))

@@ -62,3 +62,39 @@ def label_diff(before: DataFrame, after: DataFrame, key: str, labels: list[str])
     joined = a.join(b, key, "full_outer")
     pairs = F.array(*(F.struct(F.lit(c).alias("label"), F.col(f"_b_{c}").alias("before"), F.col(f"_a_{c}").alias("after")) for c in labels))
     return joined.select(key, F.inline(pairs)).where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def shard_issues(rows: DataFrame, specs: DataFrame, version: str, shard: str = "shard", key: str = "case_id", row_version: str = "version") -> DataFrame:
+    """side, shard, key, issue of whatever keeps shards from being merged: a missing or repeated id, another version (a spec
+    without one is of the rows' version), a row without a spec, a spec without a row."""
+
+    def of(df: DataFrame, side: str, found: Column) -> DataFrame:
+        named = df.withColumn("_key", F.nullif(F.col(key).cast("string"), F.lit("")))
+        lone = F.when(F.col("_key").isNull(), "missing_id")
+        own = named.select(F.col(shard).alias("shard"), F.col("_key").alias("key"), F.array_compact(F.array(lone, F.when(~found, "version_mismatch"))).alias("_i"))
+        again = duplicates(named.where("_key IS NOT NULL"), "_key").select(F.lit(None).cast(df.schema[shard].dataType).alias("shard"), F.col("_key").alias("key"), F.array(F.lit("duplicate_id")).alias("_i"))
+        return own.unionByName(again).select(F.lit(side).alias("side"), "shard", "key", F.explode("_i").alias("issue"))
+
+    same = F.coalesce(F.col(row_version) == version, F.lit(False))
+    kept = [d.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "") for d in (rows, specs)]
+    alone = orphans(kept[0], key, kept[1], key).select(F.when(F.col("side") == "left", "row").otherwise("spec").alias("side"), F.lit(None).cast(rows.schema[shard].dataType).alias("shard"), F.col("key").cast("string").alias("key"), F.when(F.col("side") == "left", "missing_spec").otherwise("orphan_spec").alias("issue"))
+    return of(rows, "row", same).unionByName(of(specs, "spec", F.coalesce(F.nullif(F.col(row_version), F.lit("")) == version, F.lit(True)))).unionByName(alone)
+
+
+def shard_statistics(rows: DataFrame, specs: DataFrame, manifests: DataFrame | None = None, shard: str = "shard") -> DataFrame:
+    """shard, row_count, case_spec_count, attempts (of the shard's manifest; 0 without one); shards that only one side has are there too."""
+    counted = lambda df, name: df.groupBy(shard).agg(F.count("*").alias(name))
+    found = counted(rows, "row_count").join(counted(specs, "case_spec_count"), shard, "full")
+    if manifests is not None:
+        found = found.join(manifests.select(shard, F.col("attempts").alias("_attempts")), shard, "full")
+    attempts = F.col("_attempts") if manifests is not None else F.lit(None)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return found.select(shard, *(zero(F.col(c)).alias(c) for c in ("row_count", "case_spec_count")), zero(attempts).alias("attempts"))
+
+
+def merge_shards(rows: DataFrame, specs: DataFrame, version: str, shard: str = "shard", key: str = "case_id", shown: int = 10) -> tuple[DataFrame, DataFrame]:
+    """rows and specs without their shard; an error that names the first issues if there are any (see shard_issues)."""
+    found = shard_issues(rows, specs, version, shard, key).orderBy("issue", "side", "key").limit(shown).collect()
+    if found:
+        raise ValueError("shards cannot be merged: " + "; ".join(f"{r['side']} {r['key']}: {r['issue']}" for r in found))
+    return rows.drop(shard), specs.drop(shard)

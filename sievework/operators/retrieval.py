@@ -6,6 +6,8 @@ and with it computes the array twice.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,20 +63,14 @@ def term_scores(queries: DataFrame, docs: DataFrame, query: str, key: str, query
 
 
 def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, term, tf, size): the inverted index; write it bucketed by term to keep it."""
+    """(key, term, tf, size): the inverted index; see write_index to keep it."""
     found = docs.select(key, words(text).alias("w"))
     return found.select(key, F.size("w").alias("size"), F.explode_outer("w").alias("term")).where("term IS NOT NULL").groupBy(key, "term", "size").agg(F.count("*").alias("tf"))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, query: str, key: str, query_text: str, body: Column) -> DataFrame:
-    """(query, key, score): BM25 summed over query terms with their repetition; terms in half of the documents or more keep a tiny weight."""
-    index = postings(docs.repartition(key), key, body)
-    wanted = term_counts(queries, query, query_text)
-    # Only the postings of query terms go on; document frequencies come from the same rows. Documents are dealt by key, so
-    # with few queries the postings and the scores are made where the document is.
-    asked = index.join(small(wanted.select("term").distinct(), queries), "term", "left_semi")
+def bm25_of(asked: DataFrame, wanted: DataFrame, corpus: DataFrame, queries: DataFrame, query: str, key: str) -> DataFrame:
+    """(query, key, score) from the postings of query terms, the terms of queries, and one row of n_docs and mean_size."""
     frequency = asked.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = docs.select(F.size(words(body)).alias("size")).agg(F.count("*").alias("n_docs"), F.avg("size").alias("mean_size"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
@@ -83,6 +79,51 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, query: str, key: str, query
     return rows.groupBy(query, key).agg(F.sum(F.col("times") * F.col("idf") * weight).alias("score"))
 
 
+def bm25_scores(queries: DataFrame, docs: DataFrame, query: str, key: str, query_text: str, body: Column) -> DataFrame:
+    """(query, key, score): BM25 summed over query terms with their repetition; terms in half of the documents or more keep a tiny weight.
+
+    No text is shuffled: words that no query asks for are dropped where the document is read, the rest counted there first.
+    """
+    wanted = term_counts(queries, query, query_text)
+    found = docs.select(key, words(body).alias("w")).select(key, F.size("w").alias("size"), F.explode_outer("w").alias("term")).where("term IS NOT NULL")
+    asked = found.join(small(wanted.select("term").distinct(), queries), "term", "left_semi").groupBy(key, "term", "size").agg(F.count("*").alias("tf"))
+    corpus = docs.select(F.size(words(body)).alias("size")).agg(F.count("*").alias("n_docs"), F.avg("size").alias("mean_size"))
+    return bm25_of(asked, wanted, corpus, queries, query, key)
+
+
+#: Buckets of a kept index, by term.
+BUCKETS = 64
+
+
+def write_index(docs: DataFrame, key: str, body: Column, table: str, segment: str, buckets: int = BUCKETS) -> None:
+    """Adds documents to a kept index: postings bucketed and sorted by term, and the segment's size.
+
+    A segment (a batch of documents that no other holds) is not there until its line in `<table>_segments` is written, last
+    and as one file; what a failed or repeated writer left is told by its attempt's name and never read. So readers see whole
+    segments only, and adding documents rebuilds nothing.
+    """
+    spark = docs.sparkSession
+    attempt = f"{segment}-{uuid.uuid4().hex}"
+    rows = postings(docs, key, body).withColumn("segment", F.lit(attempt))
+    dealt = rows.repartition(buckets, "term").sortWithinPartitions("term")
+    dealt.write.bucketBy(buckets, "term").sortBy("term").format("parquet").mode("append").saveAsTable(f"{table}_postings")
+    size = docs.agg(F.count("*").alias("n_docs"), F.sum(F.size(words(body))).cast("long").alias("n_terms"))
+    size.select(F.lit(segment).alias("segment"), F.lit(attempt).alias("attempt"), "n_docs", "n_terms", F.current_timestamp().alias("written")).coalesce(1).write.format("parquet").mode("append").saveAsTable(f"{table}_segments")
+    spark.catalog.refreshTable(f"{table}_postings")
+
+
+def indexed_scores(queries: DataFrame, table: str, query: str, key: str, query_text: str) -> DataFrame:
+    """bm25_scores from a kept index. Its buckets are by term, so a join with many terms moves the terms, not the postings."""
+    spark = queries.sparkSession
+    # A segment that was written again counts as it was written last.
+    live = spark.table(f"{table}_segments").groupBy("segment").agg(F.max_by(F.struct("attempt", "n_docs", "n_terms"), F.struct("written", "attempt")).alias("_s")).select("_s.*")
+    corpus = live.agg(F.sum("n_docs").alias("n_docs"), F.try_divide(F.sum("n_terms").cast("double"), F.sum("n_docs")).alias("mean_size"))
+    wanted = term_counts(queries, query, query_text)
+    asked = spark.table(f"{table}_postings").join(small(wanted.select("term").distinct(), queries), "term", "left_semi")
+    asked = asked.join(F.broadcast(live.select(F.col("attempt").alias("segment"))), "segment", "left_semi").drop("segment")
+    return bm25_of(asked, wanted, corpus, queries, query, key)
+
+
 def with_fallback(first: DataFrame, second: DataFrame, queries: DataFrame, query: str, names: tuple[str, str]) -> DataFrame:
     """Rows of the first engine, and of the second for the queries that the first gave nothing; source tells which."""
     rest = queries.select(query).join(first.select(query).distinct(), query, "left_anti")
