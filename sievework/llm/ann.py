@@ -49,6 +49,7 @@ def choose_pivots(sample: np.ndarray, wanted: int, apart: float = APART) -> np.n
     one pivot, not many that tell the same. If too few are apart, the first others follow."""
     if not len(sample):
         return sample
+    every, sample = sample, sample / max(1.0, np.abs(sample).max())
     some = sample[:256]
     far = np.sqrt(np.maximum((some**2).sum(1)[:, None] + (some**2).sum(1)[None, :] - 2 * some @ some.T, 0))
     limit = apart * float(np.median(far))
@@ -59,7 +60,19 @@ def choose_pivots(sample: np.ndarray, wanted: int, apart: float = APART) -> np.n
             nearest = np.minimum(nearest, np.sqrt(((sample - sample[k]) ** 2).sum(1)))
     taken = set(chosen)
     rest = [k for k in range(len(sample)) if k not in taken and nearest[k] > 0]
-    return sample[[*chosen, *rest][:wanted]]
+    return every[[*chosen, *rest][:wanted]]
+
+
+def distances(vectors: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Euclidean distances; where squares leave the range of doubles, from differences divided by the largest of them."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore", divide="ignore"):
+        apart = vectors - point
+        far = np.sqrt((apart**2).sum(1))
+        odd = np.flatnonzero(~np.isfinite(far) | (far < 1e-150))
+        most = np.abs(apart[odd]).max(1, initial=0)
+        scaled = most * np.sqrt(((apart[odd] / np.where(most > 0, most, 1)[:, None]) ** 2).sum(1))
+        far[odd] = np.where(np.isfinite(most), scaled, np.inf)
+    return far
 
 
 def candidates_wanted(n: int, factor: float = FACTOR) -> int:
@@ -82,13 +95,15 @@ class Permutations:
     """The inverted files of a block of vectors."""
 
     def __init__(self, pivots: np.ndarray, length: int) -> None:
-        self.pivots, self.length = pivots, min(length, max(1, len(pivots) // 2))
+        self.scale = 1 / max(1.0, np.abs(pivots).max(initial=0))
+        self.pivots, self.length = pivots * self.scale, min(length, max(1, len(pivots) // 2))
 
     def orders(self, vectors: np.ndarray) -> np.ndarray:
         """For each vector the numbers of its nearest pivots, nearest first, ties by number."""
         out = np.empty((len(vectors), self.length), np.int32)
         for k in range(0, len(vectors), 2048):
-            far = (self.pivots**2).sum(1)[None, :] - 2 * vectors[k : k + 2048] @ self.pivots.T
+            near = np.clip(vectors[k : k + 2048] * self.scale, -1e150, 1e150)
+            far = (self.pivots**2).sum(1)[None, :] - 2 * near @ self.pivots.T
             out[k : k + 2048] = np.argsort(far, axis=1, kind="stable")[:, : self.length]
         return out
 
@@ -151,7 +166,7 @@ def search(df: DataFrame, vector: str = "embedding", every: int = EVERY, nearest
             for query, point, order in zip(asked_ids, points, index.orders(points)):
                 near = index.candidates(order, here)
                 near = near[ids[near] != query]
-                far = np.sqrt(((base[near] - point) ** 2).sum(1))
+                far = distances(base[near], point)
                 best = np.argsort(far, kind="stable")[:nearest]
                 found[0].extend([query] * len(best))
                 found[1].extend(ids[near[best]])

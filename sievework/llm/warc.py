@@ -79,7 +79,11 @@ def record(key: int | None, url: str | None, payload: bytes, refers: int | None)
 
 
 class Roller:
-    """Files of one shard: temporary names until complete, then the final ones; tells of each for the manifest."""
+    """Files of one shard: temporary names until complete, then the final ones; tells of each for the manifest.
+
+    A task that is repeated makes the same bytes. So where a final name is there already, put by an attempt that was lost
+    later or by one that runs beside this one, that file stays and the own one goes: nothing is ever overwritten.
+    """
 
     def __init__(self, folder: str, shard: int, roll_bytes: int) -> None:
         self.store, self.folder = fs.FileSystem.from_uri(folder)
@@ -109,10 +113,21 @@ class Roller:
     def close(self) -> None:
         if self.sink:
             self.sink.close()
-            self.store.move(f"{self.attempt}/{self.name}", f"{self.folder}/{self.name}")
+            self._place(f"{self.attempt}/{self.name}", f"{self.folder}/{self.name}")
             self.done.append((self.name, self.shard, self.records, self.size, self.hash.hexdigest(), self.first, self.last))
             self.sink, self.number = None, self.number + 1
 
+    def _place(self, made: str, final: str) -> None:
+        there = lambda: self.store.get_file_info(final).type != fs.FileType.NotFound
+        if not there():
+            try:
+                self.store.move(made, final)
+                return
+            except OSError:
+                if not there():
+                    raise
+        self.store.delete_file(made)
+
     def end(self) -> list[tuple]:
         self.close()
         if self.done:
@@ -152,8 +167,11 @@ def shard_column(df: DataFrame, bounds: np.ndarray) -> Column:
     return shard(F.coalesce("page_id", F.lit(0).cast("long")), F.col("page_id").isNull())
 
 
-def write_warc(df: DataFrame, path: str, payload: str = "html", least: int = LEAST, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
-    """Writes the rows (page_id, url, payload) as WARC files into a folder that all executors see; gives the manifest."""
+def write_warc(df: DataFrame, path: str, payload: str = "html", least: int = LEAST, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, keep_writes: int = 0) -> DataFrame:
+    """Writes the rows (page_id, url, payload) as WARC files into a folder that all executors see; gives the manifest.
+
+    The former write goes with the commit; keep_writes lets so many of the latest stay, for readers that have opened one.
+    """
     spark = df.sparkSession
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = df.select("page_id", "url", body.alias("payload"))
@@ -196,7 +214,7 @@ def write_warc(df: DataFrame, path: str, payload: str = "html", least: int = LEA
 
     bounded_batches(spark, 128)
     ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/_manifest")
-    commit(spark, path, write)
+    commit(spark, path, write, keep_writes)
     return manifest_of(spark, path)
 
 
@@ -206,8 +224,8 @@ def hadoop(spark: SparkSession, path: str):
     return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
 
 
-def commit(spark: SparkSession, path: str, write: str) -> None:
-    """From now on the archive is this write; then earlier ones go. CURRENT is put in place by one replacing rename."""
+def commit(spark: SparkSession, path: str, write: str, keep_writes: int = 0) -> None:
+    """From now on the archive is this write; then what lost attempts left goes, and earlier writes but the latest keep_writes. CURRENT is put in place by one replacing rename."""
     base = path.rstrip("/")
     files, make = hadoop(spark, base)
     new, old = make(f"{base}/_{write}"), make(f"{base}/{CURRENT}")
@@ -218,9 +236,10 @@ def commit(spark: SparkSession, path: str, write: str) -> None:
     options = spark.sparkContext._gateway.new_array(getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
     options[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
     context.rename(new, old, options)
-    for status in files.listStatus(make(base)):
-        if (name := status.getPath().getName()).startswith("write-") and name != write:
-            files.delete(status.getPath(), True)
+    files.delete(make(f"{base}/{write}/_temporary"), True)
+    earlier = [s for s in files.listStatus(make(base)) if (name := s.getPath().getName()).startswith("write-") and name != write]
+    for status in sorted(earlier, key=lambda s: -s.getModificationTime())[keep_writes:]:
+        files.delete(status.getPath(), True)
 
 
 def current(spark: SparkSession, path: str) -> str:

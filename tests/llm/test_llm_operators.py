@@ -458,3 +458,57 @@ def test_permutation_index_recall_and_order(spark):
 def test_few_vectors_give_all_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r.rank, r.vec_id) for r in ann.search(df).orderBy("rank").collect()] == [(1, 2), (2, 1)]
+
+
+class Refusing:
+    """A store as HDFS is: a file is not moved onto another."""
+
+    def __init__(self, store):
+        self.store = store
+
+    def __getattr__(self, name):
+        return getattr(self.store, name)
+
+    def move(self, made, final):
+        if self.get_file_info(final).type.name != "NotFound":
+            raise OSError("it is there")
+        self.store.move(made, final)
+
+
+@pytest.mark.parametrize("race", [False, True])
+def test_a_warc_task_may_run_twice(tmp_path, race):
+    def task():
+        roller = warc.Roller(f"file://{tmp_path}", 3, 400)
+        roller.store = Refusing(roller.store)
+        for k in range(6):
+            roller.write(k, warc.record(k, "u", bytes(range(40)) * k, None))
+        return roller
+
+    if race:
+        one, two = task(), task()
+        done = [two.end(), one.end()]
+    else:
+        lost = task()  # it has placed some files, and is never ended
+        assert any(tmp_path.glob("*.warc.gz")) and lost.sink
+        done = [task().end(), task().end()]
+    assert done[0] == done[1] and len(done[0]) > 2
+    for name, _, _, size, checksum, *_ in done[0]:
+        data = (tmp_path / name).read_bytes()
+        assert len(data) == size and hashlib.sha256(data).hexdigest() == checksum
+
+
+def test_former_writes_stay_as_long_as_asked(spark, tmp_path):
+    folder = f"file://{tmp_path}/w"
+    for k in range(4):
+        warc.write_warc(spark.createDataFrame([(k, "u", "x")], "page_id long, url string, html string"), folder, keep_writes=2)
+    assert len(list((tmp_path / "w").glob("write-*"))) == 3
+    assert [r.page_id for r in warc.read_warc(spark, folder).collect()] == [3]
+
+
+def test_search_of_large_and_small_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, -1e200]), (2, [1.2e200, 1e200]), (3, [1.0, 2.0]), (100, [1e-200, 0.0]), (101, [3e-200, 0.0]), (102, [-1e308, 1e308])]
+    found = defaultdict(dict)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        found[r.query_id][r.vec_id] = r.score
+    assert found[0][1] == 2e200 and found[0][2] == pytest.approx(0.2e200, rel=1e-12) and found[0][3] == pytest.approx(2**0.5 * 1e200, rel=1e-12)
+    assert found[100][101] == pytest.approx(2e-200, rel=1e-12) and found[100][102] == pytest.approx(2**0.5 * 1e308, rel=1e-12)
