@@ -109,6 +109,18 @@ def negation_case_issues(is_negation_case: Column, red_flags: Column, urgency: C
     return compact_issues(F.when(is_negation_case & (F.size(red_flags) > 0), F.lit("negation_case_has_flags")), F.when(is_negation_case & (severity.rank(urgency) > 1), F.lit("negation_case_too_urgent")))
 
 
+def retrieval_gap(version: str, retrieved: Column, fired: Column, wanted: Column) -> Column:
+    """struct(reason, missing) of a case whose cards were not retrieved, or null: first those of fired rules (not asked for under
+    the policies v5 and v6), then the expected pathways, under these but for the cards of fired rules."""
+    active = {"v5", "v6"} & set(policies_of(version))
+    cards = F.filter(F.transform(fired, lambda c: F.trim(c)), lambda c: F.coalesce(c, F.lit("")) != "")
+    lacks = lambda ids: F.array_sort(F.array_except(ids, retrieved))
+    rules = F.array().cast("array<string>") if active else lacks(cards)
+    pathways = F.array_except(lacks(wanted), cards) if active else lacks(wanted)
+    told = lambda reason, ids: F.when(F.size(ids) > 0, F.struct(F.lit(reason).alias("reason"), ids.alias("missing")))
+    return F.coalesce(told("rule_card_not_retrieved_by_harness", rules), told("target_card_not_retrieved_by_harness", pathways))
+
+
 def note_contract(lists: dict[str, tuple[Column, int]], note: Column, script: Column) -> Column:
     """Issues of teacher notes: list minima, the four slots, the script."""
     return compact_issues(

@@ -102,6 +102,7 @@ def repair_rounds(records: DataFrame, turns: DataFrame, key: str, respond: Respo
     With check (from rows with `repaired` and the record's columns to the same with `passed`), a record that has become valid is asked no more.
     """
     turns = cut(turns, "repair-turns")
+    others = records.drop(*(c for c in turns.columns if c != key))
     most = turns.agg(F.max("turn")).first()[0] or 0
     rounds = most if cap is None else min(cap, most)
     answers: list[DataFrame] = []
@@ -110,7 +111,7 @@ def repair_rounds(records: DataFrame, turns: DataFrame, key: str, respond: Respo
         frontier = turns.where(F.col("turn") == turn)
         for keys in valid:
             frontier = frontier.join(keys, key, "left_anti")
-        asked = respond(frontier.join(records, key))
+        asked = respond(frontier.join(others, key))
         answers.append(cut(judged(asked, raw, merge_lists).select(key, "turn", "taken", "event"), f"repair-round-{turn}"))
         if check and turn < rounds:
             so_far = gathered(reduce(DataFrame.unionByName, answers), key)
