@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sievework.functions.sets import compact_issues
 from sievework.functions.text import normalize
@@ -55,38 +54,6 @@ def soften(text: Column, rules: tuple[tuple[str, str], ...], most: int = 360) ->
     return F.substring(F.btrim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "), F.lit(" -")), 1, most)
 
 
-#: What a repair scope breaks in an output, for training rows that repair it again.
-BROKEN = ("protocol_urgency", "citations_and_pathways", "missing_observations", "handoff_note_sbar", "forbidden_clinical_language", "schema")
-
-
-def corrupt(df: DataFrame, scope: str = "scope") -> DataFrame:
-    """Columns urgency, source_cards, pathways, observations, note (struct), script with the failure of each row's scope put in."""
-    at = lambda name: F.col(scope) == name
-    none = F.array().cast("array<string>")
-    empty = F.col("note").withField("background", F.lit(""))
-    return df.withColumns(
-        {
-            "urgency": F.when(at("protocol_urgency"), F.lit("routine")).when(at("schema"), F.lit(None)).otherwise(F.col("urgency")),
-            "source_cards": F.when(at("citations_and_pathways"), F.slice("source_cards", 2, F.greatest(F.size("source_cards") - 1, F.lit(0)))).otherwise(F.col("source_cards")),
-            "observations": F.when(at("missing_observations"), none).otherwise(F.col("observations")),
-            "note": F.when(at("handoff_note_sbar"), empty).otherwise(F.col("note")),
-            "script": F.when(at("forbidden_clinical_language"), F.concat(F.lit("We diagnose this now. "), F.col("script"))).otherwise(F.col("script")),
-        }
-    )
-
-
-def scheduled_repairs(schedule: DataFrame, eligible: DataFrame, scope: str = "scope") -> DataFrame:
-    """For the k-th turn of a scope the k-th eligible base row of that scope (columns position, scope; base_id, scope, ordinal)."""
-    turns = schedule.withColumn("_k", F.row_number().over(Window.partitionBy(scope).orderBy("position")))
-    ranked = eligible.withColumn("_k", F.row_number().over(Window.partitionBy(scope).orderBy("ordinal")))
-    return turns.join(ranked, [scope, "_k"]).select("position", scope, "base_id")
-
-
-def first_valid(*candidates: tuple[Column, Column]) -> Column:
-    """The first candidate whose test holds: recovery tries them in order."""
-    return F.coalesce(*(F.when(valid, value) for value, valid in candidates))
-
-
 def removed_cards(before: Column, after: Column, card_of: dict[str, str]) -> Column:
     """Cards of the rules that no longer fire."""
     table = F.create_map(*(F.lit(x) for pair in card_of.items() for x in pair))
@@ -114,11 +81,6 @@ def changed_counts(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFram
     return df.agg(*(F.count_if(c).alias(n) for n, c in different.items()), F.count_if(anything).alias("any"))
 
 
-def numbered_case(prefix: str, width: int = 4, order: str = "index") -> Column:
-    """Ids by rank, with leading zeros."""
-    return F.concat(F.lit(prefix), F.lpad(F.row_number().over(Window.orderBy(order)).cast("string"), width, "0"))
-
-
 def training_row(case_id: Column, prompt: Column, answer: Column, metadata: dict[str, Column]) -> Column:
     """A chat row: id, the two messages, metadata."""
     turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
@@ -154,9 +116,3 @@ def triage(df: DataFrame, scopes: dict[str, str], model_checks: tuple[str, ...],
     rows = rows.withColumn("harness_only", (F.size("repair_scopes") > 0) & ~model_failed)
     kind = F.when(embargo, "embargoed").when(F.col("harness_only"), "harness_only").when(F.size("repair_scopes") > 0, "repair").otherwise("replay")
     return rows.withColumn("seed_type", kind).withColumn("kept", kind.isin("repair", "replay"))
-
-
-def cue_owner(cues: Column, owners: dict[str, str]) -> Column:
-    """array of struct(cue, owner): by normalized cue, the model's if nobody else's."""
-    table = F.create_map(*(F.lit(x) for pair in owners.items() for x in pair)) if owners else F.create_map().cast("map<string,string>")
-    return F.transform(cues, lambda c: F.struct(c.alias("cue"), F.coalesce(F.try_element_at(table, normalize(c)), F.lit("model")).alias("owner")))

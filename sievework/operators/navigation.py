@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievework.functions import severity
-from sievework.functions.sets import missing
 from sievework.functions.text import CUE_STOPWORDS, cue_tokens, normalize, words
 from sievework.operators.intake import query_text
-from sievework.operators.metrics import all_applicable
 from sievework.operators.retrieval import clamp, top
 
 SAFETY, HANDOFF = "SAFETY-BOUNDARIES-v1", "REFERRAL-SBAR-v1"
@@ -143,33 +141,6 @@ def cue_present(cue: Column, text: Column, stopwords: tuple[str, ...] = CUE_STOP
     return ((F.size(tokens) > 0) & (F.size(F.array_except(tokens, cue_tokens(text, stopwords))) == 0)) | F.contains(normalize(text), normalize(cue))
 
 
-def score(df: DataFrame) -> DataFrame:
-    """df with three-valued checks against expected labels and all_expected_labels_passed.
-
-    Needs expected_red_flag_rule_ids, expected_source_card_ids, expected_candidate_pathway_card_ids,
-    expected_missing_observations (arrays, null or empty if nothing is expected), expected_min_protocol_urgency,
-    target_protocol_card_id, and what came out: actual_red_flag_rule_ids, source_cards, pathways, urgency, observation_text.
-    """
-    has = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) > 0
-    target = F.col("target_protocol_card_id")
-    labelled = has("expected_red_flag_rule_ids") | has("expected_source_card_ids") | has("expected_missing_observations") | target.isNotNull() | F.col("expected_min_protocol_urgency").isNotNull()
-    wanted = F.coalesce("expected_red_flag_rule_ids", F.array().cast("array<string>"))
-    paths = F.when(has("expected_candidate_pathway_card_ids"), F.col("expected_candidate_pathway_card_ids")).when(target.isNotNull(), F.array(target))
-    lacking_cues = F.filter("expected_missing_observations", lambda c: ~cue_present(c, F.col("observation_text")))
-    checks = {
-        "red_flags_match": F.when(labelled, (F.size(F.array_except(wanted, "actual_red_flag_rule_ids")) == 0) & (F.size(F.array_except("actual_red_flag_rule_ids", wanted)) == 0)),
-        "min_urgency_met": severity.meets_expected(F.col("urgency"), F.col("expected_min_protocol_urgency")),
-        "target_card_in_source_cards": F.when(target.isNotNull(), F.array_contains("source_cards", target)),
-        "expected_source_cards_present": F.when(has("expected_source_card_ids"), F.size(F.array_except("expected_source_card_ids", "source_cards")) == 0),
-        "target_card_in_candidate_pathways": F.when(target.isNotNull(), F.array_contains("pathways", target)),
-        "expected_candidate_pathways_present": F.when(paths.isNotNull(), F.size(F.array_except(paths, F.col("pathways"))) == 0),
-        "missing_observation_cues_present": F.when(has("expected_missing_observations"), F.size(lacking_cues) == 0),
-    }
-    rows = df.withColumns(checks)
-    rows = rows.withColumn("missing_red_flag_rule_ids", missing(wanted, F.col("actual_red_flag_rule_ids"))).withColumn("unexpected_red_flag_rule_ids", missing(F.col("actual_red_flag_rule_ids"), wanted))
-    return rows.withColumn("all_expected_labels_passed", all_applicable(*map(F.col, checks)))
-
-
 def handoff_readiness(note: Column, source_cards: Column, red_flags: Column, unsupported: Column) -> Column:
     """struct of the parts of readiness, and ready: all of them."""
     slots = [F.trim(F.coalesce(note[s], F.lit(""))) for s in ("situation", "background", "assessment_observations_only", "handoff_request")]

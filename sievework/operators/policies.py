@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievework.functions import severity
 from sievework.functions.sets import compact_issues
-from sievework.functions.text import normalize, slug, words
+from sievework.functions.text import normalize, slug
 
 #: Which versions carry the policies of which others.
 IMPLIES = {"v14": ("v13",), "v13": ("v10",), "v12": ("v10",), "v11": ("v10",), "v10": ("v9",), "v9": ("v8",), "v8": ("v7",), "v7": ("v6",), "v6": ("v3",), "v5": ("v3",), "v4": ("v3",), "field_workflow_holdout": ("v3",)}
@@ -60,55 +59,12 @@ def thin_note(note: Column, least: int = 6) -> Column:
     return out
 
 
-def asks_for_unavailable(items: Column, supplies: Column, device: str, request: str) -> Column:
-    """Whether an item asks for a device that the supplies say is not there."""
-    lacks = F.lower(supplies).rlike(rf"\b(?:no|without|unavailable)\b[^.;]*{device}|{device}[^.;]*\b(?:unavailable|broken|missing)\b")
-    return lacks & F.exists(items, lambda x: F.lower(x).rlike(request))
-
-
 def same_long_lists(a: Column, b: Column, least: int = 4) -> Column:
     """Whether two long lists say the same in the same order."""
     flat = lambda xs: F.transform(xs, lambda x: normalize(x))
     return (F.size(a) >= least) & (flat(a) == flat(b))
 
 
-def id_issues(selected: Column, required: Column, known: Column) -> Column:
-    """missing_id and invalid_id issues of selected target ids."""
-    lacking, odd = F.array_except(required, selected), F.array_except(selected, known)
-    return F.concat(F.transform(lacking, lambda x: F.concat(F.lit("missing_id:"), x)), F.transform(odd, lambda x: F.concat(F.lit("invalid_id:"), x)))
-
-
-def unseen_targets(targets: Column, *lists: Column) -> Column:
-    """Target texts that are not visible in every one of the lists."""
-
-    def visible(t: Column, items: Column) -> Column:
-        flat = F.array_join(items, "\n")
-        return (F.size(F.array_except(words(t), words(flat))) == 0) | F.contains(normalize(flat), normalize(t))
-
-    def unseen(t: Column) -> Column:
-        out = ~visible(t, lists[0])
-        for items in lists[1:]:
-            out = out | ~visible(t, items)
-        return out
-
-    return F.filter(targets, unseen)
-
-
-def closure_issues(source_cards: Column, target: Column, needs_handoff: Column, says_safety: Column) -> Column:
-    """Cards that the sources should close over: the target's, the hand-off card, the safety card."""
-    cited = lambda c: F.array_contains(source_cards, c)
-    return compact_issues(
-        F.when(target.isNotNull() & ~cited(target), F.concat(F.lit("source_card_closure: target "), target)),
-        F.when(needs_handoff & ~cited(F.lit("REFERRAL-SBAR-v1")), F.lit("source_card_closure: hand-off card")),
-        F.when(says_safety & ~cited(F.lit("SAFETY-BOUNDARIES-v1")), F.lit("source_card_closure: safety card")),
-    )
-
-
-def negation_case_issues(is_negation_case: Column, red_flags: Column, urgency: Column) -> Column:
-    """A case of denied signs must fire nothing and stay low."""
-    return compact_issues(F.when(is_negation_case & (F.size(red_flags) > 0), F.lit("negation_case_has_flags")), F.when(is_negation_case & (severity.rank(urgency) > 1), F.lit("negation_case_too_urgent")))
-
-
 def retrieval_gap(version: str, retrieved: Column, fired: Column, wanted: Column) -> Column:
     """struct(reason, missing) of a case whose cards were not retrieved, or null: first those of fired rules (not asked for under
     the policies v5 and v6), then the expected pathways, under these but for the cards of fired rules."""
@@ -143,15 +99,6 @@ def rejection_key(*causes: Column, most: int = 120) -> Column:
     return slug(F.coalesce(*causes, F.lit("unknown")), most)
 
 
-def replay_audit(df: DataFrame, reasons: Column, penalties: dict[str, int], bonus: Column | None = None, base: int = 100) -> DataFrame:
-    """df with reasons, an additive score, and accepted: no reason at all. A reason's penalty is that of its part before a colon, 10 if unnamed."""
-    table = F.create_map(*(F.lit(x) for pair in penalties.items() for x in pair)) if penalties else F.create_map().cast("map<string,int>")
-    rows = df.withColumn("reasons", reasons)
-    cost = F.aggregate("reasons", F.lit(0), lambda s, r: s + F.coalesce(F.try_element_at(table, F.substring_index(r, ":", 1)), F.lit(10)))
-    total = F.lit(base) - cost + (F.lit(0) if bonus is None else bonus)
-    return rows.withColumn("score", total.cast("int")).withColumn("accepted", F.size("reasons") == 0)
-
-
 def candidate_attributes(row: Column) -> dict[str, Column]:
     """Attributes of a training row in JSON, each from the first place that has it."""
     v = F.try_parse_json(row)

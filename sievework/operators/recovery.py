@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.operators import provenance
-from sievework.operators.validation import CARD_FIELDS, REQUIRED, failure_fields, repair_scopes
+from sievework.operators.validation import REQUIRED, failure_fields, repair_scopes
 from sievework.sources.cuts import cut
 
 #: Fixed value: turns of a run that answers a person; None is for batches.

@@ -32,26 +32,10 @@ def test_coercion_and_softening(spark):
     assert one(spark, corpus.soften(F.lit("- You MUST  go, must stay -"), (("must", "should"), ("should stay", "may stay")), 20)) == "You should go, may s"
 
 
-def test_corruption_hits_its_scope_only(spark):
-    base = F.struct(F.lit("s").alias("situation"), F.lit("b").alias("background"))
-    rows = spark.createDataFrame([(s,) for s in corpus.BROKEN], "scope string").select("scope", F.lit("urgent").alias("urgency"), strings("c1", "c2").alias("source_cards"), strings("c1").alias("pathways"), strings("o").alias("observations"), base.alias("note"), F.lit("t").alias("script"))
-    got = {r.scope: (r.urgency, r.source_cards, r.observations, r.note.background, r.script) for r in corpus.corrupt(rows).collect()}
-    plain = ("urgent", ["c1", "c2"], ["o"], "b", "t")
-    changed = {s: [k for k, (a, b) in enumerate(zip(v, plain)) if a != b] for s, v in got.items()}
-    assert changed == {"protocol_urgency": [0], "citations_and_pathways": [1], "missing_observations": [2], "handoff_note_sbar": [3], "forbidden_clinical_language": [4], "schema": [0]}
-
-
-def test_repairs_take_the_next_base_row(spark):
-    schedule = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "a")], "position int, scope string")
-    eligible = spark.createDataFrame([("r1", "a", 5), ("r2", "a", 3), ("r3", "b", 1)], "base_id string, scope string, ordinal int")
-    assert sorted(map(tuple, corpus.scheduled_repairs(schedule, eligible).collect())) == [(1, "a", "r2"), (2, "b", "r3"), (3, "a", "r1")]
-
-
 def test_corrections(spark):
     assert one(spark, corpus.removed_cards(strings("R1", "R2", "R3"), strings("R2"), {"R1": "C9", "R3": "C1"})) == ["C1", "C9"]
     assert one(spark, corpus.corrected_cards(strings("C1", "C2", "C9"), strings("C1", "C9"), F.lit("C9"), strings("C4", "C3"))) == ["C2", "C9", "C3", "C4"]
     assert one(spark, corpus.corrected_cues(strings("Repeat vitals", "skin"), strings("repeat VITALS", "skin"), strings("Skin"))) == ["skin"]
-    assert one(spark, corpus.first_valid((F.lit("a"), F.lit(False)), (F.lit("b"), F.lit(True)))) == "b"
     df = spark.createDataFrame([(1, 1, None, "x"), (2, 3, "y", "y")], "a int, b int, c string, d string")
     assert tuple(corpus.changed_counts(df, {"n": ("a", "b"), "s": ("c", "d")}).first()) == (1, 1, 2)
 
@@ -63,13 +47,9 @@ def test_rows_and_masks(spark):
     assert one(spark, corpus.row_issues(made["messages"], F.lit(""))) == ["blank_content", "missing_id"]
     prompt, answer = F.array(*map(F.lit, (1, 2, 3))), F.array(*map(F.lit, (7, 8)))
     assert tuple(one(spark, corpus.masked_tokens(prompt, answer, 4))) == ([2, 3, 7, 8], [-100, -100, 7, 8])
-    ids = spark.range(3).withColumnRenamed("id", "index").select(corpus.numbered_case("case-", 3).alias("c"))
-    assert sorted(r.c for r in ids.collect()) == ["case-001", "case-002", "case-003"]
 
 
 def test_triage(spark):
     df = spark.createDataFrame([(1, True, True, False), (2, False, True, False), (3, True, False, False), (4, False, None, True)], "id int, model boolean, harness boolean, held boolean")
     got = {r.id: (r.repair_scopes, r.seed_type, r.kept) for r in corpus.triage(df, {"model": "obs", "harness": "cite"}, ("model",), F.col("held")).collect()}
     assert got == {1: ([], "replay", True), 2: (["obs"], "repair", True), 3: (["cite"], "harness_only", False), 4: (["obs"], "embargoed", False)}
-    owners = one(spark, corpus.cue_owner(strings("Red Flags!", "pulse"), {"red flags": "handoff"}))
-    assert [(o.cue, o.owner) for o in owners] == [("Red Flags!", "handoff"), ("pulse", "model")]

@@ -96,14 +96,12 @@ def test_policies(spark):
     df = spark.createDataFrame(rows, "a array<string>, b array<string>, supplies string, cards array<string>, target string")
     a, b = F.col("a"), F.col("b")
     own = (
-        policies.Policy("v3", (("generic", policies.mostly_generic(a, "monitor")), ("unavailable", policies.asks_for_unavailable(a, F.col("supplies"), "pulse oximeter", "saturation|pulse oximeter")))),
+        policies.Policy("v3", (("generic", policies.mostly_generic(a, "monitor")),)),
         policies.Policy("v6", (("same_lists", policies.same_long_lists(a, b)),)),
         policies.Policy("v2", (("never", F.lit(True)),)),
     )
-    r = df.select(policies.issues(own, "v7").alias("v7"), policies.issues(own, "v3").alias("v3"), policies.closure_issues(F.col("cards"), F.col("target"), F.lit(True), F.lit(False)).alias("c"), policies.unseen_targets(F.array(F.lit("pulse check"), F.lit("skin")), a, b).alias("u")).first()
-    assert r.v7 == ["v3:generic", "v6:same_lists"] and r.v3 == ["v3:generic"] and len(r.c) == 2 and r.u == ["skin"]
-    scored = policies.replay_audit(df, policies.issues(own, "v7"), {"v3": 30}).first()
-    assert scored.score == 60 and not scored.accepted
+    r = df.select(policies.issues(own, "v7").alias("v7"), policies.issues(own, "v3").alias("v3")).first()
+    assert r.v7 == ["v3:generic", "v6:same_lists"] and r.v3 == ["v3:generic"]
     vector, total, passed = policies.rewards({"x": F.lit(True), "y": F.lit(None).cast("boolean")})
     assert tuple(df.select(total, passed).first()) == (1, False)
     key = df.select(policies.rejection_key(F.lit(None).cast("string"), F.lit("Below Floor: x"))).first()[0]

@@ -146,23 +146,6 @@ def test_model_output_or_fallback(spark, cards):
     assert rows["again"].route == "validation_fallback" and rows["third"].route == "canned_backend"
 
 
-def test_scores_are_three_valued(spark):
-    schema = (
-        "id int, expected_red_flag_rule_ids array<string>, expected_source_card_ids array<string>, expected_candidate_pathway_card_ids array<string>, expected_missing_observations array<string>, "
-        "expected_min_protocol_urgency string, target_protocol_card_id string, actual_red_flag_rule_ids array<string>, source_cards array<string>, pathways array<string>, urgency string, observation_text string"
-    )
-    rows = [
-        (1, ["A"], ["C1"], None, ["repeat vitals"], "urgent", "C1", ["A"], ["C1"], ["C1"], "emergency", "please repeat the vital signs"),
-        (2, ["A"], ["C1", "C2"], None, ["mouth moisture"], "urgent", "C1", ["B"], ["C1"], [], "routine", "nothing"),
-        (3, None, None, None, None, None, None, [], [], [], "routine", ""),
-    ]
-    found = {r.id: r for r in navigation.score(spark.createDataFrame(rows, schema)).collect()}
-    assert found[1].all_expected_labels_passed is True
-    assert found[2].red_flags_match is False and found[2].missing_red_flag_rule_ids == ["A"] and found[2].unexpected_red_flag_rule_ids == ["B"]
-    assert found[2].min_urgency_met is False and found[2].expected_source_cards_present is False and found[2].target_card_in_source_cards is True
-    assert found[3].all_expected_labels_passed is None
-
-
 def test_targets_scaffold_and_note(spark, cards):
     targets = navigation.observation_targets(cards).collect()
     assert {t.id for t in targets} >= {"FEVER-RED-FLAGS-v1::required_observation::2"}
