@@ -1,16 +1,15 @@
-"""What several operators share: tables, the shared folder, row keys, Arrow batch limits."""
+"""What several operators share: tables, written cuts, row keys, Arrow batch limits."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.sources.cuts import cut, discard, own_dir, shared_dir
 from sievework.sources.tables import read_table
 
+__all__ = ["WHITE", "bounded_batches", "cut", "discard", "latin_lower", "own_dir", "row_key", "shared_dir", "table", "text_of", "whole_rows"]
+
 #: ASCII white space of the word rules: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -19,58 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares. Where none is set, a local master (tests) gets one of its own; on a cluster that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="sievework-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def own_dir(spark: SparkSession) -> str:
-    """This application's folder in the shared one; Hadoop deletes it when the application ends."""
-    folder = f"{shared_dir(spark)}/sievework-{spark.sparkContext.applicationId}"
-    if folder not in _OWN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-        _OWN.add(folder)
-    return folder
-
-
-_OWN: set[str] = set()
-
-#: With this, Spark deletes an execution's shuffle files when it ends, not when the driver happens to collect garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends there, a lost executor costs nothing before it, and the shuffles before it are deleted."""
-    spark = df.sparkSession
-    path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    found = spark.read.schema(df.schema).parquet(path)
-    found.cut_path = path
-    return found
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that cut gave, once everything made of them is written."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def whole_rows(df: DataFrame) -> Column:
     """All columns of df as one, so that no working column can clash with one of them."""
     return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns))
