@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sievework.operators import replay
+from sievework.operators import output_policies, replay
 from sievework.plans.oracles import q
-from sievework.plans.queries_curation import LINES, OBSERVED
+from sievework.plans.queries_curation import ASKED, LINES, OBSERVED, SAID
 
 LIST = "[" + ", ".join(map(q, OBSERVED)) + "]"
 FLAT = "trim(regexp_replace(translate(lower(x), '-_', '  '), '\\s+', ' ', 'g'))"
@@ -54,6 +54,27 @@ def broken(scope: str) -> str:
     return "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in sorted(fields.items())) + " || '}'"
 
 
+def listed(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(map(q, values)) + "]"
+
+
+POLICY = f"""
+WITH a AS (SELECT doc_id AS d, substr(text, 1, 30) || ' ' || ({listed(SAID)})[doc_id % {len(SAID)} + 1] AS said, {listed(ASKED)} AS g FROM documents),
+b AS (SELECT *, [g[d % {len(ASKED)} + 1], g[(d + 1) % {len(ASKED)} + 1], g[(d + 2) % {len(ASKED)} + 1]] AS missing,
+             CASE WHEN d % 5 = 0 THEN list_transform(range(1, 21), lambda k: 'x' || k) ELSE [g[(d + 3) % {len(ASKED)} + 1]] END AS following,
+             CASE WHEN d % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN d % 9 = 0 THEN 2 ELSE 0 END AS thin FROM a),
+c AS (SELECT *, list_concat(missing, following) AS items, lower(CAST(to_json(said) AS VARCHAR) || array_to_string(list_concat(missing, following), '","')) AS body FROM b),
+e AS (SELECT *, len(list_filter(items, lambda x: {" OR ".join(f"regexp_matches(x, {q(p)})" for p in output_policies.GENERIC)})) AS dull FROM c)
+SELECT d AS doc_id, issue FROM (
+{" UNION ALL ".join(f"SELECT d, 'forbidden_lexical_tripwire:{n}' AS issue FROM e WHERE regexp_matches(body, {q(p)})" for n, p in output_policies.LEXICAL.items())}
+UNION ALL SELECT d, 'negation_red_flags_must_be_empty' FROM e WHERE d % 3 = 0 AND d % 7 = 0
+UNION ALL SELECT d, 'negation_candidate_pathway_must_be_safety_or_sbar' FROM e WHERE d % 3 = 0 AND d % 2 <> 0
+UNION ALL SELECT d, 'negation_urgency_must_not_be_raised_by_denied_symptom' FROM e WHERE d % 3 = 0 AND d % 11 = 0
+UNION ALL SELECT d, 'generic_output_dominated' FROM e WHERE dull >= greatest(3, len(items) // 2)
+UNION ALL SELECT d, 'handoff_sbar_missing_required_parts' FROM e WHERE thin >= 2 OR thin > 0 AND d % 3 = 1
+UNION ALL SELECT d, 'low_resource_unavailable_pulse_ox_requested' FROM e WHERE d % 13 = 0 AND list_has_any(items, ['repeat vitals'])
+UNION ALL SELECT d, 'cognitive_load_next_observation_list_too_long' FROM e WHERE len(following) > {output_policies.MOST_NEXT})"""
+
 SQL = {
     "q78_row_numbers": "SELECT doc_id, row_number() OVER (ORDER BY source NULLS FIRST, lang NULLS FIRST, doc_id DESC) AS row_number FROM documents",
     "q79_zipped_positions": """
@@ -114,4 +135,5 @@ SELECT 'issue_types' AS kind, type AS name, count(*) AS n, NULL::BIGINT AS posit
 UNION ALL SELECT 'categories', source, count(*), NULL FROM d GROUP BY source
 UNION ALL SELECT 'sample', concat_ws(' ', type, detail), 1, doc_id FROM (SELECT * FROM i ORDER BY doc_id, place LIMIT 20)
 UNION ALL SELECT 'issues', 'all', count(*), NULL FROM i""",
+    "q89_policy_issues": POLICY,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.operators import numbering, recovery, replay, selection, verifier
+from sievework.operators import numbering, output_policies, recovery, replay, selection, verifier
 from sievework.plans.queries import _t
 
 #: What the rows of q82 observe; each stands in turn.
@@ -141,4 +141,33 @@ def q88_issue_summary(spark, sf_dir):
     return told.select(F.inline(F.concat(entries("issue_types"), entries("categories"), sample, totals)))
 
 
+#: What the outputs of q89 say and observe; each stands in turn.
+SAID = ("diagnosed now", "prescribing it", "give 5 mg", "inject now", "aspirin", "send them home", "calm words", "rest")
+ASKED = ("repeat vitals", "monitor closely", "follow protocol", "assess the patient", "pulse", "skin")
+
+
+def q89_policy_issues(spark, sf_dir):
+    """Issues of policy v3 of outputs made from documents, so that every rule has rows that break it and rows that keep it."""
+    d = F.col("doc_id")
+    of = lambda values, n: F.get(F.array(*map(F.lit, values)), F.pmod(n, F.lit(len(values))).cast("int"))
+    every = lambda n: d % n == 0
+    none = F.array().cast("array<string>")
+    slot = lambda short: F.when(short, "s").otherwise("said in full")
+    output = F.struct(
+        F.when(every(11), "urgent").otherwise("routine").alias("protocol_urgency"), F.when(every(7), F.array(F.struct(F.lit("R").alias("rule_id")))).otherwise(F.array().cast("array<struct<rule_id:string>>")).alias("red_flags"),
+        F.when(every(2), F.array(F.struct(F.lit("SAFETY-BOUNDARIES-v1").alias("card_id")))).otherwise(F.array().cast("array<struct<card_id:string>>")).alias("candidate_protocol_pathways"),
+        F.array(*(of(ASKED, d + k) for k in range(3))).alias("missing_info_to_collect"),
+        F.when(every(5), F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.concat(F.lit("x"), k))).otherwise(F.array(of(ASKED, d + 3))).alias("next_observations_to_collect"),
+        F.struct(slot(every(4)).alias("situation"), slot(every(9)).alias("background"), slot(every(9)).alias("assessment_observations_only"), slot(F.lit(False)).alias("handoff_request")).alias("handoff_note_sbar"),
+        F.concat(F.substring("text", 1, 30), F.lit(" "), of(SAID, d)).alias("responder_plain_language_script"),
+    )
+    rows = _t(spark, sf_dir, "documents").select(
+        "doc_id", F.to_json(output).alias("output"), of(("negation_safety_boundary", "radio_handoff", "plain"), d).alias("failure_class"), none.alias("expected_flags"), F.array(F.lit("SAFETY-BOUNDARIES-v1")).alias("expected_pathways"),
+        F.when(every(13), '{"available_supplies":"no pulse oximeter"}').otherwise("{}").alias("intake"), F.array().cast("array<struct<card_id:string>>").alias("fired"),
+        F.array().cast("array<struct<card_id:string,required_observations:array<string>>>").alias("retrieved"), F.lit("").alias("target_card"),
+    )
+    found = output_policies.with_policy_issues(rows, "v3")
+    return found.select("doc_id", F.explode_outer("issues").alias("issue")).where("issue IS NOT NULL")
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q") and name[1:3].isdigit()}
