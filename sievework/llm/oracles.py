@@ -122,7 +122,7 @@ i AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(co
 q AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest(t) AS term FROM i) GROUP BY ALL),
 s AS (SELECT q, item_id, d.r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::BIGINT AS score
       FROM q JOIN w USING (term) JOIN f USING (term) JOIN d ON d.r = f.r, a GROUP BY ALL)
-SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
 """
 
 SQL = {"op3_backoff_scores": SCORES, "op8_suffix_dedup": REPEATS, "op2_warc_archive": ARCHIVE, "op6_quality_rules": QUALITY, "op9_line_dedup": LINES, "op12_suffix_phrases": PHRASES, "op13_clustered_search": RANKED}
