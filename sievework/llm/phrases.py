@@ -220,39 +220,68 @@ def suffixes(df: DataFrame, seen: object, hot: object, slots: int, size: int) ->
 
 
 def count_prefixes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted in reverse lexicographic order: an entry of the stack is a word of the suffix at hand and the count of
-    the prefix that ends there; when a suffix departs from it, the prefix can get no more, and its count goes to the one below."""
-    stack: list[list] = []
-    out: list[tuple] = []
-    state: tuple = ()
-
-    def shrink(to: int) -> None:
-        while len(stack) > to:
-            _, n = stack.pop()
-            if stack:
-                if n >= least or state[1]:
-                    out.append((state[0], " ".join([w for w, _ in stack] + [_]), len(stack) + 1, n))
-                stack[-1][1] += n
+    """Over rows sorted in reverse lexicographic order: the stack holds the prefixes of the suffix at hand, by their number of
+    words, with their counts; a prefix from which a suffix departs can get no more, and is given out.
+
+    Within a batch departures are found for all rows at once; between batches the stack is what is carried.
+    """
+    stack: dict[int, list] = {}  # words to [language, shared, prefix, count]
+    before: list[str | None] = []
+
+    def close(size: int, out: list[tuple]) -> None:
+        lang, shared, prefix, n = stack.pop(size)
+        if n >= least or shared:
+            out.append((lang, prefix, size, n))
 
     for batch in batches:
-        langs, shared, texts, counts = (batch.column(i).to_pylist() for i in range(4))
-        for now, text, n in zip(zip(langs, shared, strict=True), texts, counts, strict=True):
-            words = text[:-1].split(" ")
-            if now != state:
-                shrink(0)
-                state = now
-            same = 0
-            for (word, _), other in zip(stack, words, strict=False):
-                if word != other:
-                    break
-                same += 1
-            shrink(same)
-            stack.extend([w, 0] for w in words[same:])
-            stack[-1][1] += n
-        if len(out) >= 10_000:
-            yield as_rows(out)
-            out.clear()
-    shrink(0)
+        if not len(batch):
+            continue
+        out: list[tuple] = []
+        langs, shared, texts, counts = batch.columns
+        parts = pc.split_pattern(texts, " ")
+        size = pc.list_value_length(parts).to_numpy(zero_copy_only=False) - 1  # nothing follows the last space
+        at = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+        words = parts.flatten()
+        ids = words.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        n = counts.to_numpy(zero_copy_only=False)
+        first = [langs[0].as_py(), shared[0].as_py(), *(words[int(at[0] + k)].as_py() if k < size[0] else None for k in range(MAX_WORDS))]
+        departs = np.zeros(len(n), bool)
+        for column in (langs.dictionary_encode().indices, shared.cast(pa.int8())):
+            values = column.to_numpy(zero_copy_only=False)
+            departs[1:] |= values[1:] != values[:-1]
+        departs[0] = first[:2] != before[:2]
+        for k in range(MAX_WORDS):
+            here = np.where(size > k, ids[np.minimum(at + k, len(ids) - 1)], -1)
+            departs[1:] |= here[1:] != here[:-1]
+            departs[0] |= len(before) > 0 and first[k + 2] != before[k + 2]
+            if not k:
+                continue
+            long = size > k
+            starts = np.flatnonzero(departs & long)
+            ends = np.append(starts[1:], len(n))
+            # Rows before the first start go on with the prefix that is open; behind a run's rows stand only shorter ones.
+            sums = np.concatenate([[0], np.cumsum(np.where(long, n, 0))])
+            if k + 1 in stack:
+                stack[k + 1][3] += int(sums[starts[0] if len(starts) else len(n)])
+                if departs.any():
+                    close(k + 1, out)
+            totals = sums[ends] - sums[starts]
+            wanted = totals >= least
+            wanted |= shared.to_numpy(zero_copy_only=False)[starts]
+            # The last run may go on in the next batch, unless a row departs from it here.
+            open_run = len(starts) > 0 and not departs[starts[-1] + 1 :].any()
+            for run in np.flatnonzero(wanted[:-1] if open_run else wanted).tolist():
+                row = int(starts[run])
+                out.append((langs[row].as_py(), " ".join(words.slice(int(at[row]), k + 1).to_pylist()), k + 1, int(totals[run])))
+            if open_run:
+                row = int(starts[-1])
+                stack[k + 1] = [langs[row].as_py(), shared[row].as_py(), " ".join(words.slice(int(at[row]), k + 1).to_pylist()), int(totals[-1])]
+        last = len(n) - 1
+        before = [langs[last].as_py(), shared[last].as_py(), *(words[int(at[last] + k)].as_py() if k < size[last] else None for k in range(MAX_WORDS))]
+        yield as_rows(out)
+    out = []
+    for size in list(stack):
+        close(size, out)
     yield as_rows(out)
 
 
