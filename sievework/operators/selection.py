@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievework.functions.hashing import split_key
-from sievework.operators.numbering import nth_smallest
+from sievework.operators.numbering import nth_smallest, number_rows
 from sievework.sources.cuts import cut
 
 
@@ -58,12 +58,11 @@ def stratified_split(df: DataFrame, key: str, strata: list[str], fraction: float
 def weighted_schedule(targets: DataFrame, name: str, order: str) -> DataFrame:
     """position, name: repeatedly the class with the largest remaining share of its target, the earlier class among equals.
 
-    Each class's heads are (target - k) / target, strictly falling, so the loop is a merge of sorted lists: one sort.
+    Each class's heads are (target - k) / target, strictly falling, so the loop is a merge of sorted lists: one sort, numbered by ranges.
     """
     units = targets.where("target > 0").select(name, order, "target", F.explode(F.sequence(F.lit(0), F.col("target") - 1)).alias("k"))
     head = (F.col("target") - F.col("k")) / F.col("target")
-    place = F.row_number().over(Window.orderBy(F.desc(head), order, "k"))
-    return units.select(place.alias("position"), name)
+    return number_rows(units.withColumn("_head", head), F.desc("_head"), order, "k", into="position").select(F.col("position").cast("int").alias("position"), name)
 
 
 def apportion(weights: DataFrame, name: str, order: str, total: int) -> DataFrame:

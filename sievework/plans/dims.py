@@ -18,7 +18,6 @@ CUES = ("idiot", "clown", "trash", "stupid")
 MARKERS = ("the", "of", "that", "is")
 AGE_UNITS = ("months", "years", "weeks", "mo", "yrs", "", "d", "adult", "y", "Days")
 ERRORS = ("idiot", "licensed", "akia", "timeout", "$$$", "token")
-SCHEDULE = (("core", 1, 7), ("repair", 2, 3), ("safety", 3, 2), ("replay", 4, 5), ("rare", 5, 1))
 SLOTS = (("a", 5), ("b", 3), ("c", 2), ("d", 1))
 GATES = (
     Gate("licence", "licensed under|all rights", "version 2"),

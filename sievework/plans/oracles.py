@@ -111,6 +111,10 @@ AGE = {
 }
 AGES = ", ".join(f"CAST(nullif(regexp_extract(trim(lower(age)), {q(p)}, 1), '') AS INTEGER) AS {n}" for n, p in AGE.items())
 
+def segments(count: str) -> str:
+    return f"(SELECT c_mktsegment AS class, row_number() OVER (ORDER BY c_mktsegment) AS ordinal, count(*) AS {count} FROM customer GROUP BY c_mktsegment)"
+
+
 SQL: dict[str, str] = {
     "q01_rule_hits": f"WITH {FIRED} SELECT doc_id, rule_id, severity, check_ordinal FROM fired",
     "q02_rule_first_evidence": f"WITH {FIRED} SELECT doc_id, rule_id, evidence, card_id FROM fired",
@@ -166,9 +170,9 @@ SQL: dict[str, str] = {
     "q32_quota_fill_and_shortage": f"WITH {QUOTA} SELECT t.p_brand, t.target, count(c.p_partkey) AS selected, greatest(t.target - count(c.p_partkey), 0) AS shortage FROM targets t LEFT JOIN chosen c ON c.p_brand = t.p_brand GROUP BY t.p_brand, t.target",
     "q32_quota_fill": f"WITH {QUOTA}, s AS (SELECT greatest((SELECT sum(target) FROM targets) - (SELECT count(*) FROM chosen), 0) AS short), r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS k FROM ranked WHERE place > target) "
     "SELECT p_partkey, 'quota' AS reason FROM chosen UNION ALL SELECT p_partkey, 'fill' FROM r, s WHERE k <= short",
-    "q33_weighted_schedule": f"WITH u AS (SELECT class, ordinal, target, unnest(range(target)) AS k FROM {values(dims.SCHEDULE, 'class', 'ordinal', 'target')}) SELECT row_number() OVER (ORDER BY (target - k) / target::DOUBLE DESC, ordinal, k) AS position, class FROM u",
-    "q33_apportioned_targets": f"WITH s AS (SELECT class, ordinal, weight * 100 / (sum(weight) OVER ())::DOUBLE AS share FROM {values(dims.SCHEDULE, 'class', 'ordinal', 'weight')}), "
-    "r AS (SELECT *, floor(share) AS f, 100 - sum(floor(share)) OVER () AS rest, row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, ordinal) AS place FROM s) SELECT class, ordinal, CAST(f + CASE WHEN place <= rest THEN 1 ELSE 0 END AS BIGINT) AS target FROM r",
+    "q33_weighted_schedule": f"WITH u AS (SELECT class, ordinal, target, unnest(range(target)) AS k FROM {segments('target')}) SELECT row_number() OVER (ORDER BY (target - k) / target::DOUBLE DESC, ordinal, k) AS position, class FROM u",
+    "q33_apportioned_targets": f"WITH s AS (SELECT class, ordinal, weight * 97 / (sum(weight) OVER ())::DOUBLE AS share FROM {segments('weight')}), "
+    "r AS (SELECT *, floor(share) AS f, 97 - sum(floor(share)) OVER () AS rest, row_number() OVER (ORDER BY round(share - floor(share), 9) DESC, ordinal) AS place FROM s) SELECT class, ordinal, CAST(f + CASE WHEN place <= rest THEN 1 ELSE 0 END AS BIGINT) AS target FROM r",
     "q34_cumulative_slot_class": f"SELECT {slot_case()} AS class, count(*) AS n FROM orders GROUP BY 1",
     "q35_exact_content_neighbor": "SELECT doc_id, first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents) WHERE doc_id > first_id",
     "q36_near_neighbor_jaccard": f"WITH {SETS_BY_LANG}, p AS (SELECT x.class_id AS a, y.class_id AS b, len(list_intersect(x.tokens, y.tokens)) AS c, len(x.tokens) + len(y.tokens) AS s "

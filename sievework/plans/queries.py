@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sievework.functions import severity, text
 from sievework.functions.hashing import row_hash
@@ -243,13 +244,18 @@ def q32_quota_fill(spark, sf_dir):
     return _quota(spark, sf_dir, True)[0].select("p_partkey", "reason")
 
 
+def _segments(spark, sf_dir, count):
+    """The market segments, in name order, with their customers as `count`."""
+    found = _t(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("class")).agg(F.count("*").alias(count))
+    return found.withColumn("ordinal", F.row_number().over(Window.orderBy("class")))
+
+
 def q33_weighted_schedule(spark, sf_dir):
-    return selection.weighted_schedule(spark.createDataFrame(list(dims.SCHEDULE), "class string, ordinal int, target int"), "class", "ordinal")
+    return selection.weighted_schedule(_segments(spark, sf_dir, "target"), "class", "ordinal")
 
 
 def q33_apportioned_targets(spark, sf_dir):
-    weights = spark.createDataFrame(list(dims.SCHEDULE), "class string, ordinal int, weight int")
-    return selection.apportion(weights, "class", "ordinal", 100)
+    return selection.apportion(_segments(spark, sf_dir, "weight"), "class", "ordinal", 97)
 
 
 def q34_cumulative_slot_class(spark, sf_dir):
