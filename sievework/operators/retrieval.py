@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievework.functions.text import occurrences, query_terms, words
-from sievework.sources.tables import small
+from sievework.operators import few
+from sievework.sources.cuts import cut
+from sievework.sources.tables import is_small, small
 
 #: Fixed values of the scorers.
 TITLE_WEIGHT = 4
@@ -62,17 +64,46 @@ def term_scores(queries: DataFrame, docs: DataFrame, query: str, key: str, query
     return scored.agg(F.sum(F.col("n") * F.col("times")).cast("double").alias("score")).where("score > 0")
 
 
+def best_by_terms(queries: DataFrame, docs: DataFrame, query: str, key: str, query_text: str, body: Column, limit: int, title: Column | None = None) -> DataFrame:
+    """The best `limit` rows of term_scores (see top). With few queries each task ranks the documents that it reads, and nothing else moves."""
+    if is_small(queries):
+        scored = few.best(docs, term_counts(queries, query, query_text), query, key, limit, words(body), title if title is None else words(title), TITLE_WEIGHT)
+    else:
+        scored = term_scores(queries, docs, query, key, query_text, body, title)
+    return top(scored, query, key, limit)
+
+
+def best_by_bm25(queries: DataFrame, docs: DataFrame, query: str, key: str, query_text: str, body: Column, limit: int) -> DataFrame:
+    """The best `limit` rows of bm25_scores, rounded to six digits (see top). With few queries each task ranks the documents that it reads."""
+    if not is_small(queries):
+        scored = bm25_scores(queries, docs, query, key, query_text, body)
+    else:
+        wanted = term_counts(queries, query, query_text)
+        seen = docs.select(words(body).alias("w"))
+        held = seen.select(F.explode_outer(F.array_distinct("w")).alias("term")).join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+        corpus = seen.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("mean_size"))
+        frequency = held.groupBy("term").agg(F.count("*").alias("df"))
+        weights = cut(wanted.join(frequency, "term").crossJoin(F.broadcast(corpus)).select(query, "term", (F.col("times") * idf_of(F.col("n_docs"), F.col("df"))).alias("weight"), "mean_size"), "weights")
+        mean = weights.agg(F.max("mean_size")).first()[0]
+        scored = few.best(docs, weights.drop("mean_size"), query, key, limit, words(body), tf_of=(K1, B, mean))
+    return top(scored.withColumn("score", F.round("score", 6)), query, key, limit)
+
+
 def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, term, tf, size): the inverted index; see write_index to keep it."""
     found = docs.select(key, words(text).alias("w"))
     return found.select(key, F.size("w").alias("size"), F.explode_outer("w").alias("term")).where("term IS NOT NULL").groupBy(key, "term", "size").agg(F.count("*").alias("tf"))
 
 
+def idf_of(n_docs: Column, df: Column) -> Column:
+    idf = F.log((n_docs - df + 0.5) / (df + 0.5))
+    return F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
+
+
 def bm25_of(asked: DataFrame, wanted: DataFrame, corpus: DataFrame, queries: DataFrame, query: str, key: str) -> DataFrame:
     """(query, key, score) from the postings of query terms, the terms of queries, and one row of n_docs and mean_size."""
     frequency = asked.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
+    idf = idf_of(F.col("n_docs"), F.col("df"))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
     terms = wanted.join(frequency, "term").crossJoin(F.broadcast(corpus)).select(query, "term", "times", idf.alias("idf"), "mean_size")
     rows = asked.join(small(terms, queries), "term")

@@ -79,8 +79,7 @@ def q10_term_score_topk(spark, sf_dir):
 
 
 def _bm25(spark, sf_dir, queries):
-    scored = retrieval.bm25_scores(queries, _t(spark, sf_dir, "documents"), "item_id", "doc_id", "text", F.col("text"))
-    return retrieval.top(scored.withColumn("score", F.round("score", 6)), "item_id", "doc_id", TOP)
+    return retrieval.best_by_bm25(queries, _t(spark, sf_dir, "documents"), "item_id", "doc_id", "text", F.col("text"), TOP)
 
 
 def q11_bm25_topk(spark, sf_dir):
