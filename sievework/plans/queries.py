@@ -74,8 +74,7 @@ def q09_query_tokens(spark, sf_dir):
 
 
 def q10_term_score_topk(spark, sf_dir):
-    scored = retrieval.term_scores(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"), "item_id", "doc_id", "text", F.col("text"), F.col("source"))
-    return retrieval.top(scored, "item_id", "doc_id", TOP)
+    return retrieval.best_by_terms(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"), "item_id", "doc_id", "text", F.col("text"), TOP, F.col("source"))
 
 
 def _bm25(spark, sf_dir, queries):
