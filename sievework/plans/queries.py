@@ -13,7 +13,8 @@ from sievework.functions.hashing import row_hash
 from sievework.functions.sets import missing
 from sievework.operators import audit, decontaminate, merging, metrics, provenance, redaction, retrieval, screening, selection
 from sievework.plans import dims
-from sievework.sources.tables import read_table
+from sievework.sources.cuts import cut
+from sievework.sources.tables import fixed, read_table
 
 NEAR, EXCLUDE, COVER, CONTAIN = 0.92, 0.5, 0.5, 0.9
 TOP = 10
@@ -86,10 +87,11 @@ def q11_bm25_topk(spark, sf_dir):
 
 
 def q12_retrieval_fallback(spark, sf_dir):
-    queries = _t(spark, sf_dir, "benchmark").unionByName(spark.createDataFrame(list(dims.EXTRA_QUERIES), "item_id long, text string"))
-    first = _bm25(spark, sf_dir, queries).select("item_id", "doc_id")
-    scored = retrieval.term_scores(queries, _t(spark, sf_dir, "documents"), "item_id", "doc_id", "text", F.col("text"))
-    second = retrieval.top(scored, "item_id", "doc_id", TOP).select("item_id", "doc_id")
+    queries = _t(spark, sf_dir, "benchmark").unionByName(fixed(spark, dims.EXTRA_QUERIES, "item_id", "text"))
+    first = cut(_bm25(spark, sf_dir, queries).select("item_id", "doc_id"), "first-engine")
+    # The second engine is asked only what the first gave nothing for.
+    rest = queries.join(first, "item_id", "left_anti")
+    second = retrieval.best_by_terms(rest, _t(spark, sf_dir, "documents"), "item_id", "doc_id", "text", F.col("text"), TOP).select("item_id", "doc_id")
     rows = retrieval.with_fallback(first, second, queries, "item_id", ("bm25", "substring"))
     return retrieval.source_summary(rows, queries, "item_id")
 
