@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from sievework.functions.jsontext import canonical
-from sievework.functions.sets import jaccard
+from sievework.functions.sets import jaccard, missing
 from sievework.functions.text import words
+from sievework.operators import few
 from sievework.operators.recovery import fields_of, object_of
-from sievework.sources.tables import small
+from sievework.sources.cuts import cut
+from sievework.sources.tables import is_small, small
 
 
 def content_key(text: Column) -> Column:
@@ -27,29 +34,66 @@ def classes(sets: DataFrame, key: str, *blocks: str) -> DataFrame:
     return sets.groupBy(*blocks, "tokens").agg(F.min(key).alias("class_id"), F.count("*").alias("members"))
 
 
+#: Slots of the hashed token counts, which every task holds; and lanes of 64 parity bits of a set.
+SLOTS, LANES = 1 << 18, 4
+
+
+def members(sets: DataFrame, key: str, *blocks: str) -> DataFrame:
+    """key, class_id and members of the key's class (see classes). Digests of the sets are compared, so no tokens move."""
+    rows = sets.select(key, *blocks, F.sha2(F.array_join("tokens", " "), 256).alias("_content"))
+    found = rows.groupBy(*blocks, "_content").agg(F.min(key).alias("class_id"), F.count("*").alias("members"))
+    return rows.join(found, [*blocks, "_content"]).select(key, "class_id", "members")
+
+
 def prefixes(sets: DataFrame, key: str, threshold: float, *blocks: str) -> DataFrame:
-    """The tokens that two sets above the threshold must share one of: the rarest n - ceil(threshold n) + 1."""
-    rows = sets.select(key, *blocks, F.size("tokens").alias("size"), F.explode_outer("tokens").alias("token")).where("token IS NOT NULL")
-    frequency = rows.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = rows.join(frequency, "token")
-    kept = F.col("size") - F.ceil(F.col("size") * F.lit(threshold)) + 1
-    gathered = ranked.groupBy(key, *blocks, "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("_t"))
-    return gathered.select(key, *blocks, "size", F.explode(F.transform(F.slice("_t", F.lit(1), kept.cast("int")), lambda x: x["token"])).alias("token"))
+    """key, blocks, size, token, parity: of each set the tokens that two sets above the threshold must share one of, as 64-bit
+    hashes: the first n - ceil(threshold n) + 1 by rarity, then hash. Nothing is shuffled but the counts by hashed slot.
+
+    Any one order of all tokens serves; that many tokens share a slot, or two a hash, costs pairs to look at, and loses none.
+    """
+    hashed = sets.where(F.size("tokens") > 0).select(key, *blocks, F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens"))
+    slots = hashed.select(F.explode("tokens").alias("token")).groupBy(F.pmod("token", F.lit(SLOTS)).alias("slot")).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[slots["slot"].to_numpy()] = slots["n"].to_numpy()
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few.slices(batches, few.ROWS):
+            lists, row = few.flat(batch.column("tokens"))
+            token = lists.to_numpy()
+            size = np.bincount(row, minlength=batch.num_rows)
+            begins = np.cumsum(size) - size
+            order = np.lexsort((token, counts[token % SLOTS], row))
+            kept = size - np.ceil(size * threshold - 1e-9).astype(np.int64) + 1
+            first = order[np.arange(len(row)) - begins[row] < kept[row]]
+            bit = np.left_shift(np.uint64(1), (token & 63).astype(np.uint64))
+            lane = (token >> 6) & (LANES - 1)
+            parity = [np.bitwise_xor.reduceat(np.where(lane == k, bit, np.uint64(0)), begins).view(np.int64) for k in range(LANES)] if len(row) else []
+            owner = row[first]
+            columns = [batch.column(c).take(pa.array(owner)) for c in (key, *blocks)]
+            yield pa.record_batch([*columns, *(pa.array(x[owner]) for x in (size, *(parity or [size] * LANES))), pa.array(token[first])], schema.names)
+
+    schema = StructType([*(few.typed(sets, c) for c in (key, *blocks)), *(StructField(c, LongType()) for c in ("size", *(f"p{k}" for k in range(LANES)), "token"))])
+    return hashed.mapInArrow(rarest, schema)
 
 
 def similar_pairs(sets: DataFrame, key: str, threshold: float, *blocks: str) -> DataFrame:
     """(a, b, similarity) with a < b, of sets in one block whose Jaccard similarity reaches the threshold. Exact.
 
-    Give distinct sets (see classes): equal ones would otherwise be paired with one another again and again.
+    Give distinct sets (see classes): equal ones would otherwise be paired with one another again and again. Sets differ in no
+    fewer tokens than their parities in bits, which rules out most pairs before they leave the join.
     """
-    filtered = sets.where(F.size("tokens") > 0)
+    filtered = cut(sets.where(F.size("tokens") > 0).select(key, *blocks, "tokens"), "token-sets")
     left = prefixes(filtered, key, threshold, *blocks)
-    right = left.select(F.col(key).alias("b"), *blocks, F.col("size").alias("size_b"), "token")
+    right = left.select(F.col(key).alias("b"), *blocks, F.col("size").alias("size_b"), "token", *(F.col(f"p{k}").alias(f"q{k}") for k in range(LANES)))
+    apart = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(1, LANES)), F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))))
     near = left.withColumnRenamed(key, "a").join(right, [*blocks, "token"]).where(
-        (F.col("a") < F.col("b")) & (F.least("size", "size_b") >= F.lit(threshold) * F.greatest("size", "size_b"))
+        (F.col("a") < F.col("b"))
+        & (F.least("size", "size_b") >= F.lit(threshold) * F.greatest("size", "size_b") - 1e-9)
+        & (apart <= (F.col("size") + F.col("size_b")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-9)
     )
-    pairs = near.select("a", "b").distinct()
-    tokens = filtered.select(key, "tokens")
+    pairs = cut(near.select("a", "b").distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    tokens = filtered.select(key, "tokens").join(small(ends, pairs), key, "left_semi")
     joined = pairs.join(tokens.select(F.col(key).alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col(key).alias("b"), F.col("tokens").alias("tb")), "b")
     return joined.select("a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
@@ -79,10 +123,20 @@ def holders(docs: DataFrame, items: DataFrame, doc: str, item: str, least: float
     return near.select(doc, item).join(dealt, doc).join(small(items.select(item, F.col("tokens").alias("ti"))), item)
 
 
+def overlaps(docs: DataFrame, items: DataFrame, doc: str, item: str, least: float, lacking: bool = False) -> DataFrame:
+    """(doc, item, common, n_doc, n_item): items of whose distinct tokens a document holds at least that share; with lacking
+    also `missing`, the item's other tokens in order. With few items each task counts in the documents that it reads.
+    """
+    if is_small(items):
+        return few.overlaps(docs, items, doc, item, least, lacking)
+    common = F.size(F.array_intersect("ti", "td"))
+    found = holders(docs, items, doc, item, least).where(common / F.size("ti") >= least)
+    return found.select(doc, item, common.alias("common"), F.size("td").alias("n_doc"), F.size("ti").alias("n_item"), *([missing(F.col("ti"), F.col("td")).alias("missing")] if lacking else []))
+
+
 def contained_items(docs: DataFrame, items: DataFrame, doc: str, item: str, least: float) -> DataFrame:
     """(doc, item, containment): items of whose distinct tokens a document holds at least that share."""
-    share = F.size(F.array_intersect("ti", "td")) / F.size("ti")
-    return holders(docs, items, doc, item, least).select(doc, item, share.alias("containment")).where(F.col("containment") >= least)
+    return overlaps(docs, items, doc, item, least).select(doc, item, (F.col("common") / F.col("n_item")).alias("containment"))
 
 
 def first_exclusion(candidates: DataFrame, doc: str, ordinal: str) -> DataFrame:
@@ -96,10 +150,10 @@ def exclusion_matches(docs: DataFrame, items: DataFrame, doc: str, item: str, th
 
     With target and workflow (columns of both), only those are near that have the same target or the same workflow, if it is not blank.
     """
-    exact = docs.join(items.select(item, "content"), "content").select(doc, item, F.lit("exact").alias("reason"))
+    exact = docs.join(small(items.select(item, "content"), items), "content").select(doc, item, F.lit("exact").alias("reason"))
     # So similar a document holds at least that share of the item, as the union is no smaller.
-    found = holders(docs, items, doc, item, threshold)
-    close = found.where(jaccard(F.col("ti"), F.col("td")) >= threshold).select(doc, item)
+    found = overlaps(docs, items, doc, item, threshold)
+    close = found.where(F.col("common") / (F.col("n_doc") + F.col("n_item") - F.col("common")) >= threshold).select(doc, item)
     kin = [c for c in (target, workflow) if c]
     if kin:
         close = close.join(docs.select(doc, *(F.col(c).alias(f"_d{k}") for k, c in enumerate(kin))), doc).join(items.select(item, *(F.col(c).alias(f"_i{k}") for k, c in enumerate(kin))), item)

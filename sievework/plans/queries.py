@@ -268,19 +268,17 @@ def q35_exact_content_neighbor(spark, sf_dir):
     return docs.join(first, "content").where("doc_id > first_id").select("doc_id", "first_id")
 
 
-def _classes(spark, sf_dir):
-    sets = decontaminate.token_sets(_t(spark, sf_dir, "documents"), "doc_id", F.col("text"), "lang")
-    return sets, decontaminate.classes(sets, "doc_id", "lang")
+def _sets_by_lang(spark, sf_dir):
+    return decontaminate.token_sets(_t(spark, sf_dir, "documents"), "doc_id", F.col("text"), "lang")
 
 
 def q36_near_neighbor_jaccard(spark, sf_dir):
-    _, found = _classes(spark, sf_dir)
+    found = decontaminate.classes(_sets_by_lang(spark, sf_dir), "doc_id", "lang")
     return decontaminate.similar_pairs(found.drop("members"), "class_id", NEAR, "lang").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def q36_token_set_classes(spark, sf_dir):
-    sets, found = _classes(spark, sf_dir)
-    return sets.join(found, ["lang", "tokens"]).select("doc_id", "class_id", "members")
+    return decontaminate.members(_sets_by_lang(spark, sf_dir), "doc_id", "lang")
 
 
 def q37_first_exclusion_match(spark, sf_dir):
