@@ -50,9 +50,11 @@ def lookup(rows: DataFrame, specs: DataFrame, key: Column, spec_key: str) -> Dat
 
 
 def orphans(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
-    """side, key: the keys on one side only."""
-    a, b = left.select(F.col(left_key).alias("key")).distinct(), right.select(F.col(right_key).alias("key")).distinct()
-    return a.join(b, "key", "left_anti").select(F.lit("left").alias("side"), "key").unionByName(b.join(a, "key", "left_anti").select(F.lit("right").alias("side"), "key"))
+    """side, key: the keys on one side only; a missing key has no equal. Both sides meet in one grouping."""
+    marked = left.select(F.col(left_key).alias("key"), F.lit(1).alias("_on")).unionByName(right.select(F.col(right_key).alias("key"), F.lit(2).alias("_on")))
+    found = marked.groupBy("key").agg(F.bit_or("_on").alias("_on")).where("_on < 3 OR key IS NULL")
+    sides = F.filter(F.array(F.lit("left"), F.lit("right")), lambda _, i: F.col("_on").bitwiseAND(i + 1) > 0)
+    return found.select(F.explode(sides).alias("side"), "key")
 
 
 def label_diff(before: DataFrame, after: DataFrame, key: str, labels: list[str]) -> DataFrame:
