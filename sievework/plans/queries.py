@@ -158,16 +158,13 @@ def _sets(spark, sf_dir):
 
 def q19_cue_coverage(spark, sf_dir):
     docs, items = _sets(spark, sf_dir)
-    found = decontaminate.contained_items(docs, items, "doc_id", "item_id", COVER)
-    sizes = items.select("item_id", F.size("tokens").alias("size"))
-    return found.join(sizes, "item_id").select("doc_id", "item_id", (F.col("size") - F.round(F.col("containment") * F.col("size")).cast("int")).alias("n_missing"))
+    found = decontaminate.overlaps(docs, items, "doc_id", "item_id", COVER)
+    return found.select("doc_id", "item_id", (F.col("n_item") - F.col("common")).alias("n_missing"))
 
 
 def q20_missing_cue_counts(spark, sf_dir):
     docs, items = _sets(spark, sf_dir)
-    found = decontaminate.contained_items(docs, items, "doc_id", "item_id", COVER).select("doc_id", "item_id")
-    joined = found.join(items.select("item_id", F.col("tokens").alias("ti")), "item_id").join(docs.select("doc_id", F.col("tokens").alias("td")), "doc_id")
-    return metrics.value_counts(joined.select(missing(F.col("ti"), F.col("td")).alias("m")), "m", "token")
+    return metrics.value_counts(decontaminate.overlaps(docs, items, "doc_id", "item_id", COVER, lacking=True), "missing", "token")
 
 
 def q21_latency_summary(spark, sf_dir):

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from test_small_tables import documents, held
 
-from sievework.operators import few, retrieval
+from sievework.operators import decontaminate, few, retrieval
 from sievework.plans import dims
 from sievework.sources.tables import fixed, is_small
 
@@ -70,3 +70,20 @@ def test_best_keeps_all_that_can_count(monkeypatch):
         rows = sorted((-scores[k, q], flipped[k]) for k in range(500) if scores[k, q] > 0)[:5]
         assert sorted(zip(-score[query == q], key[query == q]))[:5] == rows
     assert len(query) < 60
+
+
+def test_overlaps_with_copies_and_blanks(spark, tmp_path):
+    docs = documents("the same words", "the same", "", "beta", "other words here", "alpha beta beta", *COPIES)
+    items = ITEMS, [(0, "the same words"), (1, "alpha beta beta"), (2, ""), (3, "here are other words"), (4, "zz")]
+    for name in ("q19_cue_coverage", "q20_missing_cue_counts", "q37_first_exclusion_match", "q38_contamination_containment"):
+        assert held(spark, tmp_path / name, name, documents=docs, benchmark=items)
+
+
+def test_overlaps_shuffle_no_document(spark, monkeypatch):
+    sets = lambda rows: decontaminate.token_sets(spark.createDataFrame(rows, "d long, t string"), "d", F.col("t"))
+    docs, own = sets([(k, t) for k, t in enumerate(["a b c", "b c", "", "x"])]), fixed(spark, ((7, "a b"), (8, "c x y")), "i", "t")
+    items = decontaminate.token_sets(own, "i", F.col("t"))
+    found = decontaminate.overlaps(docs, items, "d", "i", 0.3, lacking=True)
+    assert moved(found) == 0
+    monkeypatch.setattr(decontaminate, "is_small", lambda df: False)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, decontaminate.overlaps(docs, items, "d", "i", 0.3, lacking=True).collect()))
