@@ -279,9 +279,8 @@ def q36_token_set_classes(spark, sf_dir):
 
 
 def q37_first_exclusion_match(spark, sf_dir):
-    docs, items = _sets(spark, sf_dir)
-    content = lambda name, key: _t(spark, sf_dir, name).select(key, decontaminate.content_key(F.col("text")).alias("content"))
-    matches = decontaminate.exclusion_matches(docs.join(content("documents", "doc_id"), "doc_id"), items.join(content("benchmark", "item_id"), "item_id"), "doc_id", "item_id", EXCLUDE)
+    keyed = lambda name, key: decontaminate.token_sets(_t(spark, sf_dir, name).withColumn("content", decontaminate.content_key(F.col("text"))), key, F.col("text"), "content")
+    matches = decontaminate.exclusion_matches(keyed("documents", "doc_id"), keyed("benchmark", "item_id"), "doc_id", "item_id", EXCLUDE)
     return decontaminate.first_exclusion(matches, "doc_id", "item_id")
 
 
