@@ -38,14 +38,14 @@ _OWN: set[str] = set()
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, **options: object) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends there, a lost executor costs nothing before it, and the shuffles before it are deleted."""
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     found = spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -13,7 +14,7 @@ pytest.importorskip("sievework.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from sievework.llm import ann, coding, lines, ngrams, packing, quality, secrets, simhash, suffixes, warc  # noqa: E402
+from sievework.llm import ann, coding, common, lines, ngrams, packing, quality, secrets, simhash, suffixes, warc  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use themselves.
@@ -359,6 +360,38 @@ def test_backoff_scores(spark, docs, rows, order):
     assert ngrams.backoff_scores(empty(spark), order=order).count() == 0
 
 
+@pytest.mark.parametrize("order", [2, 4])
+def test_backoff_scores_with_hot_words(spark, order):
+    """Contexts that are counted apart, the start of short texts among them, give what the definition gives."""
+    texts = ["x x x x y x x", "x y", "x", "y", "x z", "", None, "a x b x a x b", "x y z x y z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = Counter((k, *x) for k, x in enumerate(plain_scores(texts, order)))
+    for hot in (4, 100):
+        assert Counter(map(tuple, ngrams.backoff_scores(docs, order=order, passes=2, hot=hot).collect())) == expected
+
+
+def test_backoff_occurrences_are_shuffled_once(spark):
+    docs = spark.createDataFrame([(0, [1, 2, 3])], "row long, words array<long>")
+    found = ngrams.scored(ngrams.grams(docs, 4).repartition("c1"), ngrams.counted, 4, 0.4)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_backoff_words_are_written_as_codes(spark, monkeypatch):
+    """200,000 distinct words, five times each, in one file: about four bytes a word with its dictionary, eight without."""
+    written = {}
+
+    def kept(df, label, **options):
+        found = common.cut(df.coalesce(1) if label == "tokens" else df, label, **options)
+        written[label] = sum(p.stat().st_size for p in Path(found.cut_path.removeprefix("file://")).glob("*.parquet"))
+        return found
+
+    monkeypatch.setattr(ngrams, "cut", kept)
+    text = " ".join(f"w{k}" for k in range(200_000))
+    docs = spark.createDataFrame([(k, text) for k in range(5)], "doc_id long, text string")
+    assert ngrams.backoff_scores(docs, passes=1).count() == 5
+    assert written["tokens"] < 5 * 1_000_000
+
+
 PAGES = "page_id long, url string, html string"
 
 
