@@ -14,8 +14,8 @@ The relations, each a DataFrame:
 4. grams dealt by their last context word, so that all that a context of any length is followed by is in one partition. There
    windows over context and word give each occurrence both its counts, for one order after another. So an occurrence is
    shuffled once, and no count table is joined back to the text.
-5. What is seen more than once at no order gets its word's share by a join with words; all is summed by row, then joined to
-   the documents' ids.
+5. What is seen more than once at no order gets its word's share: of common words, fewer than COMMON, from a broadcast, of
+   others by a join with words. All is summed by row, then joined to the documents' ids.
 
 Context words that make up more than 1 / HOT of all are not dealt to one task: their n-grams are counted by map-side sums, and
 the counts joined to the occurrences.
@@ -41,7 +41,9 @@ from sievework.llm.common import cut, discard, latin_lower, text_of
 
 ORDER, BACKOFF = 3, 0.4
 PASSES = 4
-HOT = 32
+#: Context words of a larger share than 1 / HOT are counted apart; the scores of words of a larger share than 1 / COMMON, fewer
+#: than so many, go to every task, two numbers each.
+HOT, COMMON = 32, 1 << 18
 MILLION = 1e6
 #: The start word's hash; a word's own hash may equal it as it may equal any other's.
 START = 1
@@ -51,7 +53,7 @@ CODED = {"parquet.dictionary.page.size": 16 << 20}
 
 
 def word_hashes(text: Column) -> Column:
-    return F.transform(F.filter(F.split(latin_lower(text), GAP, -1), lambda w: w != ""), lambda w: F.xxhash64(w))
+    return F.transform(F.array_remove(F.split(latin_lower(text), GAP, -1), ""), lambda w: F.xxhash64(w))
 
 
 def grams(tokens: DataFrame, order: int) -> DataFrame:
@@ -109,7 +111,8 @@ def backoff_scores(df: DataFrame, text: str = "text", order: int = ORDER, backof
     tokens = cut(df.select(F.monotonically_increasing_id().alias("row"), "doc_id", word_hashes(text_of(text)).alias("words")), "tokens", **CODED)
     words = cut(tokens.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")), "words")
     total = words.agg(F.sum("n")).first()[0] or 1
-    single = words.select("w", micro(F.col("n") / F.lit(float(total)), order - 1, backoff).alias("micro"))
+    alone = micro(F.col("n") / F.lit(float(total)), order - 1, backoff)
+    single, common = words.select("w", alone.alias("micro")), F.broadcast(words.where(F.col("n") > total // COMMON).select("w", alone.alias("common")))
     often = frequent(tokens, words, total, hot)
     apart = grams(tokens, order).where(F.col("c1").isin(often))
     parts = []
@@ -120,7 +123,8 @@ def backoff_scores(df: DataFrame, text: str = "text", order: int = ORDER, backof
             own = apart.where(F.pmod("w", F.lit(passes)) == k)
             made.append(scored(own, lambda found, j, own=own: counted_apart(found, own, apart, j), order, backoff))
         for found in made:
-            found = cut(found, "found")
+            known = F.coalesce("micro", "common")
+            found = cut(found.join(common, "w", "left").select("row", F.when(known.isNull(), F.col("w")).alias("w"), known.alias("micro"), "backed"), "found")
             ready = found.where("micro IS NOT NULL").select("row", "micro", "backed")
             rest = found.where("micro IS NULL").select("row", "w", "backed").join(single, "w").select("row", "micro", "backed")
             parts.append(cut(ready.unionByName(rest).groupBy("row").agg(F.sum("backed").alias("backed"), F.sum("micro").alias("micro")), "sums"))
