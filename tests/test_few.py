@@ -1,3 +1,6 @@
+import re
+
+import __spark_entry__
 import numpy as np
 from pyspark.sql import functions as F
 from test_small_tables import documents, held
@@ -26,6 +29,14 @@ def test_forced_then_ranked(spark, tmp_path):
     held(spark, tmp_path, "q13_forced_then_ranked", documents=TEXTS, benchmark=ASKED)
 
 
+def test_forced_then_ranked_shuffles_no_words_of_documents(spark, tmp_path):
+    """Only each task's best of each item moves, so a task's memory does not grow with the documents."""
+    held(spark, tmp_path, "q13_forced_then_ranked", documents=TEXTS, benchmark=ASKED)
+    plan = __spark_entry__.queries()["q13_forced_then_ranked"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert dealt and not [d for d in dealt if "term" in d or not d.startswith("item_id")]
+
+
 def test_terms_inside_words_and_titles(spark, tmp_path):
     held(spark, tmp_path, "q10_term_score_topk", documents=TEXTS, benchmark=(ITEMS, [*ASKED[1], (12, "we eb"), (13, "web")]))
 
